@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
@@ -57,5 +58,10 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "inner", most: int = 4_000_000) -> DataFrame:
+    """Join long rows with narrow ones: these are broadcast if there are at most ``most``, else both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, language, sharding, toxicity
+from . import chat, counting, language, packing, sharding, token_files, toxicity
 from .jobs import prepare, table
 
 SHARDS = 40
@@ -56,6 +56,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = labels.filter(~held_out("doc_id", 5, 0)).select("doc_id", F.col("toxic").alias("label"))
@@ -63,6 +67,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.balanced_tree(SHARDS))
 
@@ -76,7 +84,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_token_counts": op3_token_counts,
+    "op4_token_files": op4_token_files,
     "op6_toxicity": op6_toxicity,
+    "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }

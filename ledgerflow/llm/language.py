@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,3 +162,19 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(lang, pa.string()), pa.array(score), pa.array(none | (score < m.threshold))], ["doc_id", "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows, with all their columns, that ``identify`` doesn't reject."""
+    prepare(docs.sparkSession)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            _, score = shared.value.predict(b["text"])
+            letters = pc.fill_null(pc.match_substring_regex(b["text"], r"\p{L}"), False)
+            yield b.filter(pc.and_(letters, pa.array(score >= shared.value.threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, language, packing, sharding, token_files, toxicity
+from . import chat, counting, decontamination, fingerprints, language, near_duplicates, packing, sharding, token_files, toxicity
 from .jobs import prepare, table
 
 SHARDS = 40
@@ -52,6 +52,26 @@ from sized group by conv_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+with words as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') as w from documents
+  union all
+  select 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') from benchmark),
+spread as (
+  select kind, id, w, unnest(range(1, greatest(len(w) - 3, 2))) as k from words where len(w) > 0),
+shingles as (
+  select distinct kind, id, array_to_string(w[k:k + 4], ' ') as s from spread),
+items as (select id, s, count(*) over (partition by id) as n_item from shingles where kind = 'i')
+select d.id as doc_id, i.id as item_id, count(*) as n_shared, cast(any_value(i.n_item) as bigint) as n_item
+from shingles d join items i on d.s = i.s and d.kind = 'd'
+group by d.id, i.id having count(*) * 100 >= any_value(i.n_item) * 80
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(table(spark, sf_dir, "documents"), limit=1024)
 
@@ -60,6 +80,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = labels.filter(~held_out("doc_id", 5, 0)).select("doc_id", F.col("toxic").alias("label"))
@@ -67,6 +91,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -83,14 +111,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op1_chat_formatting": OP1_SQL}
+ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op2_decontamination": OP2_SQL}
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, counting, decontamination, fingerprints, language, near_duplicates, packing, sharding, token_files, toxicity
-from .jobs import prepare, table
+from .jobs import join_ids, prepare, table
 
 SHARDS = 40
 
@@ -87,7 +87,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = labels.filter(~held_out("doc_id", 5, 0)).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(learn, "doc_id"))
+    model = toxicity.fit(join_ids(docs.select("doc_id", "text"), learn, "doc_id"))
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 

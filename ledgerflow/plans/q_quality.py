@@ -1 +1,150 @@
+"""Queries for data quality, sinks and the report of windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from ..operators import ranking as R
+from ..operators import rollups as G
+from . import standins as V
+from .q_scalars import _RE2
+from .q_sequence import BOUNDS, order_bounds
+from .standins import ATT, LOG, RND
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+_SCHEMA = {
+    "additionalProperties": False,
+    "required": ["c_custkey", "c_name", "tier"],
+    "properties": {
+        "c_custkey": {"type": "integer", "minimum": 10},
+        "c_name": {"type": "string", "minLength": 5, "pattern": "[02468]$"},
+        "c_mktsegment": {"type": "string", "enum": ["BUILDING", "MACHINERY", "FURNITURE"]},
+        "c_acctbal": {"type": "integer"},
+        "version": {"type": "integer", "const": 1},
+    },
+}
+
+
+@query("dq01_validate", """select c_custkey, unnest(list_filter(['additional:c_nationkey', 'required:tier', case when c_custkey < 10 then 'minimum:c_custkey' end, case when not regexp_matches(c_name, '[02468]$') then 'pattern:c_name' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'FURNITURE') then 'enum:c_mktsegment' end, 'type:c_acctbal', case when c_custkey % 7 <> 1 then 'const:version' end], lambda x: x is not null)) as violation from customer""")
+def dq01(spark, d):
+    return Q.validate(V.read(spark, d, "customer").withColumn("version", F.col("c_custkey") % 7), _SCHEMA, ["c_custkey"])
+
+
+@query("dq02_invariants", f"with {ATT}, g as (select project_id, sum(end_us - start_us)::bigint as total, sum(end_us - start_us) filter (mode <> 'direct')::bigint as parts, count(*) as n from att group by 1) select project_id, unnest(list_filter([case when not coalesce(total = parts, false) then 'total is the sum of modes' end, case when n % 2 <> 0 then 'even' end], lambda x: x is not null)) as rule from g")
+def dq02(spark, d):
+    size = F.col("end_us") - F.col("start_us")
+    g = V.att(spark, d).groupBy("project_id").agg(F.sum(size).alias("total"), F.sum(F.when(F.col("mode") != "direct", size)).alias("parts"), F.count(F.lit(1)).alias("n"))
+    return Q.check_invariants(g, {"total is the sum of modes": F.col("total") == F.col("parts"), "even": F.col("n") % 2 == 0}, ["project_id"])
+
+
+@query("dq03_reconcile", """with o as (select count(*) as n, sum(cast(round(o_totalprice * 100) as bigint))::bigint as cents from orders), l as (select count(distinct l_orderkey) as n, sum(cast(round(l_extendedprice * 100) as bigint))::bigint as cents from lineitem)
+select 'n' as measure, o.n as orders, o.n as by_day, l.n as lines, greatest(o.n, l.n) - least(o.n, l.n) <= 0 as agrees from o, l union all select 'cents', o.cents, o.cents, l.cents, abs(o.cents - l.cents) <= 0 from o, l""")
+def dq03(spark, d):
+    o = V.read(spark, d, "orders").select(F.round(F.col("o_totalprice") * 100).cast("long").alias("c"), F.lit(1).alias("k"), "o_orderdate")
+    li = V.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c"), F.lit(1).alias("k"))
+    by_day = o.groupBy("o_orderdate").agg(F.sum("c").alias("c"), F.sum("k").alias("k"))
+    return Q.reconcile({"orders": o, "by_day": by_day, "lines": li}, {"n": F.sum("k"), "cents": F.sum("c")})
+
+
+@query("dq04_manifest", "select 'orders' as dataset, count(*) as n, min(cast(o_orderdate as date)) as covers_from, max(cast(o_orderdate as date)) as covers_to from orders union all select 'events', count(*), min(cast(ts as date)), max(cast(ts as date)) from events union all select 'customer', count(*), null, null from customer")
+def dq04(spark, d):
+    return Q.manifest({"orders": (V.read(spark, d, "orders"), "o_orderdate"), "events": (V.read(spark, d, "events"), "ts"), "customer": (V.read(spark, d, "customer"), None)})
+
+
+@query("dq05_public_projection", "select c_custkey, c_mktsegment, c_nationkey from customer")
+def dq05(spark, d):
+    return Q.project_public(V.read(spark, d, "customer"), ["c_custkey", "c_mktsegment", "c_nationkey", "not_there"])
+
+
+_TEXTS = "t as (select text from documents union all select html from pages union all select text from conversations)"
+
+
+@query("dq06_privacy_report", f"with {_TEXTS} select reason, count(*) as n from (select unnest(list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{c}' end" for c, p in sorted(_RE2.items())) + "], lambda x: x is not null)) as reason from t) group by 1")
+def dq06(spark, d):
+    t = V.read(spark, d, "documents").select("text").unionByName(V.read(spark, d, "pages").select(F.col("html").alias("text"))).unionByName(V.read(spark, d, "conversations").select("text"))
+    return Q.privacy_report(t, "text")
+
+
+@query("dq07_freshness", "select o_custkey, max(cast(o_orderdate as date)) as newest, cast(date_diff('day', max(cast(o_orderdate as date)), date '2001-08-02') as integer) as age_days, date_diff('day', max(cast(o_orderdate as date)), date '2001-08-02') > 90 as stale from orders group by 1")
+def dq07(spark, d):
+    return Q.freshness(V.read(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), ["o_custkey"], "day", V.ORDERS_NOW, 90)
+
+
+@query("dq08_version_agreement", "select count(distinct c_nationkey // 100) <= 1 as agrees, count(distinct c_nationkey // 100) as versions from customer")
+def dq08(spark, d):
+    return Q.version_agreement(V.read(spark, d, "customer").withColumn("v", F.expr("c_nationkey div 100")), "v")
+
+
+@query("dq09_completeness", f"with {LOG} select kind, count(*) filter (row_id % 2 = 0) as enabled, count(*) filter (row_id % 2 = 0 and round < 2) as available, count(*) filter (row_id % 2 = 0 and exit_code = 1) as errors, count(*) filter (row_id % 2 = 0) = count(*) filter (row_id % 2 = 0 and round < 2) and count(*) filter (row_id % 2 = 0 and exit_code = 1) = 0 as complete from log group by 1")
+def dq09(spark, d):
+    return Q.completeness(V.log(spark, d), ["kind"], F.col("row_id") % 2 == 0, F.col("round") < 2, F.col("exit_code") == 1)
+
+
+def _folder(spark, name: str) -> str:
+    """A folder of our own in the shared one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("dq10_write_lines", "select c_custkey, c_mktsegment, c_name from customer")
+def dq10(spark, d):
+    to = _folder(spark, "lines")
+    Q.write_lines(V.read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name"), to, ["c_custkey"])
+    return spark.read.schema("c_custkey long, c_mktsegment string, c_name string").json(to)
+
+
+@query("dq11_history_days", "select cast(ts as date) as day, event_id % 3 as part, count(*) as n, 1 + (cast(ts as date) >= date '2024-01-25')::integer as version from events where cast(ts as date) >= date '2024-01-10' group by all")
+def dq11(spark, d):
+    e = V.read(spark, d, "events").groupBy(F.to_date("ts").alias("day"), (F.col("event_id") % 3).alias("part")).agg(F.count(F.lit(1)).alias("n")).filter("day >= date '2024-01-10'")
+    to = _folder(spark, "history")
+    Q.write_days(e.withColumn("version", F.lit(1)), to, "day", ["part"])
+    Q.write_days(e.filter("day >= date '2024-01-25'").withColumn("version", F.lit(2)), to, "day", ["part"])
+    return spark.read.schema("part long, n long, version int, day date").parquet(to).select("day", "part", "n", "version")
+
+
+@query("dq12_metric_catalog", "select 'fields' as check, count(*) as n, count(*) filter (p_name is not null and p_type is not null and p_brand is not null and p_size is not null) as complete, count(distinct p_partkey) = count(*) as ids_unique from part")
+def dq12(spark, d):
+    """The catalogue check over part as metric rows: all fields present, ids unique."""
+    p = V.read(spark, d, "part")
+    ok = F.col("p_name").isNotNull() & F.col("p_type").isNotNull() & F.col("p_brand").isNotNull() & F.col("p_size").isNotNull()
+    return p.agg(F.lit("fields").alias("check"), F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("complete"), (F.count_distinct("p_partkey") == F.count(F.lit(1))).alias("ids_unique"))
+
+
+@query("dq13_refuse_older", "select event_id, 'newer' as batch from events where ts >= timestamp '2024-01-20' union all select event_id, 'older' from events where false")
+def dq13(spark, d):
+    e = V.read(spark, d, "events")
+    stored = e.filter("ts < timestamp_ntz '2024-01-20 00:00:00'")
+    newer = Q.refuse_older(e.filter("ts >= timestamp_ntz '2024-01-20 00:00:00'"), "ts", stored).select("event_id", F.lit("newer").alias("batch"))
+    older = Q.refuse_older(e.filter("ts < timestamp_ntz '2024-01-05 00:00:00'"), "ts", stored).select("event_id", F.lit("older").alias("batch"))
+    return newer.unionByName(older)
+
+
+_METRICS = ["rounds", "cents", "findings", "accepted", "specs"]
+
+
+@query("dq14_windows_report", f"""with {RND}, {BOUNDS}, g as (select window_key, part, count(*)::bigint as rounds, sum(cents)::bigint as cents, sum(findings)::bigint as findings, count(*) filter (accepted)::bigint as accepted, count(distinct spec)::bigint as specs from rnd join bounds on ended_on between from_day and to_day group by all),
+t as (select window_key, part, spec, sum(cents)::bigint as cents, row_number() over (partition by window_key, part order by sum(cents) desc, spec) as rn from rnd join bounds on ended_on between from_day and to_day group by window_key, part, spec)
+select window_key, part, unnest([{', '.join(f"'{m}'" for m in _METRICS)}]) as metric, unnest([{', '.join(_METRICS)}]) as value from g
+union all select window_key, part, 'top:' || case when min(rn) <= 6 then min(cast(spec as varchar)) else 'other' end, sum(cents)::bigint from t group by window_key, part, least(rn, 7)""")
+def dq14(spark, d):
+    r, w = V.rnd(spark, d), order_bounds(spark)
+    g = G.window_sums(r, "ended_on", w, {"rounds": F.count(F.lit(1)), "cents": F.sum("cents"), "findings": F.sum("findings"), "accepted": F.count_if("accepted"), "specs": F.count_distinct("spec")})
+    by_spec = G.window_sums(r, "ended_on", w, {"cents": F.sum("cents")}, ["spec"])
+    top = R.top_n_plus_other(by_spec, ["window_key", "part"], "spec", "cents", [])
+    return Q.unpivot_windows(g, ["window_key", "part"], _METRICS).unionByName(top.select("window_key", "part", F.concat(F.lit("top:"), "label").alias("metric"), F.col("cents").alias("value")))

@@ -1 +1,190 @@
+"""Queries for readers: each log is derived from a table, written as lines by Spark, and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import readers as S
+from . import standins as V
+from .q_quality import _folder
+from .standins import LOG, OBS, RND
+
 QUERIES, SQL = {}, {}
+_NOW = 1706659200
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _written(spark, df, name: str) -> str:
+    to = _folder(spark, name)
+    df.write.text(to)
+    return to
+
+
+def _stamp(c="ts"):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+@query("src01_message_usage", f"with {OBS}, m as (select 'm' || (event_id - event_id % 3) as message_id, event_id % 3 as part, * from obs where vendor = 'vendor_a') select message_id, session_id::varchar as session_id, model, input_tokens, output_tokens, cache_read_tokens, cache_write_5m_tokens, cache_write_1h_tokens from m qualify row_number() over (partition by message_id order by part desc) = 1")
+def src01(spark, d):
+    o = V.obs(spark, d).filter("vendor = 'vendor_a'")
+    usage = F.struct(F.col("input_tokens"), F.col("output_tokens").cast("string").alias("output_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"), (F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_creation_input_tokens"), F.struct(F.col("cache_write_1h_tokens").alias("ephemeral_1h_input_tokens")).alias("cache_creation"))
+    line = F.to_json(F.struct(_stamp().alias("timestamp"), F.col("session_id").cast("string").alias("sessionId"), F.lit("/w").alias("cwd"), F.struct(F.concat(F.lit("m"), F.col("event_id") - F.col("event_id") % 3).alias("id"), "model", F.lit("dropped").alias("content"), usage.alias("usage")).alias("message")))
+    rows = o.repartition(4, F.col("event_id") - F.col("event_id") % 3).sortWithinPartitions("event_id").select(line.alias("value"))
+    got = S.read_message_usage(spark, _written(spark, rows, "messages"))
+    return got.select("message_id", "session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")
+
+
+@query("src02_turn_usage", f"with {OBS} select session_id::varchar as session_id, model, epoch_us(date_trunc('second', ts)) // 1000000 as at_s, input_tokens, output_tokens from obs where vendor = 'vendor_b'")
+def src02(spark, d):
+    from pyspark.sql import Window
+
+    o = V.obs(spark, d).filter("vendor = 'vendor_b'")
+    run = lambda c: F.sum(c).over(Window.partitionBy("session_id").orderBy("ts", "event_id"))
+    first = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) == 1
+    o = o.withColumns({"ti": run("input_tokens"), "to": run("output_tokens"), "first": first})
+    meta = F.when(F.col("first"), F.to_json(F.struct(_stamp().alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(F.col("session_id").cast("string").alias("id"), F.lit("/w").alias("cwd")).alias("payload"))))
+    turn = F.to_json(F.struct(_stamp().alias("timestamp"), F.lit("turn_context").alias("type"), F.struct("model").alias("payload")))
+    total = F.struct(F.col("ti").alias("input_tokens"), F.col("to").alias("output_tokens"))
+    use = F.to_json(F.struct(_stamp().alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")).alias("payload")))
+    rows = o.select("session_id", "ts", "event_id", F.posexplode(F.array_compact(F.array(meta, turn, use))).alias("i", "value"))
+    to = _folder(spark, "turns")
+    rows.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id", "i").select("session_id", "value").write.partitionBy("session_id").text(to)
+    got = S.read_turn_usage(spark, to)
+    return got.select("session_id", "model", F.unix_seconds("ts").alias("at_s"), "input_tokens", "output_tokens")
+
+
+@query("src03_limits", f"with {LOG}, q as (select event_id, round * 40 as used, day_utc from log) select event_id, 'primary' as window, used::double as used, (100 - used)::double as remaining, 300::bigint as minutes from q where used <= 100 union all select event_id, 'secondary', (used + 30)::double, (70 - used)::double, 10080::bigint from q where used + 30 <= 100")
+def src03(spark, d):
+    one = lambda used, m: F.struct(used.cast("double").alias("used_percent"), F.lit(m).alias("window_minutes"), F.lit(_NOW).alias("resets_at"))
+    u = F.col("round") * 40
+    rows = V.log(spark, d).select("event_id", F.to_json(F.struct(one(u, 300).alias("primary"), one(u + 30, 10080).alias("secondary"))).alias("j"))
+    return S.explode_limits(rows, "j", ["event_id"]).drop("resets_at")
+
+
+_KIND = "case when event_id % 17 = 0 then null when event_id % 19 = 0 then 'strange' else kind end"
+
+
+@query("src04_event_log", f"with {LOG}, k as (select event_id, case when event_id % 23 = 0 then 'malformed' when event_id % 29 = 0 then 'not_object' when event_id % 17 = 0 then 'no_timestamp' end as skip, case when event_id % 23 = 0 or event_id % 29 = 0 or event_id % 17 = 0 then null when event_id % 19 = 0 then 'other' else kind end as kind, exit_code from log) select coalesce(skip, 'ok') as skip, kind, count(*) as n, coalesce(sum(exit_code) filter (skip is null), 0)::bigint as exits from k group by all")
+def src04(spark, d):
+    log = V.log(spark, d)
+    obj = F.to_json(F.struct(F.when(F.col("event_id") % 17 != 0, _stamp()).alias("ts"), F.when(F.col("event_id") % 19 == 0, "strange").otherwise(F.col("kind")).alias("kind"), F.col("row_id").cast("string").alias("row"), F.col("exit_code").cast("string").alias("exit")))
+    line = F.when(F.col("event_id") % 23 == 0, F.substring(obj, 1, 12)).when(F.col("event_id") % 29 == 0, F.lit("[1]")).otherwise(obj)
+    got = S.read_event_log(spark, _written(spark, log.select(line.alias("value")), "log"))
+    kind = F.when(F.col("skip").isNull(), F.col("kind"))
+    return got.groupBy(F.coalesce("skip", F.lit("ok")).alias("skip"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("skip").isNull(), F.col("exit_code"))), F.lit(0)).alias("exits"))
+
+
+@query("src05_round_seals", f"with {RND} select 's' || spec as spec, round, round % 5 <> 0 as complete, order_id::varchar as builder from rnd")
+def src05(spark, d):
+    r = V.rnd(spark, d)
+    file = lambda n: F.when((F.lit(n) != "judge") | (F.col("round") % 5 != 0), F.struct(F.concat(F.lit("root/s"), "spec", F.lit("/round"), "round", F.lit(f"/{n}.json")).alias("path"), F.col("order_id").cast("string").alias("content")))
+    files = r.select(F.explode(F.array_compact(F.array(*[file(n) for n in ("builder", "judge", "verdict", "surfaces")]))).alias("f")).select("f.*")
+    return S.assemble_rounds(files).select("spec", F.col("round").cast("int").alias("round"), "complete", "builder")
+
+
+@query("src06_test_reports", "select p_brand as name, count(*) as suites, sum(p_size)::bigint as tests, sum(p_partkey % 3)::bigint as failures from part group by 1")
+def src06(spark, d):
+    p = V.read(spark, d, "part").select(F.col("p_brand").alias("_name"), F.col("p_size").cast("long").alias("_tests"), (F.col("p_partkey") % 3).alias("_failures"), F.lit(0).alias("_errors"), F.lit("2024-01-01T00:00:00").alias("_timestamp"))
+    to = _folder(spark, "reports")
+    p.write.format("xml").option("rowTag", "testsuite").option("rootTag", "testsuites").save(to)
+    return S.read_test_reports(spark, to).groupBy("name").agg(F.count(F.lit(1)).alias("suites"), F.sum("tests").alias("tests"), F.sum("failures").alias("failures"))
+
+
+@query("src07_facts_from_names", "select page_id, regexp_extract(url, '^([a-z]+)://([^/]+)/', 1) as scheme, regexp_extract(url, '^([a-z]+)://([^/]+)/', 2) as host from pages where regexp_matches(url, '^([a-z]+)://([^/]+)/')")
+def src07(spark, d):
+    return S.facts_from_names(V.read(spark, d, "pages"), "url", "^([a-z]+)://([^/]+)/", ["scheme", "host"]).select("page_id", "scheme", "host")
+
+
+@query("src08_state", "select o_custkey, o_orderstatus as set_name, o_orderkey::varchar as id from orders")
+def src08(spark, d):
+    g = V.read(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ids"))
+    j = g.groupBy("o_custkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", F.concat("ids", "ids"))))).alias("j"))
+    return S.explode_state(j, "j", ["o_custkey"])
+
+
+@query("src09_count_lines", r"select doc_id, len(string_split(text, chr(10)))::integer as n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-Z]\w+ \w+')))::integer as n_matching from documents")
+def src09(spark, d):
+    return S.count_lines(V.read(spark, d, "documents"), "text", r"^[A-Z]\w+ \w+", ["doc_id"])
+
+
+@query("src10_accept_log", "select substr(sha256(o_orderkey::varchar), 1, 12) as sha, case when o_orderkey % 5 = 0 then null else cast(o_orderdate as date) end as day, case when o_orderkey % 7 = 0 then null else 'row' || o_custkey end as row_id, case when o_orderkey % 7 = 0 then '' else 'abc' end as digest, o_orderkey % 5 = 0 or o_orderkey % 7 = 0 as rejected from orders")
+def src10(spark, d):
+    day = F.when(F.col("o_orderkey") % 5 == 0, "junk").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    subject = F.when(F.col("o_orderkey") % 7 == 0, "other work").otherwise(F.concat(F.lit("accept row"), "o_custkey", F.lit(" [abc]")))
+    rows = V.read(spark, d, "orders").select(F.concat_ws("\t", F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 12), day, subject).alias("line"))
+    return S.parse_accept_log(rows, "line")
+
+
+@query("src11_front_matter", "select lang, source, count(*) as n from (select case when doc_id % 4 = 0 then null else lang end as lang, case when doc_id % 4 = 0 then null else source || ': x' end as source from documents) group by all")
+def src11(spark, d):
+    t = F.concat(F.lit("---\nlang: "), "lang", F.lit("\nsource: "), "source", F.lit(": x\n---\nbody: no"))
+    rows = V.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("body: no")).otherwise(t).alias("t"))
+    h = S.front_matter(rows, "t", ["doc_id"])
+    return h.groupBy(F.col("header")["lang"].alias("lang"), F.col("header")["source"].alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SEC = "cast(floor(epoch_us(ts) / 1000000.0) as bigint)"
+
+
+@query("src12_provider_snapshot", f"with {LOG}, s as (select event_id, 'p' || row_id as provider, round * 40 as u, {_NOW} - {_SEC} as age from log), w as (select event_id, provider, 'short' as window, u, age from s union all select event_id, provider, 'long', u + 30, age from s) select event_id, provider, \"window\", case when u <= 100 then u::double end as used, age, age > 7200 as stale from w")
+def src12(spark, d):
+    u = F.col("round") * 40
+    j = F.to_json(F.struct(F.concat(F.lit("p"), "row_id").alias("provider"), F.array(F.struct(F.lit("short").alias("name"), u.cast("double").alias("used")), F.struct(F.lit("long").alias("name"), (u + 30).cast("double").alias("used"))).alias("windows")))
+    rows = V.log(spark, d).select("event_id", F.unix_seconds("ts").alias("o"), j.alias("j"))
+    return S.explode_provider_snapshot(rows, "j", "o", _NOW, ["event_id"])
+
+
+@query("src13_cached_utilization", f"with {LOG}, s as (select event_id, {_SEC} as observed_at, round * 40 as a, round * 60 as b from log), f as (select * from s where a between 0 and 100 and b between 0 and 100 and observed_at <= {_NOW} + 300 and observed_at >= {_NOW} - 864000) select event_id, observed_at, 'five_hour' as window, a::double as used from f union all select event_id, observed_at, 'seven_day', b::double from f")
+def src13(spark, d):
+    j = F.to_json(F.struct((F.unix_seconds("ts") * 1000 + 7).alias("observed_ms"), (F.col("round") * 40).cast("double").alias("five_hour"), (F.col("round") * 60).cast("double").alias("seven_day")))
+    return S.explode_cached_utilization(V.log(spark, d).select("event_id", j.alias("j")), "j", _NOW, 864000, ["event_id"])
+
+
+@query("src14_registry", "select '/c/' || c_custkey as root, 'n' || c_nationkey as project, false as exact from customer where c_nationkey <> 4 union all select '/c/' || c_custkey || '/x', 'n' || c_nationkey, true from customer where c_nationkey <> 4")
+def src14(spark, d):
+    c = V.read(spark, d, "customer").withColumn("p", F.concat(F.when(F.col("c_nationkey") == 4, "N").otherwise("n"), F.col("c_nationkey")))
+    root = F.concat(F.lit("/c/"), "c_custkey")
+    g = c.groupBy("p").agg(F.struct(F.collect_list(F.concat(root, F.lit("/x"))).alias("paths"), F.collect_list(root).alias("prefixes")).alias("r"))
+    return S.read_registry(g.select(F.to_json(F.map_from_arrays(F.array("p"), F.array("r"))).alias("j")), "j")
+
+
+@query("src15_run_log", f"with {LOG} select event_id, case when event_id % 9 <> 0 then {_SEC} end as at_s, case when event_id % 9 <> 0 then state end as mode, case when event_id % 9 <> 0 then case exit_code when 1 then 'finish' else 'start' end end as event, case when event_id % 9 <> 0 and exit_code = 1 then round end as exit_code, event_id % 9 = 0 as malformed from log")
+def src15(spark, d):
+    line = F.concat(_stamp(), F.lit(" mode="), "state", F.lit(" trigger=timer "), F.when(F.col("exit_code") == 1, F.concat(F.lit("finish exit="), "round")).otherwise("start"))
+    rows = V.log(spark, d).select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("junk line")).otherwise(line).alias("line"))
+    return S.parse_run_log(rows, "line", ["event_id"]).select("event_id", F.unix_seconds("ts").alias("at_s"), "mode", "event", "exit_code", "malformed")
+
+
+@query("src16_interval_ledger", """select event_id, case when event_id % 31 = 0 then 'malformed' when event_id % 29 = 0 then 'fields' when event_id % 23 = 0 then 'version' when user_id % 20 >= 18 then 'project' when event_type = 'error' then 'mode' when event_id % 19 = 0 then 'status' when event_id % 17 = 0 then 'timestamp' when floor(value) = 0 then 'empty' when ts >= timestamp '2024-01-30' then 'future' end as exclude_reason from events""")
+def src16(spark, d):
+    e = V.read(spark, d, "events")
+    at = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    i, n = F.col("event_id"), F.lit
+    plain = [F.when(i % 23 == 0, "2").otherwise("1").alias("schema_version"), i.cast("string").alias("event_id"), F.concat(n("p"), F.col("user_id") % 20).alias("project_id"), "mode", F.when(i % 17 == 0, "soon").otherwise(_stamp("at")).alias("started_at"), _stamp("until").alias("ended_at"), F.when(i % 19 == 0, "open").otherwise("complete").alias("status")]
+    e = e.withColumn("mode", F.col("event_type")).withColumn("at", at).withColumn("until", F.when(at >= F.lit("2024-01-30").cast("timestamp"), F.lit("2024-02-02").cast("timestamp")).otherwise(F.timestamp_seconds(F.unix_seconds("at") + F.floor("value"))))
+    line = F.when(i % 31 == 0, "{torn").when(i % 29 == 0, F.to_json(F.struct(*plain, F.lit("x").alias("note")))).otherwise(F.to_json(F.struct(*plain)))
+    rows = e.select(i.alias("id"), line.alias("line"))
+    got = S.classify_intervals(rows, "line", [f"p{k}" for k in range(18)], ["view", "purchase", "signup", "click"], _NOW - 86400, ["id"])
+    return got.select(F.col("id").alias("event_id"), "exclude_reason")
+
+
+@query("src17_source_meta", f"with {LOG} select kind, case when count(*) filter (exit_code = 0) = 0 then 'empty' when count(*) filter (exit_code <> 0) > 0 then 'partial' else 'ok' end as status, min({_SEC}) filter (exit_code = 0) as covers_from, max({_SEC}) filter (exit_code = 0) as covers_to, count(*) filter (exit_code = 0) as ingested, count(*) filter (exit_code <> 0) as skipped from log group by 1")
+def src17(spark, d):
+    return S.source_meta(V.log(spark, d).withColumn("at_s", F.unix_seconds("ts")), "kind", "at_s", F.col("exit_code") != 0)
+
+
+@query("src18_last_good", "select c_nationkey, count(*) as n, true as cached_last_good from customer group by 1")
+def src18(spark, d):
+    g = V.read(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    to = _folder(spark, "last-good")
+    g.write.parquet(to)
+    return S.with_last_good(None, spark.read.schema(g.schema).parquet(to), available=False)

@@ -1,0 +1,205 @@
+"""Readers for append-only JSON-lines logs and small structured files.
+
+Malformed input never fails a read: it becomes a row with a skip reason, or
+nulls.  Token fields are read as text and made numbers by ``safe_int``, since a
+JSON true or "7" would be lost in a numeric column.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import bounded_number, parse_utc, safe_int
+from ..operators.sequence import carry_forward, cumulative_delta
+
+_USAGE = "input_tokens string, output_tokens string, cache_read_input_tokens string, cache_creation_input_tokens string, cache_creation struct<ephemeral_5m_input_tokens string, ephemeral_1h_input_tokens string>"
+MESSAGE = f"timestamp string, sessionId string, cwd string, uuid string, message struct<id string, model string, usage struct<{_USAGE.replace(' string', ': string').replace('cache_creation struct', 'cache_creation: struct')}>>"
+TOTALS = "struct<input_tokens: string, cached_input_tokens: string, cache_write_tokens: string, output_tokens: string, reasoning_output_tokens: string>"
+TURN = f"timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, info: struct<total_token_usage: {TOTALS}, last_token_usage: {TOTALS}>>"
+KINDS = ["dispatch", "verdict", "merged", "finalized", "step", "proof", "escalated", "held", "note"]
+
+
+def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Text lines with their file and a position that grows within it."""
+    df = spark.read.text(paths)
+    return df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def read_message_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Usage of messages: only lines with usage are parsed; of a repeated message the last line in its file counts.
+
+    The id is the message's, else the line's uuid, else the place of the line.
+    Long cache writes are at most the total written; text is never kept.
+    """
+    rows = lines(spark, paths).filter(F.col("value").contains('"usage"')).withColumn("r", F.from_json("value", MESSAGE)).filter("r.message.usage is not null")
+    u = lambda c: safe_int(F.col(f"r.message.usage.{c}"))
+    place = F.concat_ws(":", "file", F.col("block").cast("string"), F.col("line").cast("string"))
+    total = F.greatest(u("cache_creation_input_tokens"), safe_int(F.col("r.message.usage.cache_creation.ephemeral_5m_input_tokens")) + safe_int(F.col("r.message.usage.cache_creation.ephemeral_1h_input_tokens")))
+    hour = F.least(total, safe_int(F.col("r.message.usage.cache_creation.ephemeral_1h_input_tokens")))
+    named = rows.select(
+        F.coalesce("r.message.id", "r.uuid", place).alias("message_id"), F.col("r.sessionId").alias("session_id"), F.col("r.cwd").alias("cwd"), F.col("r.message.model").alias("model"), parse_utc("r.timestamp").alias("ts"),
+        u("input_tokens").alias("input_tokens"), u("output_tokens").alias("output_tokens"), u("cache_read_input_tokens").alias("cache_read_tokens"), (total - hour).alias("cache_write_5m_tokens"), hour.alias("cache_write_1h_tokens"), "file", "block", "line",
+    )
+    w = Window.partitionBy("file", "message_id").orderBy(F.col("block").desc(), F.col("line").desc())
+    return named.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "block", "line")
+
+
+def read_turn_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Usage of turns in tagged logs: session and model carried forward, tokens of the turn or the growth of the totals.
+
+    A repeated report (same time and totals in a file) counts once.
+    """
+    rows = lines(spark, paths).filter(F.col("value").rlike('"(session_meta|turn_context|token_count)"')).withColumn("r", F.from_json("value", TURN))
+    kind = F.col("r.type")
+    names = ["input_tokens", "cached_input_tokens", "cache_write_tokens", "output_tokens", "reasoning_output_tokens"]
+    flat = rows.select(
+        "file", "block", "line", F.when(kind == "session_meta", F.col("r.payload.id")).alias("session_id"), F.when(kind.isin("session_meta", "turn_context"), F.col("r.payload.cwd")).alias("cwd"),
+        F.when(kind == "turn_context", F.col("r.payload.model")).alias("model"), F.col("r.timestamp").alias("stamp"), F.col("r.payload.type").alias("inner"),
+        *[F.when(F.col("r.payload.info.total_token_usage").isNotNull(), safe_int(F.col(f"r.payload.info.total_token_usage.{n}"))).alias(n) for n in names],
+        F.col("r.payload.info.last_token_usage").isNotNull().alias("has_last"), *[safe_int(F.col(f"r.payload.info.last_token_usage.{n}")).alias(f"last_{n}") for n in names],
+    )
+    order = ["block", "line"]
+    carried = carry_forward(flat, ["file"], order, ["session_id", "cwd", "model"]).filter("inner = 'token_count' and input_tokens is not null")
+    w = Window.partitionBy("file", "stamp", *names).orderBy(*order)
+    once = carried.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    grown = cumulative_delta(once, ["file"], order, names)
+    return grown.select("session_id", "cwd", "model", parse_utc("stamp").alias("ts"), *[F.when(F.col("has_last"), F.col(f"last_{n}")).otherwise(F.col(f"{n}_delta")).cast("long").alias(n) for n in names], "file")
+
+
+def explode_limits(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
+    """Quota windows of a JSON map: used (0 to 100), what remains, minutes and reset time; others are left out."""
+    m = F.from_json(json_col, "map<string, struct<used_percent: double, window_minutes: long, resets_at: long>>")
+    rows = df.select(*keys, F.explode(m).alias("window", "v"))
+    used = bounded_number("v.used_percent", 0, 100)
+    return rows.select(*keys, "window", used.alias("used"), (F.lit(100) - used).alias("remaining"), F.col("v.window_minutes").alias("minutes"), F.timestamp_seconds("v.resets_at").alias("resets_at")).filter("used is not null")
+
+
+def read_event_log(spark: SparkSession, path: str | list[str], kinds: list[str] = KINDS) -> DataFrame:
+    """Build-log events with ``skip``: malformed, not_object, no_timestamp or null; unknown kinds become other."""
+    rows = lines(spark, path).filter(F.length(F.trim("value")) > 0)
+    r = F.from_json("value", "ts string, kind string, row string, round string, state string, exit string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    ts = parse_utc("r.ts")
+    skip = F.when(~F.trim("value").startswith("{"), "not_object").when(F.col("r._bad").isNotNull() | F.col("r").isNull(), "malformed").when(ts.isNull(), "no_timestamp")
+    return rows.withColumn("r", r).select(ts.alias("ts"), F.when(F.col("r.kind").isin(*kinds), F.col("r.kind")).otherwise("other").alias("kind"), F.col("r.row").alias("row_id"), F.col("r.round").alias("round"), F.col("r.state").alias("state"), F.col("r.exit").try_cast("long").alias("exit_code"), skip.alias("skip"))
+
+
+def assemble_rounds(files: DataFrame, names: list[str] = ("builder", "judge", "verdict", "surfaces")) -> DataFrame:
+    """A row for each spec and round from (path, content) of files spec/roundN/name.json; complete if all are there."""
+    key = r"([^/]+)/round(\d+)/([a-z]+)\.json$"
+    at = files.select(F.regexp_extract("path", key, 1).alias("spec"), F.regexp_extract("path", key, 2).try_cast("long").alias("round"), F.regexp_extract("path", key, 3).alias("name"), "content").filter("spec <> ''")
+    wide = at.groupBy("spec", "round").pivot("name", list(names)).agg(F.max("content"))
+    return wide.withColumn("complete", F.forall(F.array(*names), lambda c: c.isNotNull()))
+
+
+def read_test_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Suites of XML test reports: name, tests, failures, errors and time stamp."""
+    schema = "_name string, _tests long, _failures long, _errors long, _timestamp string"
+    x = spark.read.format("xml").option("rowTag", "testsuite").schema(schema).load(path)
+    return x.select(F.col("_name").alias("name"), F.col("_tests").alias("tests"), F.col("_failures").alias("failures"), F.col("_errors").alias("errors"), F.col("_timestamp").alias("stamp"))
+
+
+def facts_from_names(df: DataFrame, path: str, pattern: str, fields: list[str]) -> DataFrame:
+    """The groups of a pattern in file names; names that don't fit are left out."""
+    return df.select("*", *[F.regexp_extract(path, pattern, i + 1).alias(f) for i, f in enumerate(fields)]).filter(F.col(path).rlike(pattern))
+
+
+def explode_state(df: DataFrame, json_col: str, keys: list[str], most: int = 100) -> DataFrame:
+    """Distinct ids by set of a state snapshot, at most ``most`` of each."""
+    m = F.from_json(json_col, "map<string, array<string>>")
+    return df.select(*keys, F.explode(m).alias("set_name", "ids")).select(*keys, "set_name", F.explode(F.slice(F.array_distinct("ids"), 1, most)).alias("id"))
+
+
+def count_lines(df: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:
+    """Lines of a text and how many fit the pattern."""
+    ls = F.split(text, "\n")
+    return df.select(*keys, F.size(ls).alias("n_lines"), F.size(F.filter(ls, lambda x: x.rlike(pattern))).alias("n_matching"))
+
+
+def parse_accept_log(df: DataFrame, line: str) -> DataFrame:
+    """sha, day, subject and the row and digest in the subject of tab-separated lines; ``rejected`` tells what doesn't fit."""
+    p = F.split(line, "\t", 3)
+    day = F.get(p, F.lit(1)).try_cast("date")
+    subject = F.get(p, F.lit(2))
+    row = F.nullif(F.regexp_extract(subject, r"accept (\S+)", 1), F.lit(""))
+    ok = F.get(p, F.lit(0)).rlike("^[0-9a-f]{7,64}$") & day.isNotNull() & row.isNotNull()
+    return df.select(F.get(p, F.lit(0)).alias("sha"), day.alias("day"), row.alias("row_id"), F.regexp_extract(subject, r"\[([0-9a-f]+)\]", 1).alias("digest"), (~F.coalesce(ok, F.lit(False))).alias("rejected"))
+
+
+def front_matter(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """The key: value header between --- lines as a map; no header gives an empty map."""
+    block = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(\n|$)", 1)
+    pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
+    entry = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    return df.select(*keys, F.map_from_entries(entry).alias("header"))
+
+
+def explode_provider_snapshot(df: DataFrame, json_col: str, observed: str, now: int, keys: list[str], stale_after: int = 7200) -> DataFrame:
+    """Windows of a provider's snapshot, with its age and whether it is stale."""
+    s = F.from_json(json_col, "provider string, windows array<struct<name: string, used: double>>")
+    rows = df.select(*keys, F.col(observed).alias("_o"), s.alias("s")).select(*keys, "_o", F.col("s.provider").alias("provider"), F.explode("s.windows").alias("w"))
+    return rows.select(*keys, "provider", F.col("w.name").alias("window"), bounded_number("w.used", 0, 100).alias("used"), (F.lit(now) - F.col("_o")).alias("age"), (F.lit(now) - F.col("_o") > stale_after).alias("stale"))
+
+
+def explode_cached_utilization(df: DataFrame, json_col: str, now: int, max_age: int, keys: list[str]) -> DataFrame:
+    """Both windows of a cached observation, or neither if one is invalid, it lies over 300 s ahead, or is too old."""
+    s = F.from_json(json_col, "observed_ms long, five_hour double, seven_day double")
+    at = F.floor(F.col("s.observed_ms") / 1000)
+    fine = F.forall(F.array("s.five_hour", "s.seven_day"), lambda x: x.isNotNull() & x.between(0, 100)) & (at <= now + 300) & (at >= now - max_age)
+    rows = df.select(*keys, s.alias("s")).filter(fine)
+    return rows.select(*keys, at.alias("observed_at"), F.explode(F.array(F.struct(F.lit("five_hour").alias("window"), F.col("s.five_hour").alias("used")), F.struct(F.lit("seven_day").alias("window"), F.col("s.seven_day").alias("used")))).alias("w")).select(*keys, "observed_at", "w.*")
+
+
+def read_registry(df: DataFrame, json_col: str) -> DataFrame:
+    """(root, project, exact) rules of a registry in JSON: a map from project to its paths and prefixes."""
+    m = F.from_json(json_col, "map<string, struct<paths: array<string>, prefixes: array<string>>>")
+    rows = df.select(F.explode(m).alias("project", "r")).filter(F.col("project").rlike("^[a-z0-9][a-z0-9-]*$"))
+    one = lambda c, exact: rows.select(F.explode(f"r.{c}").alias("root"), "project", F.lit(exact).alias("exact"))
+    return one("paths", True).unionByName(one("prefixes", False)).distinct()
+
+
+def parse_run_log(df: DataFrame, line: str, keys: list[str]) -> DataFrame:
+    """<time> mode=<m> trigger=<t> start|finish exit=<n>; other lines are malformed."""
+    p = r"^(\S+) mode=(\w+) trigger=(\w+) (start|finish)(?: exit=(-?\d+))?$"
+    g = lambda i: F.nullif(F.regexp_extract(line, p, i), F.lit(""))
+    return df.select(*keys, parse_utc(g(1)).alias("ts"), g(2).alias("mode"), g(3).alias("trigger"), g(4).alias("event"), g(5).try_cast("long").alias("exit_code"), (~F.col(line).rlike(p)).alias("malformed"))
+
+
+def classify_intervals(df: DataFrame, json_col: str, projects: list[str], modes: list[str], now: int, keys: list[str]) -> DataFrame:
+    """Intervals of a ledger with the first reason to leave each out, or null.
+
+    The key set is closed; lines have at most 4096 bytes.
+    """
+    fields = ["schema_version", "event_id", "project_id", "mode", "started_at", "ended_at", "status"]
+    r = F.from_json(json_col, ", ".join(f"{f} string" for f in fields))
+    raw = F.from_json(json_col, "map<string, string>")
+    start, end = F.unix_seconds(parse_utc("r.started_at")), F.unix_seconds(parse_utc("r.ended_at"))
+    reason: Column = (
+        F.when(F.octet_length(json_col) > 4096, "too_long")
+        .when(F.col("m").isNull(), "malformed")
+        .when(F.array_sort(F.map_keys("m")) != F.array(*[F.lit(f) for f in sorted(fields)]), "fields")
+        .when(F.col("r.schema_version") != "1", "version")
+        .when(~F.col("r.project_id").isin(*projects), "project")
+        .when(~F.col("r.mode").isin(*modes), "mode")
+        .when(F.col("r.status") != "complete", "status")
+        .when(start.isNull() | end.isNull(), "timestamp")
+        .when(end <= start, "empty")
+        .when(end > now, "future")
+    )
+    rows = df.withColumn("r", r).withColumn("m", raw)
+    return rows.select(*keys, F.col("r.event_id").alias("event_id"), F.col("r.project_id").alias("project_id"), F.col("r.mode").alias("mode"), start.alias("started_at"), end.alias("ended_at"), reason.alias("exclude_reason"))
+
+
+def source_meta(df: DataFrame, source: str, ts: str, skipped: Column) -> DataFrame:
+    """By source: status, coverage, rows taken and skipped."""
+    n, bad = F.count_if(~skipped), F.count_if(skipped)
+    status = F.when(n == 0, "empty").when(bad > 0, "partial").otherwise("ok")
+    seen = F.when(~skipped, F.col(ts))
+    return df.groupBy(source).agg(status.alias("status"), F.min(seen).alias("covers_from"), F.max(seen).alias("covers_to"), n.alias("ingested"), bad.alias("skipped"))
+
+
+def with_last_good(fresh: DataFrame | None, cache: DataFrame, available: bool) -> DataFrame:
+    """Fresh rows if the source is available, else the cached ones; ``cached_last_good`` says which."""
+    if available and fresh is not None:
+        return fresh.withColumn("cached_last_good", F.lit(False))
+    return cache.withColumn("cached_last_good", F.lit(True))

@@ -164,7 +164,7 @@ def src15(spark, d):
     return S.parse_run_log(rows, "line", ["event_id"]).select("event_id", F.unix_seconds("ts").alias("at_s"), "mode", "event", "exit_code", "malformed")
 
 
-@query("src16_interval_ledger", """select event_id, case when event_id % 31 = 0 then 'malformed' when event_id % 29 = 0 then 'fields' when event_id % 23 = 0 then 'version' when user_id % 20 >= 18 then 'project' when event_type = 'error' then 'mode' when event_id % 19 = 0 then 'status' when event_id % 17 = 0 then 'timestamp' when floor(value) = 0 then 'empty' when ts >= timestamp '2024-01-30' then 'future' end as exclude_reason from events""")
+@query("src16_interval_ledger", """select event_id, case when event_id % 31 = 0 then 'malformed' when event_id % 29 = 0 then 'fields' when event_id % 23 = 0 then 'version' when user_id % 20 >= 18 then 'project' when event_type = 'error' then 'mode' when event_id % 19 = 0 then 'status' when event_id % 17 = 0 then 'timestamp' when floor(value) = 0 and ts < timestamp '2024-01-30' then 'empty' when ts >= timestamp '2024-01-30' then 'future' end as exclude_reason from events""")
 def src16(spark, d):
     e = V.read(spark, d, "events")
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))

@@ -1,0 +1,130 @@
+"""Hand-computed cases, boundaries and conservation laws."""
+
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from ledgerflow.functions import pricing as P
+from ledgerflow.functions import scalars as S
+from ledgerflow.operators import intervals as I
+from ledgerflow.operators import joins as J
+from ledgerflow.operators import merge as M
+from ledgerflow.operators import ranking as R
+from ledgerflow.operators import sequence as W
+from ledgerflow.sources import readers
+from ledgerflow.streaming import streams
+
+USAGE = "vendor string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_5m_tokens long, cache_write_1h_tokens long, cached_input_tokens long, cache_write_tokens long"
+RATES = [("vendor_a", "m", 30000, 3000, 37500, 60000, 150000, None, None, None), ("vendor_b", "n", 12500, 1250, None, None, 100000, 272000, 4, 3)]
+
+
+def one(df):
+    return df.collect()[0]
+
+
+def test_price_of_five_classes(spark):
+    df = spark.createDataFrame([("vendor_a", "m", 100, 10, 1000, 50, 20, None, None)], USAGE)
+    r = one(P.price_usage(df, P.read_prices(spark, RATES)).withColumn("usd", P.dollars("units")))
+    assert abs(r.usd - (100 * 3 + 10 * 15 + 1000 * 0.3 + 50 * 3.75 + 20 * 6) / 1e6) < 1e-12 and r.unpriced_tokens == 0
+
+
+def test_long_context_is_judged_by_row(spark):
+    rows = [("vendor_b", "n", 272000, 10, None, None, None, 0, 0), ("vendor_b", "n", 272001, 10, None, None, None, 0, 0)]
+    got = [r.long_context for r in P.price_usage(spark.createDataFrame(rows, USAGE), P.read_prices(spark, RATES)).orderBy("input_tokens").collect()]
+    assert got == [False, True]
+
+
+def test_unpriced_parts_stay_apart(spark):
+    rows = [("vendor_b", "n", 100, 5, None, None, None, 10, 30), ("vendor_b", "nn", 100, 5, None, None, None, 10, 30)]
+    got = {r.model: (r.unpriced_tokens, r.units) for r in P.price_usage(spark.createDataFrame(rows, USAGE), P.read_prices(spark, RATES)).collect()}
+    assert got["n"][0] == 30 and got["nn"] == (105, 0)
+
+
+def test_estimate_spans_the_vendors_cards(spark):
+    cards = [("vendor_a", x, r, 0, 0, 0, r, None, None, None) for x, r in (("x", 7500), ("y", 57500))]
+    df = spark.createDataFrame([("vendor_a", "z", 1000000, 0)], "vendor string, model string, input_tokens long, output_tokens long")
+    r = one(P.estimate_unpriced(df, P.read_prices(spark, cards), {"input_tokens": "r_input", "output_tokens": "r_output"}))
+    assert [x / 2e10 for x in (r.low, r.mid, r.high)] == [0.75, 3.25, 5.75]
+
+
+def test_paths_and_numbers(spark):
+    df = spark.createDataFrame([(p,) for p in (r"C:\A\..\b", "//wsl$/U/home/./x/", "rel/x", "/a//b/../../..", None)], "p string")
+    assert [r[0] for r in df.select(S.canonicalize_path("p")).collect()] == ["/mnt/c/b", "/home/x", None, "/", None]
+    n = spark.createDataFrame([(x,) for x in ("7.9", "-3", "true", "x", None)], "n string")
+    assert [r[0] for r in n.select(S.safe_int("n", 5)).collect()] == [7, 0, 1, 5, 5]
+
+
+def test_fifo_pairs_like_a_queue(spark):
+    events = ["c", "o", "o", "c", "c", "c", "o"]
+    df = spark.createDataFrame([(1, i, k) for i, k in enumerate(events)], "key int, at long, kind string")
+    got = sorted((r.opened_at, r.closed_at) for r in W.match_fifo(df, ["key"], ["at"], "kind", "o", "c", "at").collect())
+    assert got == [(1, 3), (2, 4), (6, None)]
+
+
+def test_overlaps_drop_both_and_touching_ends_do_not(spark):
+    df = spark.createDataFrame([(1, 0, 10, 1), (1, 5, 15, 2), (1, 15, 20, 3), (2, 0, 10, 4), (1, 7, 7, 5)], "lane int, s long, e long, id int")
+    got = {r.id: r.overlaps for r in I.flag_overlaps(df, "lane", "s", "e", "id", bin=6).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_midnight_split_keeps_the_total(spark):
+    df = spark.createDataFrame([(I.DAY - 5, 2 * I.DAY + 7), (0, I.DAY), (3, 3)], "s long, e long")
+    parts = I.split_at_midnight(df, "s", "e")
+    assert parts.count() == 4
+    assert one(parts.agg(F.sum(F.col("part_end") - F.col("part_start"))))[0] == I.DAY + 12 + I.DAY
+
+
+def test_top_n_conserves_sums(spark):
+    df = spark.createDataFrame([(i % 2, f"l{i}", i) for i in range(50)], "k int, label string, v long")
+    top = R.top_n_plus_other(df, ["k"], "label", "v", [])
+    assert one(top.agg(F.sum("v")))[0] == sum(range(50)) and top.count() == 14
+
+
+def test_closed_days_stay(spark):
+    s = "day date, p string, v long"
+    old = spark.sql("select date'2024-01-01' day, 'a' p, 1L v union all select date'2024-01-03', 'a', 1L")
+    new = spark.sql("select date'2024-01-01' day, 'a' p, 9L v union all select date'2024-01-01', 'b', 2L union all select date'2024-01-02', 'b', 3L union all select date'2024-01-03', 'a', 5L")
+    rows, clash = M.merge_closed_days(old, new, ["day", "p"], "2024-01-03")
+    assert sorted((str(r.day), r.p, r.v) for r in rows.collect()) == [("2024-01-01", "a", 1), ("2024-01-02", "b", 3), ("2024-01-03", "a", 5)]
+    assert [(str(r.day), r.p) for r in clash.collect()] == [("2024-01-01", "b")] and s
+
+
+def test_sessions_are_used_once(spark):
+    rows = [(1, 10, 5, False), (2, 10, 4, False), (3, 11, 9, True), (1, 11, 5, False)]
+    got = {(r.round_id, r.session_id, r.tier) for r in J.assign_once(spark.createDataFrame(rows, "round_id long, session_id long, ended long, exact boolean")).collect()}
+    assert got == {(2, 10, "correlated"), (3, 11, "exact")}
+
+
+def test_unknown_is_not_zero(spark):
+    w = W.bounds(spark, "2024-01-31", "2024-01-01", (7,))
+    df = spark.sql("select date'2024-01-30' day, 5L v")
+    got = {r.window_key: r.prior_v for r in W.window_compare(df, "day", w, {"v": F.sum("v")}, "2024-01-25").collect()}
+    assert got == {"7": None, "all": None}
+
+
+def test_message_log_last_snapshot_wins(spark, tmp_path):
+    use = lambda i, o: f'{{"timestamp":"2024-01-01T00:00:00Z","sessionId":"s","message":{{"id":"{i}","model":"m","usage":{{"input_tokens":2,"output_tokens":{o},"cache_creation":{{"ephemeral_5m_input_tokens":3,"ephemeral_1h_input_tokens":4}},"cache_read_input_tokens":11}}}}}}'
+    (tmp_path / "a.jsonl").write_text("\n".join([use("x", 1), use("y", 5), '{"usage": torn', use("x", 5), '{"no":"use"}']))
+    rows = {r.message_id: r for r in readers.read_message_usage(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"x", "y"} and rows["x"].output_tokens == 5
+    assert (rows["x"].cache_write_5m_tokens, rows["x"].cache_write_1h_tokens) == (3, 4)
+
+
+def test_turn_log_falls_back_to_growth(spark, tmp_path):
+    t = lambda i, last="": f'{{"timestamp":"2024-01-01T00:00:0{i % 10}Z","type":"event_msg","payload":{{"type":"token_count","info":{{"total_token_usage":{{"input_tokens":{i},"output_tokens":1}}{last}}}}}}}'
+    (tmp_path / "a.jsonl").write_text("\n".join(['{"type":"session_meta","payload":{"id":"s","cwd":"/w"}}', '{"type":"turn_context","payload":{"model":"m"}}', t(120), t(120), t(157), t(158, ',"last_token_usage":{"input_tokens":9}')]))
+    rows = sorted((r.input_tokens, r.session_id, r.model) for r in readers.read_turn_usage(spark, str(tmp_path)).collect())
+    assert rows == [(9, "s", "m"), (37, "s", "m"), (120, "s", "m")]
+
+
+def test_stream_and_batch_deltas_agree(spark, tmp_path):
+    df = spark.createDataFrame([Row(key=k, at=a, total=t) for k, a, t in ((1, 1, 5), (1, 2, 9), (1, 3, 4), (2, 1, 7))])
+    df.write.parquet(str(tmp_path / "in"))
+    rows = streams.stream_table(spark, str(tmp_path / "in"), df.schema)
+    got = streams.drain(streams.stream_deltas(rows, "key", "at", "total"), str(tmp_path / "out"), str(tmp_path / "mark"))
+    want = W.cumulative_delta(df, ["key"], ["at"], ["total"]).selectExpr("key", "at", "total_delta as delta")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_duration_clamp(spark):
+    df = spark.createDataFrame([(-5,), (10,), (49 * 3600,)], "s long").select(S.clamp_duration("s", 48 * 3600).alias("d")).select("d.*")
+    assert [(r.seconds, r.anomalous) for r in df.collect()] == [(0, True), (10, False), (172800, True)]

@@ -100,3 +100,9 @@ def scenario_values(df: DataFrame, assumptions: DataFrame) -> DataFrame:
         value(F.col("hours") + F.col("cash") / F.col("hourly")).alias("equivalent"),
         value(F.col("hours") * F.col("share") * F.col("alternative")).alias("opportunity"),
     )
+
+
+def enrich_history(history: DataFrame, prices: DataFrame, classes: dict[str, str], keys: list[str]) -> DataFrame:
+    """Estimates of stored unpriced rows at today's rates, summed by ``keys``; the stored rows are not touched."""
+    g = estimate_unpriced(history, prices, classes).groupBy(*keys)
+    return g.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("low").alias("low"), F.sum("high").alias("high"))

@@ -19,7 +19,7 @@ def resolve_by_prefix(df: DataFrame, rules: DataFrame, path: str, default: str)
     steps = F.split("_path", "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
     spread = df.select(F.col(path).alias("_path")).distinct().withColumn("root", F.explode(ups))
-    hits = spread.join(F.broadcast(rules), "root").filter(~F.col("exact") | (F.col("root") == F.col("_path")))
+    hits = spread.join(rules, "root").filter(~F.col("exact") | (F.col("root") == F.col("_path")))
     best = hits.groupBy("_path").agg(F.min_by("project", F.struct((~F.col("exact")).alias("e"), (-F.length("root")).alias("l"), F.col("project").alias("p"))).alias("project"))
     return df.join(best, F.col(path) == F.col("_path"), "left").drop("_path").withColumn("project", F.coalesce("project", F.lit(default)))
 

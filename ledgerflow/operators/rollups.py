@@ -160,3 +160,57 @@ def recent_specs(rounds: DataFrame, windows: DataFrame, n: int = 6) -> DataFrame
     g = hit.groupBy("window_key", "spec").agg(F.max("ended_on").alias("latest"), F.max_by("verdict", "round").alias("verdict"), F.sum("cents").alias("cents"))
     w = Window.partitionBy("window_key").orderBy(F.col("latest").desc(), F.col("spec").desc())
     return g.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+
+
+def candidate_rollup(sessions: DataFrame, unregistered: Column) -> DataFrame:
+    """Sessions and tokens of projects that no rule names."""
+    return sessions.filter(unregistered).groupBy("project_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("input_tokens").alias("input_tokens"))
+
+
+def round_stats(rounds: DataFrame, keys: list[str]) -> DataFrame:
+    return rounds.groupBy(*keys).agg(F.count(F.lit(1)).alias("rounds"), F.count_distinct("spec").alias("specs"), F.min(F.when(F.col("accepted"), F.col("round"))).alias("first_accepted"), F.sum("findings").alias("findings"), F.max("round").alias("last_round"))
+
+
+def scope_usage(df: DataFrame, scope: str, loop: str, value: str) -> DataFrame:
+    """Sums by scope, model and day, by model and day, and over all, with the loop's share."""
+    sets = [[F.col(scope), F.col("model"), F.col("day_utc")], [F.col("model"), F.col("day_utc")], []]
+    rows = df.withColumn("_loop", F.when(F.col(scope) == loop, F.col(value)))
+    return rows.groupingSets(sets, scope, "model", "day_utc").agg(F.sum(value).alias(value), (F.floor(F.sum("_loop") / F.sum(value) * 10000 + 0.5) / 10000).alias("loop_share"))
+
+
+def round_totals(rounds: DataFrame, key: str, flags: list[str], sums: list[str]) -> DataFrame:
+    """Sums by key and the sorted union of several flag columns."""
+    union = F.array_distinct(F.flatten(F.array(*[F.collect_set(f) for f in flags])))
+    return rounds.groupBy(key).agg(*_sums(sums), F.array_sort(union).alias("flags"))
+
+
+def spec_totals(rounds: DataFrame, key: str, by: str, value: str) -> DataFrame:
+    """The sum by key, and its parts as a map."""
+    g = rounds.groupBy(key, by).agg(F.sum(value).alias(value))
+    return g.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, value)))).alias("parts"), F.sum(value).alias(value))
+
+
+def headline(specs: DataFrame) -> DataFrame:
+    """One row: specs, accepted ones, money, money by accepted spec, median rounds and efficiency; null where nothing was accepted."""
+    n = F.count_if("accepted")
+    paid = F.sum(F.when(F.col("accepted"), F.col("cents")))
+    return specs.agg(F.count(F.lit(1)).alias("specs"), n.alias("accepted_specs"), F.sum("cents").alias("cents"), F.when(n > 0, paid / n).alias("cents_per_accepted"), F.percentile(F.col("rounds").cast("double"), 0.5).alias("median_rounds"), (n / F.sum("rounds")).alias("efficiency"))
+
+
+def window_outcomes(rounds: DataFrame, windows: DataFrame, valid_days: int = 60) -> DataFrame:
+    """By window: rounds, accepted specs, findings, the median of valid durations and money by accepted spec."""
+    n = F.count_distinct(F.when(F.col("accepted"), F.col("spec")))
+    valid = F.when(F.col("raw_days").between(0, valid_days), F.col("raw_days").cast("double"))
+    return window_sums(rounds, "ended_on", windows, {"rounds": F.count(F.lit(1)), "accepted_specs": n, "findings": F.sum("findings"), "median_days": F.percentile(valid, 0.5), "cents_per_accepted": F.when(n > 0, F.sum("cents") / n)})
+
+
+def probe_health(df: DataFrame, keys: list[str], ok: Column, name: str) -> DataFrame:
+    """How many probes there were, the share that was fine, and how many names had gaps."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.count_if(ok) / F.count(F.lit(1))).alias("ok_share"), F.count_distinct(F.when(~ok, F.col(name))).alias("gap_names"))
+
+
+def attention_totals(df: DataFrame, entity: str, size: Column, mode: str, stewardship: list[str], rework: list[str]) -> DataFrame:
+    """Hours, stewardship hours, shares of rework and of the largest entity; null, not 0, without records."""
+    part = lambda m: F.coalesce(F.sum(F.when(F.col(mode).isin(*m), size)), F.lit(0))
+    g = df.groupBy(entity).agg(F.sum(size).alias("m"), part(rework).alias("r"), part(stewardship).alias("s"))
+    return g.agg((F.sum("m") / 3.6e9).alias("hours"), (F.sum("s") / 3.6e9).alias("stewardship"), (F.sum("r") / F.sum("m")).alias("rework_share"), (F.max("m") / F.sum("m")).alias("top_share"), F.count(F.lit(1)).alias("projects"))

@@ -118,7 +118,7 @@ def dq11(spark, d):
     return spark.read.schema("part long, n long, version int, day date").parquet(to).select("day", "part", "n", "version")
 
 
-@query("dq12_metric_catalog", "select 'fields' as check, count(*) as n, count(*) filter (p_name is not null and p_type is not null and p_brand is not null and p_size is not null) as complete, count(distinct p_partkey) = count(*) as ids_unique from part")
+@query("dq12_definitions_complete", "select 'fields' as check, count(*) as n, count(*) filter (p_name is not null and p_type is not null and p_brand is not null and p_size is not null) as complete, count(distinct p_partkey) = count(*) as ids_unique from part")
 def dq12(spark, d):
     """The catalogue check over part as metric rows: all fields present, ids unique."""
     p = V.read(spark, d, "part")

@@ -63,8 +63,7 @@ def ag02(spark, d):
 
 @query("ag03_candidate_rollup", f"with {OBS} select project_id, count(distinct session_id) as sessions, sum(input_tokens)::bigint as input_tokens from obs where project_id >= 10 group by 1")
 def ag03(spark, d):
-    s = G.session_rollup(V.obs(spark, d)).filter("project_id >= 10")
-    return s.groupBy("project_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("input_tokens").alias("input_tokens"))
+    return G.candidate_rollup(G.session_rollup(V.obs(spark, d)), F.col("project_id") >= 10)
 
 
 @query("ag04_daily_rollup", f"with {PRICED}, o as (select obs.*, p.units from obs join priced p using (event_id)) select day_utc, project_id, vendor, host_os, count(distinct session_id) as sessions, {TOK}, sum(units)::bigint as units from o group by all")
@@ -134,7 +133,7 @@ def ag13(spark, d):
 
 @query("ag14_round_stats", f"with {RND} select builder, verdict, count(*) as rounds, count(distinct spec) as specs, min(case when accepted then round end) as first_accepted, sum(findings)::bigint as findings, max(round) as last_round from rnd group by all")
 def ag14(spark, d):
-    return V.rnd(spark, d).groupBy("builder", "verdict").agg(F.count(F.lit(1)).alias("rounds"), F.count_distinct("spec").alias("specs"), F.min(F.when(F.col("accepted"), F.col("round"))).alias("first_accepted"), F.sum("findings").alias("findings"), F.max("round").alias("last_round"))
+    return G.round_stats(V.rnd(spark, d), ["builder", "verdict"])
 
 
 @query("ag15_nested_counts", f"with {RND}, g as (select ended_on, builder, count(*) as n from rnd group by all) select ended_on, string_agg(builder || '=' || n, ',' order by builder) as counts from g group by 1")
@@ -161,10 +160,7 @@ def ag17(spark, d):
 
 @query("ag18_scope_usage", f"with {OBS}, g as (select case when project_id < 5 then 'loop' else 'other' end as scope, model, day_utc, input_tokens from obs) select scope, model, day_utc, sum(input_tokens)::bigint as input_tokens, floor(sum(input_tokens) filter (scope = 'loop')::double / sum(input_tokens) * 10000 + 0.5) / 10000 as loop_share from g group by grouping sets ((scope, model, day_utc), (model, day_utc), ())")
 def ag18(spark, d):
-    rows = V.obs(spark, d).withColumn("scope", F.when(F.col("project_id") < 5, "loop").otherwise("other"))
-    loop = F.sum(F.when(F.col("scope") == "loop", F.col("input_tokens")))
-    sets = [[F.col("scope"), F.col("model"), F.col("day_utc")], [F.col("model"), F.col("day_utc")], []]
-    return rows.withColumn("_loop", F.when(F.col("scope") == "loop", F.col("input_tokens"))).groupingSets(sets, "scope", "model", "day_utc").agg(F.sum("input_tokens").alias("input_tokens"), (F.floor(F.sum("_loop") / F.sum("input_tokens") * 10000 + 0.5) / 10000).alias("loop_share"))
+    return G.scope_usage(V.obs(spark, d).withColumn("scope", F.when(F.col("project_id") < 5, "loop").otherwise("other")), "scope", "loop", "input_tokens")
 
 
 _TIER = "case when verdict = 'F' then 'exact' when verdict = 'O' then 'correlated' else 'unattributed' end"
@@ -178,22 +174,19 @@ def ag19(spark, d):
 
 @query("ag20_round_totals", f"with {RND} select spec, sum(cents)::bigint as cents, sum(findings)::bigint as findings, string_agg(distinct flag, ',' order by flag) as flags from (select spec, cents, findings, unnest([verdict, builder]) as flag, generate_subscripts([verdict, builder], 1) as i from rnd) where i = 1 or i = 2 group by spec")
 def ag20(spark, d):
-    g = V.rnd(spark, d).groupBy("spec").agg((F.sum("cents") * 2).alias("cents"), (F.sum("findings") * 2).alias("findings"), F.collect_set("verdict").alias("a"), F.collect_set("builder").alias("b"))
-    return g.select("spec", "cents", "findings", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("flags"))
+    g = G.round_totals(V.rnd(spark, d).withColumns({"cents": F.col("cents") * 2, "findings": F.col("findings") * 2}), "spec", ["verdict", "builder"], ["cents", "findings"])
+    return g.withColumn("flags", F.array_join("flags", ","))
 
 
 @query("ag21_spec_totals", f"with {RND}, g as (select spec, builder, sum(cents)::bigint as cents from rnd group by all) select spec, sum(cents)::bigint as cents, string_agg(builder || '=' || cents, ',' order by builder) as by_builder from g group by 1")
 def ag21(spark, d):
-    g = V.rnd(spark, d).groupBy("spec", "builder").agg(F.sum("cents").alias("cents"))
-    m = g.groupBy("spec").agg(F.sum("cents").alias("cents"), F.array_sort(F.collect_list(F.struct("builder", F.col("cents").alias("c")))).alias("m"))
-    return m.select("spec", "cents", F.array_join(F.transform("m", lambda e: F.concat(e["builder"], F.lit("="), e["c"].cast("string"))), ",").alias("by_builder"))
+    m = G.spec_totals(V.rnd(spark, d), "spec", "builder", "cents")
+    return m.select("spec", "cents", F.array_join(F.transform(F.map_entries("parts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("by_builder"))
 
 
 @query("ag22_headline", f"with {RND}, s as (select spec, bool_or(accepted) as accepted, count(*) as rounds, sum(cents)::bigint as cents from rnd group by 1) select count(*) as specs, count(*) filter (accepted) as accepted_specs, sum(cents)::bigint as cents, sum(cents) filter (accepted)::double / count(*) filter (accepted) as cents_per_accepted, quantile_cont(rounds::double, 0.5) as median_rounds, count(*) filter (accepted)::double / sum(rounds)::double as efficiency from s")
 def ag22(spark, d):
-    s = V.rnd(spark, d).groupBy("spec").agg(F.bool_or("accepted").alias("accepted"), F.count(F.lit(1)).alias("rounds"), F.sum("cents").alias("cents"))
-    n = F.count_if("accepted")
-    return s.agg(F.count(F.lit(1)).alias("specs"), n.alias("accepted_specs"), F.sum("cents").alias("cents"), (F.sum(F.when(F.col("accepted"), F.col("cents"))) / n).alias("cents_per_accepted"), F.percentile(F.col("rounds").cast("double"), 0.5).alias("median_rounds"), (n / F.sum("rounds")).alias("efficiency"))
+    return G.headline(V.rnd(spark, d).groupBy("spec").agg(F.bool_or("accepted").alias("accepted"), F.count(F.lit(1)).alias("rounds"), F.sum("cents").alias("cents")))
 
 
 @query("ag23_week_over_week", f"with {RND}, w as (select case when date_diff('day', ended_on, date '2001-08-01') between 0 and 6 then 'this' when date_diff('day', ended_on, date '2001-08-01') between 7 and 13 then 'last' end as w, * from rnd), g as (select count(*) filter (w = 'this') as a, count(*) filter (w = 'last') as b, sum(cents) filter (w = 'this')::bigint as this_cents, sum(cents) filter (w = 'last')::bigint as last_cents, sum(findings) filter (w = 'this')::bigint as this_findings, sum(findings) filter (w = 'last')::bigint as last_findings from w) select this_cents, last_cents, this_findings, last_findings, this_cents - last_cents as delta_cents, this_findings - last_findings as delta_findings, case when a = 0 then 'nothing this week' when b = 0 then 'nothing last week' else '' end as reason from g")
@@ -227,10 +220,7 @@ def ag25(spark, d):
 @query("ag26_window_outcomes", f"""with {RND}, {BOUNDS} select window_key, count(*) as rounds, count(distinct case when accepted then spec end) as accepted_specs, sum(findings)::bigint as findings, quantile_cont(case when raw_days between 0 and 60 then raw_days::double end, 0.5) as median_days,
   case when count(distinct case when accepted then spec end) > 0 then sum(cents)::double / count(distinct case when accepted then spec end) end as cents_per_accepted from rnd join bounds on ended_on between from_day and to_day where part = 'current' group by 1""")
 def ag26(spark, d):
-    n = F.count_distinct(F.when(F.col("accepted"), F.col("spec")))
-    valid = F.when(F.col("raw_days").between(0, 60), F.col("raw_days").cast("double"))
-    aggs = {"rounds": F.count(F.lit(1)), "accepted_specs": n, "findings": F.sum("findings"), "median_days": F.percentile(valid, 0.5), "cents_per_accepted": F.when(n > 0, F.sum("cents") / n)}
-    return G.window_sums(V.rnd(spark, d), "ended_on", order_bounds(spark).filter("part = 'current'"), aggs).drop("part")
+    return G.window_outcomes(V.rnd(spark, d), order_bounds(spark).filter("part = 'current'")).drop("part")
 
 
 @query("ag27_recent_specs", f"with {RND}, {BOUNDS}, g as (select window_key, spec, max(ended_on) as latest, arg_max(verdict, round) as verdict, sum(cents)::bigint as cents from rnd join bounds on ended_on between from_day and to_day where part = 'current' group by all) select *, cast(row_number() over (partition by window_key order by latest desc, spec desc) as integer) as position from g qualify position <= 6")
@@ -240,7 +230,7 @@ def ag27(spark, d):
 
 @query("ag28_probe_health", f"with {LOG} select day_utc, count(*) as n, count(*) filter (exit_code = 0)::double / count(*) as ok_share, count(distinct case when exit_code <> 0 then kind end) as gap_names from log group by 1")
 def ag28(spark, d):
-    return V.log(spark, d).groupBy("day_utc").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("exit_code") == 0) / F.count(F.lit(1))).alias("ok_share"), F.count_distinct(F.when(F.col("exit_code") != 0, F.col("kind"))).alias("gap_names"))
+    return G.probe_health(V.log(spark, d), ["day_utc"], F.col("exit_code") == 0, "kind")
 
 
 @query("ag29_measurement_days", f"""with {LOG}, o as (select event_id, ts, day_utc, kind as source, case when exit_code = 0 then 'ok' when round = 0 then 'late' else 'failed' end as status from log), e as (select day_utc, source, status, count(*) as n from o group by all),
@@ -254,10 +244,7 @@ def ag29(spark, d):
 
 @query("ag30_attention_totals", f"with {ATT}, g as (select project_id, sum(end_us - start_us)::bigint as m, coalesce(sum(end_us - start_us) filter (mode = 'rework'), 0)::bigint as r, coalesce(sum(end_us - start_us) filter (mode in ('plan', 'review')), 0)::bigint as s from att group by 1) select sum(m)::double / 3600000000.0::double as hours, sum(s)::double / 3600000000.0::double as stewardship, sum(r)::double / sum(m)::double as rework_share, max(m)::double / sum(m)::double as top_share, count(*) as projects from g")
 def ag30(spark, d):
-    size = F.col("end_us") - F.col("start_us")
-    part = lambda *m: F.coalesce(F.sum(F.when(F.col("mode").isin(*m), size)), F.lit(0))
-    g = V.att(spark, d).groupBy("project_id").agg(F.sum(size).alias("m"), part("rework").alias("r"), part("plan", "review").alias("s"))
-    return g.agg((F.sum("m") / 3.6e9).alias("hours"), (F.sum("s") / 3.6e9).alias("stewardship"), (F.sum("r") / F.sum("m")).alias("rework_share"), (F.max("m") / F.sum("m")).alias("top_share"), F.count(F.lit(1)).alias("projects"))
+    return G.attention_totals(V.att(spark, d), "project_id", F.col("end_us") - F.col("start_us"), "mode", ["plan", "review"], ["rework"])
 
 
 @query("ag31_quota_status", f"with {LOG}, q as (select row_id % 10 as provider, case when k = 3 then 'error' when k = 4 then 'stale' when k = 5 then 'retained' else 'available' end as state, used from (select row_id, exit_code + round * 3 as k, round * 30 as used from log where event_id % 97 = 0)) select provider, case max(case state when 'error' then 3 when 'stale' then 2 when 'retained' then 1 else 0 end) when 3 then 'error' when 2 then 'stale' when 1 then 'retained' else 'available' end as status, min(100 - used) as remaining from q group by 1")

@@ -254,8 +254,8 @@ def pr06(spark, d):
 
 @query("pr07_enrich_history", f"with {_EST} select day_utc, vendor, count(*) as n_rows, sum(low)::bigint as low, sum(high)::bigint as high from est where day_utc < date '2024-01-15' group by all")
 def pr07(spark, d):
-    old = _estimates(spark, d).filter("day_utc < date '2024-01-15'")
-    return old.groupBy("day_utc", "vendor").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+    rows = V.obs(spark, d).select("event_id", "vendor", "model", "project_id", "day_utc", *_CLASSES).filter("day_utc < date '2024-01-15'")
+    return P.enrich_history(rows, V.prices(spark), _CLASSES, ["day_utc", "vendor"])
 
 
 @query("pr08_amortize", f"with {RND} select ended_on, count(*) filter (accepted) as accepted_units, 20000 * 12 / 365.2425::double as daily_cents, case when count(*) filter (accepted) > 0 then (20000 * 12 / 365.2425::double) / count(*) filter (accepted) end as cents_per_accepted from rnd group by 1")

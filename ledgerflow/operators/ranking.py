@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 
 def top_n_plus_other(df: DataFrame, keys: list[str], label: str, value: str, sums: list[str], n: int = 6, nulls: bool = False) -> DataFrame:
-    """The n labels of greatest value by key and one row 'other' that sums the rest.
+    """The n labels of greatest value by key and one row 'other' with the sums of the rest.
 
-    ``df`` has one row for each key and label.  Ties go to the lesser label.  With
-    ``nulls`` the sum of the rest is null where all its values are.
+    ``df`` has one row for each key and label.  Ties go to the lesser label.  The
+    rest is the key's totals less those of the top, so only n rows of a key are
+    ever ordered together; sums should be whole numbers.  With ``nulls`` the sum
+    of the rest is null where all its values are.
     """
+    cols = list(dict.fromkeys([value, *sums]))
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last(), F.col(label)))
-    ranked = df.withColumn("_rn", rn)
-    inside = F.col("_rn") <= n
-    total = (lambda c: F.sum(c)) if nulls else (lambda c: F.coalesce(F.sum(c), F.lit(0)))
-    g = ranked.groupBy(*keys, F.when(inside, F.col("_rn")).otherwise(n + 1).alias("position"))
-    name = F.when(F.min("_rn") <= n, F.min(F.col(label).cast("string"))).otherwise("other")
-    return g.agg(name.alias("label"), *[total(c).alias(c) for c in dict.fromkeys([value, *sums])], F.sum(F.when(inside, 0).otherwise(1)).alias("other_count"))
+    top = df.withColumn("position", rn).filter(F.col("position") <= n)
+    first = top.select(*keys, "position", F.col(label).cast("string").alias("label"), *cols, F.lit(0).cast("long").alias("other_count"))
+    if not nulls:
+        first = first.withColumns({c: F.coalesce(c, F.lit(0)) for c in cols})
+
+    def totals(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_rows{mark}"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{c}{mark}") for c in cols], *[F.count(c).alias(f"_k_{c}{mark}") for c in cols])
+
+    both = totals(df, "").join(totals(top, "_top"), keys).filter(F.col("_rows") > F.col("_rows_top"))
+    rest = lambda c: F.col(f"_sum_{c}") - F.col(f"_sum_{c}_top")
+    left = [(F.when(F.col(f"_k_{c}") > F.col(f"_k_{c}_top"), rest(c)) if nulls else rest(c)).alias(c) for c in cols]
+    other = both.select(*keys, F.lit(n + 1).alias("position"), F.lit("other").alias("label"), *left, (F.col("_rows") - F.col("_rows_top")).alias("other_count"))
+    return first.unionByName(other)
 
 
 def recent_n(df: DataFrame, order: list[Column], n: int = 6) -> DataFrame:

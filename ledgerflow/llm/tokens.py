@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
 import regex
 
-MEMO = 1_200_000
+MEMO = 600_000
 SPACED = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 #: The tokenizers' own rules for pre-tokens (fixed values).
 RULES = {
@@ -45,12 +47,10 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        path = public_tokenizers.path(name)
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
+        self.name = name
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
             spec = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
         #: The same model without its own cache: the memo stands before it.
@@ -60,37 +60,38 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.clear()
 
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer, for texts that the pieces' rules don't cover; most batches never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(self.name))
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint16)
-        self.used = 0
-        self.start = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
+        #: Ids of all remembered pieces, one after another; entry 0 is unused.
+        self.flat, self.start, self.size = array("H"), array("q", [0]), array("q", [0])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def _piece(self, piece: str) -> list[int]:
-        """The ids of a piece after a space; pieces of old Latin characters go straight to the model."""
-        if not ODD(piece):
-            tokenize, letters = self.model.tokenize, self.letters
-            found = self.pre(" " + piece) if self.spaced else self.pre(piece.lower())
-            return [t.id for p in found for t in tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(letters))]
-        return self.tokenizer.encode(" " + piece if self.spaced else piece, add_special_tokens=False).ids
+    def _ids(self, piece: str) -> list[int]:
+        """The ids of a text; if all its characters are old Latin ones its pre-tokens go straight to the model."""
+        if ODD(piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        tokenize, letters = self.model.tokenize, self.letters
+        found = self.pre(piece if self.spaced else piece.lower())
+        return [t.id for p in found for t in tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(letters))]
 
     def _add(self, piece: str) -> int:
-        """The memo's entry; -1 for a piece that can't stand alone."""
+        """The memo's entry for a piece after a space; -1 for one that can't stand alone."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             at = -1
         else:
-            ids, at = self._piece(piece), len(self.index) + 1
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)])
-            while at >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.size))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[at], self.size[at] = self.used, len(ids)
-            self.used += len(ids)
+            ids, at = self._ids(" " + piece if self.spaced else piece), len(self.start)
+            self.start.append(len(self.flat))
+            self.size.append(len(ids))
+            self.flat.extend(ids)
         self.index[piece] = at
         return at
 
@@ -102,7 +103,9 @@ class PieceEncoder:
             self.clear()
         pieces = text.split(" ")
         first = pieces[0]
-        if len(pieces) == 1 or self.spaced and (not first or first[-1].isspace()):
+        if len(pieces) == 1:
+            return np.array(self._ids(text), np.uint16)
+        if self.spaced and (not first or first[-1].isspace()):
             return self.whole(text)
         if self.spaced:
             del pieces[0]
@@ -110,11 +113,14 @@ class PieceEncoder:
             pieces = [p for p in pieces if p]
             if not pieces:
                 return np.zeros(0, np.uint16)
-        find, add = self.index.get, self._add
-        at = np.fromiter((find(p) or add(p) for p in pieces), np.int64, len(pieces))
+        found = list(map(self.index.get, pieces))
+        if None in found:
+            find, add = self.index.get, self._add
+            found = [k or find(p) or add(p) for k, p in zip(found, pieces)]
+        at = np.array(found, np.int64)
         if at.min() < 0:
             return self.whole(text)
-        sizes = self.size[at]
+        sizes = np.frombuffer(self.size, np.int64)[at]
         ends = np.cumsum(sizes)
-        out = self.ids[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + sizes, sizes)]
-        return np.concatenate([self.whole(first), out]) if self.spaced else out
+        out = np.frombuffer(self.flat, np.uint16)[np.arange(ends[-1]) + np.repeat(np.frombuffer(self.start, np.int64)[at] - ends + sizes, sizes)]
+        return np.concatenate([np.array(self._ids(first), np.uint16), out]) if self.spaced else out

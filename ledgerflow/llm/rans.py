@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 32
+LANES = 128
 ROWS = 256
-BLOCK_TOKENS = 1 << 15
+BLOCK_TOKENS = 1 << 16
 SCALE = 20
 LOW = np.uint64(1 << 31)
 _U = np.uint64
@@ -73,14 +73,17 @@ def encode(tokens: np.ndarray) -> Segment:
     gives = np.zeros((rows, blocks, LANES), bool)
     units = -(-rows // ROWS)
     states = np.zeros((blocks, units, LANES), _U)
+    most = freq << _U(31 - SCALE + 32)
     for r in range(rows - 1, -1, -1):
         s = grid[:, r]
         fr = freq[s]
-        over = x >= fr << _U(31 - SCALE + 32)
+        over = x >= most[s]
         given[r], gives[r] = x, over
-        x = np.where(over, x >> _U(32), x)
+        x >>= over.astype(_U) << _U(5)
         q = x // fr
-        x = (q << _U(SCALE)) + (x - q * fr) + start[s]
+        x -= q * fr
+        x += start[s]
+        x += q << _U(SCALE)
         if r % ROWS == 0:
             states[:, r // ROWS] = x
     by_block, mask = given.transpose(1, 0, 2).reshape(blocks, -1), gives.transpose(1, 0, 2).reshape(blocks, -1)

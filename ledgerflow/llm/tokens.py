@@ -58,6 +58,7 @@ class PieceEncoder:
         self.spaced = SPACED[name]
         self.pre = regex.compile(RULES[name]).findall
         self.letters = _byte_letters()
+        self.ends = {c: [t.id for t in self.model.tokenize(c)] for c in ".,"}
         self.clear()
 
     @cached_property
@@ -83,12 +84,29 @@ class PieceEncoder:
         found = self.pre(piece if self.spaced else piece.lower())
         return [t.id for p in found for t in tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(letters))]
 
+    def _word(self, piece: str) -> list[int]:
+        """The ids of a piece after a space; a Latin word, or one with a final stop or comma, needs no splitting."""
+        end = piece[-1]
+        word = piece[:-1] if end in ".," else piece
+        if word.isalpha():
+            if word.isascii():
+                mapped = word if self.spaced else word.lower()
+            else:
+                try:
+                    word.encode("latin-1")
+                except UnicodeEncodeError:
+                    return self._ids(" " + piece if self.spaced else piece)
+                mapped = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize("Ġ" + mapped if self.spaced else mapped)]
+            return ids if word is piece else ids + self.ends[end]
+        return self._ids(" " + piece if self.spaced else piece)
+
     def _add(self, piece: str) -> int:
         """The memo's entry for a piece after a space; -1 for one that can't stand alone."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             at = -1
         else:
-            ids, at = self._ids(" " + piece if self.spaced else piece), len(self.start)
+            ids, at = self._word(piece), len(self.start)
             self.start.append(len(self.flat))
             self.size.append(len(ids))
             self.flat.extend(ids)

@@ -136,6 +136,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     near = lambda x, y: (x * den >= y * num) & (y * den >= x * num)
     entries = nodes.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("hub"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("hub2")).filter("c > 1")
+    lists = scratch.save(lists, "lists")
     shared = scratch.save(entries.join(lists, "v"), "shared")
     short, long = shared.filter(F.col("c") <= SHORT), shared.filter(F.col("c") > SHORT)
     left = short.select("v", F.col("node").alias("a"), F.col("n").alias("n_a"))
@@ -151,31 +152,38 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     links = scratch.save(verified(likely, sets, num, den), "links")
     found = scratch.save(components(links, scratch, "first"), "found")
 
-    more = scratch.save(crowded_pairs(sets.join(crowded.select("node"), "node", "left_semi"), found, num, den), "more")
+    more = scratch.save(crowded_pairs(sets.join(crowded.select("node"), "node", "left_semi"), found, num, den, scratch), "more")
     links2 = scratch.save(verified(estimated(more, nodes, num / den - MARGIN), sets, num, den), "links2")
     if links2.isEmpty():
         final = found
     else:
         final = scratch.save(components(links.unionByName(links2), scratch, "second"), "final")
+    scratch.drop("nodes", "lists", "shared", "likely", "sets", "links", "often", "prefix", "largest", "mixed", "more", "links2")
     ids = keyed.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = join_ids(made.select("doc_id", "n", "k1", "k2"), ids, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def crowded_pairs(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) across known components, by an exact prefix join of full sets."""
+def crowded_pairs(sets: DataFrame, found: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) across known components, by an exact prefix join of full sets.
+
+    What is joined on shingles is written first: such a join reads two plain
+    shuffles, and Spark can split a shingle that very many documents have.
+    """
     rows = sets.join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"), F.explode("shingles").alias("s"))
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = scratch.save(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
     known = rows.join(often, "s")
     order = Window.partitionBy("node").orderBy("df", "s")
     size = Window.partitionBy("node")
     ranked = known.withColumn("r", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(size))
     place = F.col("r") + F.col("n") - F.col("m")
-    prefix = ranked.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("s", "node", "n", "comp", "at")
+    prefix = ranked.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    prefix = scratch.save(prefix.select("s", "node", "n", "comp", "at"), "prefix")
     by_comp = prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
-    largest = by_comp.groupBy("s").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("s", F.col("top.comp").alias("top"))
-    mixed = prefix.join(largest, "s")
+    largest = by_comp.groupBy("s").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1")
+    largest = scratch.save(largest.select("s", F.col("top.comp").alias("top")), "largest")
+    mixed = scratch.save(prefix.join(largest, "s"), "mixed")
     a = mixed.filter("comp <> top").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("at").alias("ax"))
     b = mixed.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("at").alias("ay"), (F.col("comp") == F.col("top")).alias("main"))
     rest = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + 1

@@ -58,7 +58,7 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner", most: int = 4_000_000) -> DataFrame:
+def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner", most: int = 2_000_000) -> DataFrame:
     """Join long rows with narrow ones: these are broadcast if there are at most ``most``, else both are shuffled."""
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
 

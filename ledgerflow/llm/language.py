@@ -133,7 +133,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
     temperature = grid[int(np.argmin(loss))]
     p = softmax(z / temperature)
     right = p.argmax(1) == y[aside]
-    threshold = min(0.5, 0.75 * float(p.max(1)[right].min())) if right.any() else 0.0
+    threshold = min(0.5, 0.6 * float(p.max(1)[right].min())) if right.any() else 0.0
     return LanguageModel(names, weights, bias, temperature, threshold)
 
 

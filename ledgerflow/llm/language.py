@@ -62,6 +62,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _limited(step: np.ndarray, most: float) -> np.ndarray:
+    """The step, shortened to a norm of at most ``most``, so that training can't run away."""
+    size = float(np.sqrt((step.astype(np.float64) ** 2).sum()))
+    return step * np.float32(most / size) if size > most else step
+
+
 def _counts(batches):
     for b in batches:
         column, at, value, n = b["text"], [], [], len(b)
@@ -122,9 +128,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
         g[np.arange(batch), y[some]] -= 1
         g *= weight[some, None] / batch
         e_grad = d.T @ (g @ w.T)
-        w -= 40 * rate * (hidden.T @ g)
+        w -= _limited(40 * rate * (hidden.T @ g), 1.0)
         b -= 0.2 * rate * g.sum(0)
-        e -= 400 * rate * e_grad
+        e -= _limited(400 * rate * e_grad, 4.0)
     weights, bias = (e @ w).astype(np.float32), b.astype(np.float64)
     aside = order[:kept_out] if kept_out else order
     z = np.vstack([dense(aside[i : i + 256]) @ weights for i in range(0, len(aside), 256)]) + bias

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bounded_number, parse_utc, safe_int
+from ..functions.scalars import bounded_number, parse_utc, rounded, safe_identifier, safe_int
 from ..operators.sequence import carry_forward, cumulative_delta
 
 _USAGE = "input_tokens string, output_tokens string, cache_read_input_tokens string, cache_creation_input_tokens string, cache_creation struct<ephemeral_5m_input_tokens string, ephemeral_1h_input_tokens string>"
@@ -104,10 +104,28 @@ def facts_from_names(df: DataFrame, path: str, pattern: str, fields: list[str])
     return df.select("*", *[F.regexp_extract(path, pattern, i + 1).alias(f) for i, f in enumerate(fields)]).filter(F.col(path).rlike(pattern))
 
 
-def explode_state(df: DataFrame, json_col: str, keys: list[str], most: int = 100) -> DataFrame:
-    """Distinct ids by set of a state snapshot, at most ``most`` of each."""
-    m = F.from_json(json_col, "map<string, array<string>>")
-    return df.select(*keys, F.explode(m).alias("set_name", "ids")).select(*keys, "set_name", F.explode(F.slice(F.array_distinct("ids"), 1, most)).alias("id"))
+def _json_list(text: Column) -> Column:
+    """The items of a JSON list as text; null for any other value."""
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+
+
+def explode_state(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
+    """Distinct ids by set of a state snapshot, all of them; entries that are not lists are no sets."""
+    m = F.from_json(json_col, "map<string, string>")
+    rows = df.select(*keys, F.explode(m).alias("set_name", "ids"))
+    return rows.select(*keys, "set_name", F.explode(F.array_distinct(_json_list(F.col("ids")))).alias("id"))
+
+
+def explode_curves(df: DataFrame, json_col: str, keys: list[str], most: int = 100) -> DataFrame:
+    """Defect curves of a state snapshot: (row_id, n, value) of ``curve_base``, a number or a list for each row.
+
+    Only the first ``most`` values of a row are read, as the original does; those that are no finite numbers are left out.
+    """
+    m = F.from_json(json_col, "curve_base map<string, string>")
+    rows = df.select(*keys, F.explode(m["curve_base"]).alias("row", "raw"))
+    number = lambda x: rounded(F.coalesce(x.try_cast("double"), F.when(x == "true", 1.0).when(x == "false", 0.0)), 3)
+    values = F.filter(F.transform(F.slice(F.coalesce(_json_list(F.col("raw")), F.array("raw")), 1, most), number), lambda x: x.isNotNull())
+    return rows.select(*keys, safe_identifier("row").alias("row_id"), F.posexplode(values).alias("n", "value"))
 
 
 def count_lines(df: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-computed cases, boundaries and conservation laws."""
 
+import json
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -128,3 +130,15 @@ def test_stream_and_batch_deltas_agree(spark, tmp_path):
 def test_duration_clamp(spark):
     df = spark.createDataFrame([(-5,), (10,), (49 * 3600,)], "s long").select(S.clamp_duration("s", 48 * 3600).alias("d")).select("d.*")
     assert [(r.seconds, r.anomalous) for r in df.collect()] == [(0, True), (10, False), (172800, True)]
+
+
+def test_state_sets_are_whole_and_curves_are_read(spark):
+    ids = [f"r{k}" for k in range(250)]
+    state = {"done": [*ids, "r0"], "held": [], "current": "r1", "curve_base": {"a": 3, "b": [1, "x", None, 2.00049, True], "c": list(range(150)), "d": []}}
+    df = spark.createDataFrame([(1, json.dumps(state))], "k long, j string")
+    got = readers.explode_state(df, "j", ["k"]).collect()
+    assert sorted(r.id for r in got) == sorted(ids) and {r.set_name for r in got} == {"done"}
+    curves = {}
+    for r in sorted(readers.explode_curves(df, "j", ["k"]).collect(), key=lambda r: r.n):
+        curves.setdefault(r.row_id, []).append(r.value)
+    assert curves == {"a": [3.0], "b": [1.0, 2.0, 1.0], "c": [float(k) for k in range(100)]}

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import histories, sums
@@ -85,18 +85,50 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([b["lang"], pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int64()))], ["lang", "at", "n"])
 
 
+def quotas(sizes: dict[str, int], train_rows: int) -> dict[str, int]:
+    """Rows to take of each language, at most ``train_rows`` together: a small floor for each, the rest in proportion."""
+    if sum(sizes.values()) <= train_rows:
+        return dict(sizes)
+    floor = max(1, train_rows // (4 * len(sizes)))
+    least = {k: min(n, floor) for k, n in sizes.items()}
+    more, left = train_rows - sum(least.values()), sum(sizes.values()) - sum(least.values())
+    return {k: least[k] + more * (n - least[k]) // left for k, n in sizes.items()}
+
+
+def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
+    """At most ``train_rows`` distinct rows (lang, text) of (doc_id, text, lang), whatever the ids.
+
+    Of each language those with the lowest hashes of doc_id and text are taken,
+    exact repeats counting once.  Only hashes are compared and shuffled; a bound
+    on the hash, which nearly always leaves enough, keeps the ordered rows few.
+    Beyond ``train_rows`` languages the most frequent are trained.
+    """
+    spark = docs.sparkSession
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    known = docs.filter("lang is not null and text is not null and text <> ''").select("lang", "text", h.alias("h"))
+    hashes = known.select("lang", "h").distinct()
+    sizes = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(train_rows).collect()}
+    takes = quotas(sizes, train_rows)
+    limits = []
+    for k, n in sizes.items():
+        share = min(1.0, (takes[k] + 8 * takes[k] ** 0.5 + 16) / n)
+        limits.append((k, takes[k], 2**63 - 1 if share == 1 else int(share * 2.0**64) - 2**63))
+    few = hashes.join(F.broadcast(spark.createDataFrame(limits, "lang string, take int, upto long")), "lang").filter("h <= upto")
+    order = Window.partitionBy("lang").orderBy("h")
+    keys = few.withColumn("rank", F.row_number().over(order)).filter("rank <= take").select("lang", "h").collect()
+    chosen = F.broadcast(spark.createDataFrame([tuple(k) for k in keys], "lang string, h long"))
+    return known.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int = 900, seed: int = 7) -> LanguageModel | None:
-    """Train on about ``train_rows`` rows of (doc_id, text, lang), chosen by a hash of doc_id.
+    """Train on at most ``train_rows`` rows of (doc_id, text, lang), as ``training_rows`` chooses them.
 
     The sample is the documented bound of what reaches the driver: one sparse
     row of at most BUCKETS counts for each chosen document.  None if no row has
     a language and a text.
     """
     prepare(docs.sparkSession)
-    known = docs.filter("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    total = known.count()
-    chosen = known if total <= train_rows else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < train_rows)
-    rows = sorted((tuple(r) for r in chosen.select("lang", "text").mapInArrow(_counts, "lang string, at array<int>, n array<long>").collect()), key=lambda r: (r[0], r[1], r[2]))
+    rows = sorted((tuple(r) for r in training_rows(docs, train_rows).mapInArrow(_counts, "lang string, at array<int>, n array<long>").collect()), key=lambda r: (r[0], r[1], r[2]))
     if not rows:
         return None
     names = sorted({r[0] for r in rows})

@@ -320,6 +320,18 @@ def test_language_held_out_accuracy(docs, spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("text is null or text = ''").count() == 0
 
 
+def test_language_training_rows_are_bounded_whatever_the_ids(spark):
+    rows = [(None, f"null id {k}", "en") for k in range(300)] + [(5, f"one id {k}", "de") for k in range(300)]
+    rows += [(9, "a repeated row", "en")] * 300 + [(k, f"text {k}", "fr") for k in range(600)] + [(7000, "rare words", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in language.training_rows(df, 100).collect()]
+    by = collections.Counter(k for k, _ in got)
+    assert 90 <= len(got) <= 100 and len(set(got)) == len(got) and by["xx"] == 1 and min(by["en"], by["de"], by["fr"]) >= 10
+    assert sorted(language.training_rows(df, 5000).collect()) == sorted({(k, t) for _, t, k in rows})
+    many = spark.createDataFrame([(None, "x", f"l{k}") for k in range(50)], "doc_id long, text string, lang string")
+    assert language.training_rows(many, 20).count() == 20
+
+
 # fingerprints
 
 

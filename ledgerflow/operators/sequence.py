@@ -96,20 +96,31 @@ def phase_durations(df: DataFrame, key: str, order: list[str], at: str, phase: C
     return live.groupBy(key, F.col("_phase").alias("phase")).agg(F.sum(F.col("_end") - F.col(at)).alias("seconds"), F.count(F.lit(1)).alias("parts"))
 
 
+def _all_gaps(df: DataFrame, keys: list[str], at: str, every: int, limit: int, now: int) -> DataFrame:
+    w = _window(keys, [at])
+    closed = df.select(*keys, at).distinct().withColumn("since", F.lag(at).over(w)).withColumn("gap", F.col(at) - F.col("since")).filter(F.col("gap") > limit)
+    closed = closed.select(*keys, "since", "gap", F.greatest(F.lit(1), F.floor(F.col("gap") / every) - 1).alias("missed"), F.lit(False).alias("open"))
+    last = df.groupBy(*keys).agg(F.max(at).alias("since")).withColumn("gap", F.lit(now) - F.col("since")).filter(F.col("gap") > limit)
+    return closed.unionByName(last.select(*keys, "since", "gap", F.greatest(F.lit(1), F.floor(F.col("gap") / every)).alias("missed"), F.lit(True).alias("open")))
+
+
 def cadence_gaps(df: DataFrame, keys: list[str], at: str, every: int, limit: int, now: int, most: int = 20) -> DataFrame:
     """Gaps between starts over ``limit`` seconds, and the open one up to now; the ``most`` last of each key.
 
     A gap missed max(1, floor(gap / every) - 1) starts, the open one max(1, floor(gap / every)).
+    ``cadence_totals`` counts all gaps of a key.
     """
-    w = _window(keys, [at])
-    closed = df.select(*keys, at).distinct().withColumn("since", F.lag(at).over(w)).withColumn("gap", F.col(at) - F.col("since")).filter(F.col("gap") > limit)
-    closed = closed.select(*keys, "since", "gap", F.greatest(F.lit(1), F.floor(F.col("gap") / every) - 1).alias("missed"), F.lit(False).alias("open"))
-    last = df.groupBy(*keys).agg(F.max(at).alias("since")).withColumn("gap", F.lit(now) - F.col("since")).filter(F.col("gap") > limit)
-    both = closed.unionByName(last.select(*keys, "since", "gap", F.greatest(F.lit(1), F.floor(F.col("gap") / every)).alias("missed"), F.lit(True).alias("open")))
-    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("since").desc())))
+    ranked = _all_gaps(df, keys, at, every, limit, now).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("since").desc())))
     return ranked.filter(F.col("n") <= most).drop("n")
 
 
+def cadence_totals(df: DataFrame, keys: list[str], at: str, every: int, limit: int, now: int) -> DataFrame:
+    """Of each key, over all its gaps as ``cadence_gaps`` defines them: how many, the starts missed and the longest; zeros without gaps."""
+    found = _all_gaps(df, keys, at, every, limit, now).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.sum("missed").alias("missed"), F.max("gap").alias("longest"))
+    rows = df.select(*keys).distinct().alias("k").join(found.alias("f"), F.expr(" and ".join(f"k.{k} <=> f.{k}" for k in keys)), "left")
+    return rows.select(*[f"k.{k}" for k in keys], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "missed", "longest")])
+
+
 def bucket_series(days: DataFrame, keys: list[str], day: str, sums: list[str], median: str, n: int = 48) -> DataFrame:
     """At most n consecutive buckets of equally many days by key.
 

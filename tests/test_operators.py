@@ -142,3 +142,12 @@ def test_state_sets_are_whole_and_curves_are_read(spark):
     for r in sorted(readers.explode_curves(df, "j", ["k"]).collect(), key=lambda r: r.n):
         curves.setdefault(r.row_id, []).append(r.value)
     assert curves == {"a": [3.0], "b": [1.0, 2.0, 1.0], "c": [float(k) for k in range(100)]}
+
+
+def test_cadence_totals_count_gaps_beyond_the_last_twenty(spark):
+    starts = [0, 100_000] + [100_000 + 3600 * k for k in range(1, 31)]
+    df = spark.createDataFrame([("a", s) for s in starts] + [(None, 0), (None, 1800), ("b", 208_000 - 600)], "k string, at long")
+    now = 208_000
+    assert W.cadence_gaps(df, ["k"], "at", 1800, 2700, now).filter("k = 'a'").count() == 20
+    got = {r.k: (r.gaps, r.missed, r.longest) for r in W.cadence_totals(df, ["k"], "at", 1800, 2700, now).collect()}
+    assert got == {"a": (31, 54 + 30, 100_000), None: (1, 114, 206_200), "b": (0, 0, 0)}

@@ -3,8 +3,10 @@
 A rolling hash of the last seven bytes ends a piece wherever its low bits are all
 ones; a piece's own hash gives one character.  With ``level`` such bits pieces are
 about 2**level bytes long.  The level is chosen so that a text has 32 to 64
-pieces if it can; a fingerprint holds the signatures for that level and the
-next, so texts of similar length can be compared at a common level.
+pieces if it can; texts of repeated passages may have only levels with many
+more, and then keep all of them, so that a signature always spans the whole
+text.  A fingerprint holds the signatures for that level and the next, so texts
+of similar length can be compared at a common level.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def _totals(b: np.ndarray, ends: np.ndarray) -> list[int]:
 
 
 def _signature(b: np.ndarray, levels: np.ndarray, level: int) -> str:
-    ends = np.flatnonzero(levels >= level)[: LONGEST - 1] + 1
+    ends = np.flatnonzero(levels >= level) + 1
     if not len(ends) or ends[-1] != len(b):
         ends = np.append(ends, len(b))
     totals = np.array([0, *_totals(b, ends)], _U)
@@ -94,8 +96,39 @@ def fingerprint(text: str | None) -> str:
     return f"{level}:{_signature(b, levels, level)}:{_signature(b, levels, level + 1)}"
 
 
+def _long_distance(x: bytes, y: bytes) -> int:
+    """The edit distance of two signatures of any length, bit-parallel in whole numbers of as many bits."""
+    n = min(len(x), len(y))
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    same = a[:n] == b[:n]
+    first = n if same.all() else int(same.argmin())
+    same = (a[len(a) - n :] == b[len(b) - n :])[::-1][: n - first]
+    last = len(same) if same.all() else int(same.argmin())
+    x, y = sorted((x[first : len(x) - last], y[first : len(y) - last]), key=len)
+    if not x:
+        return len(y)
+    at = {c: int.from_bytes(np.packbits(np.frombuffer(x, np.uint8) == c, bitorder="little").tobytes(), "little") for c in set(x)}
+    ones = (1 << len(x)) - 1
+    high, up, down, score = 1 << (len(x) - 1), ones, 0, len(x)
+    for c in y:
+        eq = at.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (ones & ~(h | up)), up & h
+        score += bool(plus & high) - bool(minus & high)
+        plus, minus = (plus << 1 | 1) & ones, minus << 1 & ones
+        up, down = minus | (ones & ~(v | plus)), plus & v
+    return score
+
+
 def edit_distances(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Edit distances of pairs of at most 64 characters, bit-parallel and side by side."""
+    """Edit distances of pairs, bit-parallel; those of at most 64 characters side by side."""
+    long = [i for i, (u, v) in enumerate(zip(x, y)) if max(len(u), len(v)) > LONGEST]
+    if long:
+        out, short = np.zeros(len(x), np.int64), sorted(set(range(len(x))) - set(long))
+        out[short] = edit_distances([x[i] for i in short], [y[i] for i in short])
+        out[long] = [_long_distance(x[i], y[i]) for i in long]
+        return out
     n = len(x)
     m = np.fromiter(map(len, x), np.int64, n)
     k = np.fromiter(map(len, y), np.int64, n)

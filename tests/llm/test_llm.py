@@ -353,6 +353,27 @@ def test_edit_distance_and_blocks(monkeypatch, texts):
     assert fingerprints.fingerprint(big) == want
 
 
+def test_fingerprints_span_repeated_passages(texts):
+    rng = np.random.default_rng(5)
+    passage = "".join(chr(c) for c in rng.integers(97, 123, 1000))
+    other = "".join(chr(c) for c in rng.integers(97, 123, 400_000))
+    text = passage * 1000
+    f = fingerprints.fingerprint(text)
+    third = fingerprints.fingerprint(text[: -len(text) // 3] + other[: len(text) // 3])
+    rest = fingerprints.fingerprint(passage * 60 + other)
+    assert fingerprints.likeness([f, f], [third, rest]).max() < 0.75
+    assert fingerprints.likeness([f], [fingerprints.fingerprint(passage * 990)])[0] > 0.9
+    pairs = [(bytes(rng.integers(97, 100, rng.integers(60, 200)).astype(np.uint8)), bytes(rng.integers(97, 100, rng.integers(0, 200)).astype(np.uint8))) for _ in range(30)]
+    pairs += [(a, a[:40] + b[:9] + a[50:]) for a, b in pairs]
+    for a, b in pairs:
+        row = list(range(len(b) + 1))
+        for i, u in enumerate(a, 1):
+            row, before = [i], row
+            for j, v in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (u != v)))
+        assert fingerprints.edit_distances([a], [b])[0] == row[-1]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_fingerprints_with_next(request, which, empty):
     df = request.getfixturevalue(which)

@@ -14,11 +14,16 @@ import hashlib
 import json
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .jobs import prepare
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -85,32 +90,43 @@ LAYOUTS = (
 TURN_ROWS = {fingerprint({f".{c}" for c in cols}): cols for cols in (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "speaker", "utterance"), ("id", "index", "from", "value"))}
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def canonical_turns(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` and ``turns`` (array of role, text) to rows with JSON text in ``column``.
 
     A record whose fingerprint no mapping has, malformed JSON and null keep
     their row with null layout and turns.  Fields with null values count as
     present.  An empty array has the path of the array itself; it matches the
-    layout's name only if registered so.
+    layout's name only if registered so.  Columns of the caller stay: a new one
+    whose name is taken gets underscores behind it (``free_name``).
     """
+    prepare(records.sparkSession)
 
     @F.pandas_udf("string")
     def read(texts: pd.Series) -> pd.Series:
         def one(x):
             try:
                 v = json.loads(x)
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):
                 return None
             return fingerprint(paths_of_value(v)) if isinstance(v, dict) else None
 
         return texts.map(one)
 
-    key, name, turns = F.col("_fingerprint"), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    print_, layout_, turns_ = (free_name(records, n) for n in ("_fingerprint", "layout", "turns"))
+    key, name, turns = F.col(print_), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
         hit = key.isin(sorted(layout.fingerprints()))
         made = F.expr(f"element_at(transform(array(from_json(`{column}`, '{layout.schema}')), r -> {layout.turns}), 1)")
         name, turns = F.when(hit, layout.name).otherwise(name), F.when(hit, made.cast(TURNS)).otherwise(turns)
-    return records.withColumn("_fingerprint", read(F.col(column))).withColumn("layout", name).withColumn("turns", turns).drop("_fingerprint")
+    return records.withColumn(print_, read(F.col(column))).withColumns({layout_: name, turns_: turns}).drop(print_)
 
 
 def gather_turns(rows: DataFrame) -> DataFrame:
@@ -135,34 +151,58 @@ def gather_turns(rows: DataFrame) -> DataFrame:
     )
 
 
-def escape(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\"), F.lit("\\b"))
-    return F.replace(F.replace(c, F.lit("<"), F.lit("\\l")), F.lit('"'), F.lit("\\q"))
-
-
 def unescape(c: Column) -> Column:
     c = F.replace(F.replace(c, F.lit("\\q"), F.lit('"')), F.lit("\\l"), F.lit("<"))
     return F.replace(c, F.lit("\\b"), F.lit("\\"))
 
 
+def _escape(texts: pa.Array) -> pa.Array:
+    for plain, mark in (("\\", "\\b"), ("<", "\\l"), ('"', "\\q")):
+        texts = pc.replace_substring(texts, plain, mark)
+    return texts
+
+
+def _unescape(text: str) -> str:
+    return text.replace("\\q", '"').replace("\\l", "<").replace("\\b", "\\") if "\\" in text else text
+
+
+def _rows(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The bounds of the rows of a list column among all its items; a null row has none."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), lists.flatten()
+
+
 def format_turns(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Adds ``formatted`` and ``loss_spans`` (start and length in code points) to rows with ``turns``.
 
-    Null turns give null; no turns give an empty text without spans.
+    One pass over all turns of a batch, linear in their number.  Null turns give
+    null; no turns give an empty text without spans; null roles and texts are
+    empty.  Columns of the caller stay: a new one whose name is taken gets
+    underscores behind it (``free_name``).
     """
-    head = lambda t: F.concat(F.lit('<turn role="'), escape(F.coalesce(t["role"], F.lit(""))), F.lit('">'))
-    piece = lambda t: F.struct(head(t).alias("head"), escape(F.coalesce(t["text"], F.lit(""))).alias("body"), t["role"].isin(*loss_roles).alias("loss"))
-    whole = lambda p: F.concat(p["head"], p["body"], F.lit("</turn>\n"))
-    size = F.transform("_p", lambda p: F.length(p["head"]) + F.length(p["body"]) + F.lit(len("</turn>\n")))
-    df = df.withColumn("_p", F.transform("turns", piece)).withColumn("_n", size)
-    starts = F.transform("_n", lambda _, i: F.aggregate(F.slice("_n", F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    spans = F.transform("_p", lambda p, i: F.struct((F.get("_s", i) + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"), p["loss"].alias("loss")))
-    return (
-        df.withColumn("formatted", F.array_join(F.transform("_p", whole), ""))
-        .withColumn("_s", starts)
-        .withColumn("loss_spans", F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))))
-        .drop("_p", "_n", "_s")
-    )
+    prepare(df.sparkSession)
+
+    @F.arrow_udf("struct<formatted: string, loss_spans: array<struct<start: int, length: int>>>")
+    def write(turns: pa.Array) -> pa.Array:
+        at, items = _rows(turns)
+        role, text = (pc.fill_null(items.field(k), "") for k in (0, 1))
+        head = pc.binary_join_element_wise('<turn role="', _escape(role), '">', "")
+        body = _escape(text)
+        whole = pc.binary_join_element_wise(head, body, "</turn>\n", "")
+        sizes = pc.utf8_length(whole).to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        start = ends[:-1] - np.repeat(ends[at[:-1]], np.diff(at)) + pc.utf8_length(head).to_numpy()
+        loss = np.flatnonzero(pc.is_in(role, pa.array(loss_roles)).to_numpy(zero_copy_only=False))
+        span = pa.StructArray.from_arrays([pa.array(start[loss], pa.int32()), pc.utf8_length(body).take(pa.array(loss)).cast(pa.int32())], ["start", "length"])
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(loss, at), pa.int32()), span)
+        formatted = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), whole), "")
+        none = turns.is_null()
+        return pa.StructArray.from_arrays([formatted, spans], ["formatted", "loss_spans"], mask=none)
+
+    made, formatted, spans = (free_name(df, n) for n in ("_made", "formatted", "loss_spans"))
+    same = F.transform("turns", lambda t: F.struct(t["role"].cast("string").alias("role"), t["text"].cast("string").alias("text")))
+    out = df.withColumn(made, write(same))
+    return out.withColumns({formatted: F.col(f"{made}.formatted"), spans: F.col(f"{made}.loss_spans")}).drop(made)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -173,5 +213,48 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped."""
-    return F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"])))
+    """The texts under the loss mask, unescaped, in one pass over a text; needs the package shipped (``prepare``)."""
+
+    @F.arrow_udf("array<string>")
+    def under(formatted: pa.Array, spans: pa.Array) -> pa.Array:
+        at, items = _rows(spans)
+        start, length = (items.field(k).to_pylist() for k in (0, 1))
+        found = []
+        for text, a, b in zip(formatted.to_pylist(), at, at[1:]):
+            found += [_unescape(text[s : s + n]) for s, n in zip(start[a:b], length[a:b])]
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(found, pa.string()), mask=spans.is_null())
+
+    return under(formatted, spans)
+
+
+def records_of_turns(gathered: DataFrame) -> DataFrame:
+    """conv_id and record: the turns as JSON in one of the known layouts, chosen by their shape and conv_id.
+
+    Only a layout that holds these turns whole is taken: one of two fields for a
+    question with its answer, a list without roles for turns that alternate, the
+    vendor's names for roles that aren't those names themselves.
+    """
+    roles = F.transform("turns", lambda t: t["role"])
+    text = lambda i: F.get("turns", F.lit(i))["text"]
+    pick = lambda n: F.pmod(F.xxhash64("conv_id"), F.lit(n))
+    record = lambda *cols: F.to_json(F.struct(*cols))
+    turn = lambda role, name: F.transform("turns", lambda t: F.struct(role(t["role"]).alias(name[0]), t["text"].alias(name[1])))
+    vendor = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    pairs = [
+        record(text(0).alias("instruction"), text(1).alias("output")), record(text(0).alias("prompt"), text(1).alias("response")),
+        record(text(0).alias("prompt"), text(1).alias("completion")), record(text(0).alias("question"), text(1).alias("answer")),
+    ]
+    pair = pairs[-1]
+    for i, p in enumerate(pairs[:-1]):
+        pair = F.when(pick(4) == i, p).otherwise(pair)
+    asked = roles == F.array(F.lit("user"), F.lit("assistant"))
+    told = roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    alternate = F.forall(F.transform(roles, lambda r, i: r == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
+    made = (
+        F.when(asked, pair)
+        .when(told, record(text(1).alias("prompt"), text(2).alias("response"), text(0).alias("system")))
+        .when(alternate & (pick(3) == 0), record(F.transform("turns", lambda t: t["text"]).alias("dialog")))
+        .when(~F.arrays_overlap(roles, F.array(F.lit("human"), F.lit("gpt"))) & (pick(3) == 1), record(turn(vendor, ("from", "value")).alias("conversations")))
+        .otherwise(record(turn(lambda r: r, ("role", "content")).alias("messages")))
+    )
+    return gathered.select("conv_id", made.alias("record"))

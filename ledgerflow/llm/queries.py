@@ -19,7 +19,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    formatted = chat.format_turns(chat.gather_turns(rows.unionByName(own)))
+    records = chat.records_of_turns(chat.gather_turns(rows.unionByName(own)))
+    formatted = chat.format_turns(chat.canonical_turns(records))
     read = formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     return read.select(
         "conv_id",

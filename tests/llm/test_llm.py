@@ -109,6 +109,41 @@ def test_format_reads_back(spark):
         chat.gather_turns(df.select("conv_id"))
 
 
+def test_records_of_turns_take_every_layout_and_lose_nothing(spark):
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant"] * 3, ["human", "gpt", "x"], ["tool", "user"], ["assistant"], [""]]
+    rows = [(c, k, r, f"{c} {k} \\ \"q\" {{}} 😀\x01") for c in range(140) for k, r in enumerate(shapes[c % 7])] + [(200, None, None, None), (None, 1, "user", "no id")]
+    gathered = chat.gather_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {r.conv_id: r.turns for r in gathered.collect()}
+    got = chat.canonical_turns(chat.records_of_turns(gathered)).collect()
+    assert {r.conv_id: r.turns for r in got} == want and len({r.layout for r in got}) == len(chat.LAYOUTS)
+
+
+def test_chat_keeps_columns_of_the_caller(spark):
+    row = ('{"question":"q","answer":"a"}', "mine", 1, 2, 3, 4, 5, 6)
+    df = spark.createDataFrame([row], "record string, layout string, _fingerprint int, formatted int, loss_spans int, _made int, _p int, _n int")
+    out = chat.format_turns(chat.canonical_turns(df))
+    assert out.columns == [*df.columns, "layout_", "turns", "formatted_", "loss_spans_"]
+    got = out.first()
+    assert tuple(got)[: len(row)] == row and got.layout_ == "question" and got.formatted_.count("<turn") == 2
+    other = chat.canonical_turns(df.withColumn("Turns", F.lit(9)))
+    assert other.columns[-2:] == ["layout_", "turns_"] and other.first()["Turns"] == 9
+
+
+def test_long_conversations_take_one_pass(spark):
+    n = 20000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<"), "id").alias("text"))
+    out = chat.format_turns(chat.gather_turns(df.unionByName(spark.createDataFrame([(2, 0, "user", "x")], df.schema)))).filter("conv_id = 1")
+    got = out.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t.text for t in got.t] == [f"é<{k}" for k in range(n)] and got.loss == [f"é<{k}" for k in range(1, n, 2)]
+
+
+def test_format_of_null_and_no_turns(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [None, ("assistant", None)])], "id int, turns array<struct<role:string,text:string>>")
+    got = {r.id: r for r in chat.format_turns(df).collect()}
+    assert got[1].formatted is None and got[1].loss_spans is None and got[2].formatted == "" and got[2].loss_spans == []
+    assert got[3].formatted == '<turn role=""></turn>\n<turn role="assistant"></turn>\n' and [s.length for s in got[3].loss_spans] == [0]
+
+
 def test_op1_equals_sql(spark):
     import duckdb
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jobs import prepare
+from .jobs import free_name, prepare
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -90,14 +90,6 @@ LAYOUTS = (
 TURN_ROWS = {fingerprint({f".{c}" for c in cols}): cols for cols in (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "speaker", "utterance"), ("id", "index", "from", "value"))}
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, with underscores behind it until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def canonical_turns(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` and ``turns`` (array of role, text) to rows with JSON text in ``column``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import Scratch
+from .jobs import Scratch, growing
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -21,9 +21,9 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(growing(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(first, "u")
+        joined = large.join(growing(first), "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         k += 1
         edges = scratch.save(small.distinct(), f"{name}-{k}")

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
@@ -31,9 +32,11 @@ def prepare(spark: SparkSession, rows: int = 512) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; on one machine, where that is unset, one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -58,9 +61,38 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner", most: int = 2_000_000) -> DataFrame:
-    """Join long rows with narrow ones: these are broadcast if there are at most ``most``, else both are shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
+BROADCAST_BYTES = 64 << 20
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value in a broadcast table, as a rule of thumb; 0 where the values vary in size."""
+    return 0 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else 8
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join long rows with narrow ones: these are broadcast if they take at most ``most`` bytes, else both are shuffled.
+
+    A row takes its columns' bytes and 48 more for its place in the hash table;
+    the bytes of columns of varying size are summed up in the same pass.  ``ids``
+    is counted once: pass a written table, or one cheap to make.
+    """
+    loose = [f.name for f in ids.schema if not _width(f.dataType)]
+    fixed = 48 + sum(_width(f.dataType) for f in ids.schema)
+    n, extra = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string").cast("binary")), F.lit(0)) for c in loose), F.lit(0).cast("long"))), F.lit(0))).first()
+    return rows.join(F.broadcast(ids) if n * fixed + extra <= most else ids, key, how)
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data as the other side does: sort and merge, never broadcast."""
+    return df.hint("merge")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jobs import Scratch, free_name, prepare
+
 SLOT_BUCKETS = 1024
 
 
@@ -62,19 +64,21 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     return F.substring_index(at, "/", -1).cast("int")
 
 
-def slots(df: DataFrame, shard: str, key: Column, order: list[Column]) -> DataFrame:
+def slots(df: DataFrame, shard: str, order: list[Column]) -> DataFrame:
     """Adds ``slot``: 0, 1, 2, ... in each shard, whatever its size.
 
-    Rows are numbered inside (shard, one of SLOT_BUCKETS hash buckets of the
-    key); the counts of the buckets, at most shards x SLOT_BUCKETS rows, give
-    each bucket its first number.
+    Rows are numbered inside (shard, one of SLOT_BUCKETS hash buckets of all of
+    ``order``, so that rows which share only a key are spread); the counts of the
+    buckets, at most shards x SLOT_BUCKETS rows, give each bucket its first
+    number.  A slot column of the caller is replaced; its other columns stay.
     """
-    df = df.withColumn("_b", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % SLOT_BUCKETS)
-    inside = Window.partitionBy(shard, "_b").orderBy(*order)
-    before = Window.partitionBy(shard).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = df.groupBy(shard, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rows = df.withColumn("_at", F.row_number().over(inside) - 1)
-    return rows.join(F.broadcast(first), [shard, "_b"]).withColumn("slot", (F.col("_at") + F.col("_first")).cast("long")).drop("_at", "_first", "_b")
+    bucket, n, at, first = (free_name(df, c) for c in ("_bucket", "_n", "_at", "_first"))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)))
+    inside = Window.partitionBy(shard, bucket).orderBy(*order)
+    before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(n)).withColumn(first, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    rows = df.withColumn(at, F.row_number().over(inside) - 1)
+    return rows.join(F.broadcast(starts), [shard, bucket]).withColumn("slot", (F.col(at) + F.col(first)).cast("long")).drop(at, first, bucket)
 
 
 def shard_documents(docs: DataFrame, tree: list[Leaf]) -> DataFrame:
@@ -82,10 +86,14 @@ def shard_documents(docs: DataFrame, tree: list[Leaf]) -> DataFrame:
 
     A null text has no bytes; a null doc_id is keyed as the empty string.
     Repeated rows get the same shard and slots of their own; ties in a shard's
-    order are broken by text_crc32 and size.  Other columns are ignored.
+    order are broken by text_crc32 and size.  Other columns are ignored.  The
+    texts are read once: the narrow rows are written, as both the counts and the
+    numbering need them.
     """
+    prepare(docs.sparkSession)
     bytes_of = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(bytes_of) + 16).cast("long").alias("size"), F.crc32(bytes_of).alias("text_crc32"))
     rows = rows.withColumn("law", F.lit("key")).withColumn("shard", place(key, tree)).withColumn("grown_shard", place(key, grow(tree)))
-    return slots(rows, "shard", key, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    rows = Scratch(docs.sparkSession, "sharding").save(rows, "rows")
+    return slots(rows, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])

@@ -306,6 +306,18 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 8, 9, None, None], key=str)
 
 
+def test_rows_that_share_a_doc_id_keep_their_links(spark):
+    base, other = [" ".join(f"{p}{k}" for k in range(60)) for p in ("a", "b")]
+    rows = [(7, base), (7, other), (3, base + " x"), (2, other + " y"), (7, other), (7, "lone words stand here all alone"), (9, "Lone words stand here all alone"), (7, "LONE words stand here all alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t1", F.lit("mine"))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == {(7, 56, 3, False): 1, (7, 56, 2, False): 2, (3, 57, 3, True): 1, (2, 57, 2, True): 1, (7, 2, 7, True): 2, (9, 2, 7, False): 1}
+    kept = near_duplicates.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id, r.text.lower(), r.t1) for r in kept.collect())
+    assert got == [(2, other + " y", "mine"), (3, base + " x", "mine"), (7, rows[5][1], "mine")]
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.components(links, Scratch(spark, "t")).collect()}

@@ -1,15 +1,20 @@
-"""Language identification: averaged hashed subword embeddings and a linear softmax.
-
-The byte trigrams of a text, hashed to buckets, are looked up in an embedding
-table and averaged; a linear softmax over the average gives a probability for
-each language.  Both are trained by stochastic gradient descent in numpy.  A
-part of the training rows is kept aside to set a temperature, so that the
-confidence can be read as a probability, and the confidence under which a
-prediction is rejected.
+"""Language identification: averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
+
+The byte n-grams of a text of the lengths GRAMS, spaces standing for the edges of
+words, are hashed to buckets, looked up in an embedding table and averaged; a
+linear softmax over the average gives a probability for each language and one
+for none of them.  Texts of no language are made for training: each row once
+more with its letters exchanged for others.  Embeddings and softmax are trained
+by stochastic gradient descent in numpy.
+
+A part of the training rows is kept aside.  It sets a temperature, so that the
+probability of the best language can be read as the confidence that it is right,
+and the confidence under which a prediction is rejected (``threshold``).
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +26,12 @@ from pyspark.sql import functions as F
 from .grams import histories, sums
 from .jobs import prepare
 
-BUCKETS = 1 << 13
+BITS = 14
+BUCKETS = 1 << BITS
+GRAMS = (2, 3, 4)
 TRAIN_ROWS = 4096
+PRECISION = 0.99
+LOST = 0.005
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -31,13 +40,18 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
 def buckets_of(parts: list[np.ndarray]) -> np.ndarray:
-    code = parts[0] | (parts[1] << np.uint32(8)) | (parts[2] << np.uint32(16))
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - 13)
+    """The buckets of the n-grams of all GRAMS that end at each byte, one row for each length."""
+    out, code = [], np.zeros(len(parts[0]), np.uint32)
+    for n, p in enumerate(parts, 1):
+        code = (code ^ p) * np.uint32(16777619) + np.uint32(n)
+        if n in GRAMS:
+            out.append((code * np.uint32(2654435761)) >> np.uint32(32 - BITS))
+    return np.stack(out)
 
 
 @dataclass
 class LanguageModel:
-    """The product of embeddings and softmax weights by bucket, the bias, and the calibration."""
+    """The product of embeddings and softmax weights by bucket, the bias, and the calibration; the last column is none of the names."""
 
     names: list[str]
     weights: np.ndarray
@@ -46,14 +60,16 @@ class LanguageModel:
     threshold: float
 
     def logits(self, column: pa.Array) -> np.ndarray:
-        out, n = np.zeros((len(column), len(self.names))), np.zeros(len(column))
-        for first, last, lengths, parts in histories(column, _FOLD, 3):
-            out[first:last] += sums(self.weights[buckets_of(parts)], lengths)
-            n[first:last] += lengths
+        out, n = np.zeros((len(column), len(self.names) + 1)), np.zeros(len(column))
+        for first, last, lengths, parts in histories(column, _FOLD, max(GRAMS)):
+            for codes in buckets_of(parts):
+                out[first:last] += sums(self.weights[codes], lengths)
+            n[first:last] += len(GRAMS) * lengths
         return out / np.maximum(n, 1)[:, None] + self.bias
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        p = softmax(self.logits(column) / self.temperature)
+        """The best language of each text and the confidence that it is right."""
+        p = softmax(self.logits(column) / self.temperature)[:, : len(self.names)]
         return p.argmax(1), p.max(1)
 
 
@@ -68,21 +84,30 @@ def _limited(step: np.ndarray, most: float) -> np.ndarray:
     return step * np.float32(most / size) if size > most else step
 
 
+def exchanged(text: str) -> str:
+    """The text with its letters exchanged for others, by an order that the text decides; words keep their lengths."""
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    low, high = rng.permutation(26), rng.permutation(31)
+    table = {97 + i: 97 + int(k) for i, k in enumerate(low)} | {224 + i: 224 + int(k) for i, k in enumerate(high)}
+    table |= {k - 32: v - 32 for k, v in table.items() if k != 247 and v != 247}
+    turn = int(rng.integers(1, 128))
+    table |= {c: chr(ord(c) ^ turn) for c in set(text) if "\u0100" <= c < "\ud780" or c >= "\U00010000"}
+    return text.translate({ord(k) if isinstance(k, str) else k: v for k, v in table.items()})
+
+
 def _counts(batches):
     for b in batches:
-        column, at, value, n = b["text"], [], [], len(b)
-        counts: list[dict | np.ndarray] = [np.zeros(0, np.int64)] * n
-        for first, last, lengths, parts in histories(column, _FOLD, 3):
-            code, ends = buckets_of(parts).astype(np.int64), np.cumsum(lengths)
-            for r in range(last - first):
-                if lengths[r]:
-                    c = np.bincount(code[ends[r] - lengths[r] : ends[r]], minlength=BUCKETS)
-                    counts[first + r] = c if not len(counts[first + r]) else counts[first + r] + c
-        for c in counts:
-            x = np.flatnonzero(c)
-            at.append(x.tolist())
-            value.append(c[x].tolist())
-        yield pa.RecordBatch.from_arrays([b["lang"], pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int64()))], ["lang", "at", "n"])
+        texts = b["text"].to_pylist()
+        for made, column in ((False, b["text"]), (True, pa.array(map(exchanged, texts), pa.string()))):
+            counts: list[np.ndarray] = [np.zeros(BUCKETS, np.int64) for _ in texts]
+            for first, last, lengths, parts in histories(column, _FOLD, max(GRAMS)):
+                ends = np.cumsum(lengths)
+                for codes in buckets_of(parts).astype(np.int64):
+                    for r in range(last - first):
+                        counts[first + r] += np.bincount(codes[ends[r] - lengths[r] : ends[r]], minlength=BUCKETS)
+            at = [np.flatnonzero(c) for c in counts]
+            n = pa.array([c[x].tolist() for c, x in zip(counts, at)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["lang"], pa.array([made] * len(texts)), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), n], ["lang", "made", "at", "n"])
 
 
 def quotas(sizes: dict[str, int], train_rows: int) -> dict[str, int]:
@@ -123,21 +148,23 @@ def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int = 900, seed: int = 7) -> LanguageModel | None:
     """Train on at most ``train_rows`` rows of (doc_id, text, lang), as ``training_rows`` chooses them.
 
-    The sample is the documented bound of what reaches the driver: one sparse
-    row of at most BUCKETS counts for each chosen document.  None if no row has
-    a language and a text.
+    The sample is the documented bound of what reaches the driver: two sparse
+    rows of at most BUCKETS counts for each chosen document, one of them with its
+    letters exchanged.  None if no row has a language and a text.
     """
     prepare(docs.sparkSession)
-    rows = sorted((tuple(r) for r in training_rows(docs, train_rows).mapInArrow(_counts, "lang string, at array<int>, n array<long>").collect()), key=lambda r: (r[0], r[1], r[2]))
+    got = training_rows(docs, train_rows).mapInArrow(_counts, "lang string, made boolean, at array<int>, n array<long>").collect()
+    rows = sorted((tuple(r) for r in got), key=lambda r: (r[1], r[0], r[2], r[3]))
     if not rows:
         return None
+    real = len(rows) // 2
     names = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    kept_out = max(1, len(rows) // 5) if len(rows) >= 20 else 0
-    y = np.array([names.index(r[0]) for r in rows])
-    at = [np.array(r[1], np.int64) for r in rows]
-    x = [np.array(r[2], np.float32) / max(1, sum(r[2])) for r in rows]
+    order = rng.permutation(real)
+    kept_out = max(1, real // 5) if real >= 20 else 0
+    y = np.array([len(names) if r[1] else names.index(r[0]) for r in rows])
+    at = [np.array(r[2], np.int64) for r in rows]
+    x = [np.array(r[3], np.float32) / max(1, sum(r[3])) for r in rows]
 
     def dense(some):
         m = np.zeros((len(some), BUCKETS), np.float32)
@@ -145,12 +172,13 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
             m[i, at[k]] = x[k]
         return m
 
-    train = order[kept_out:]
+    both = lambda some: np.concatenate([some, real + some])
+    train, aside = both(order[kept_out:]), both(order[:kept_out] if kept_out else order)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    w = np.zeros((dim, len(names)), np.float32)
-    b = np.zeros(len(names), np.float32)
-    share = np.bincount(y[train], minlength=len(names))
-    weight = (len(train) / (len(names) * np.maximum(share, 1)))[y]
+    w = np.zeros((dim, len(names) + 1), np.float32)
+    b = np.zeros(len(names) + 1, np.float32)
+    share = np.bincount(y[train], minlength=len(names) + 1)
+    weight = (len(train) / ((len(names) + 1) * np.maximum(share, 1)))[y]
     batch = min(64, len(train))
     for step in range(steps):
         some = rng.choice(train, batch, replace=False)
@@ -164,15 +192,30 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
         b -= 0.2 * rate * g.sum(0)
         e -= _limited(400 * rate * e_grad, 4.0)
     weights, bias = (e @ w).astype(np.float32), b.astype(np.float64)
-    aside = order[:kept_out] if kept_out else order
     z = np.vstack([dense(aside[i : i + 256]) @ weights for i in range(0, len(aside), 256)]) + bias
     grid = [2.0**k for k in np.arange(-4, 4.01, 0.25)]
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(aside)), y[aside]], 1e-12)).mean() for t in grid]
     temperature = grid[int(np.argmin(loss))]
-    p = softmax(z / temperature)
-    right = p.argmax(1) == y[aside]
-    threshold = min(0.5, 0.6 * float(p.max(1)[right].min())) if right.any() else 0.0
-    return LanguageModel(names, weights, bias, temperature, threshold)
+    p = softmax(z / temperature)[:, : len(names)]
+    return LanguageModel(names, weights, bias, temperature, threshold(p.max(1), p.argmax(1) == y[aside], aside < real))
+
+
+def threshold(confidence: np.ndarray, right: np.ndarray, real: np.ndarray) -> float:
+    """The confidence under which a prediction is rejected, from rows kept aside.
+
+    One half, as a calibrated prediction below it is likelier wrong than right;
+    less if more than a share LOST of the real rows guessed right lie below it,
+    but then not less than is needed for a share PRECISION of the kept rows,
+    real and made, to be right.
+    """
+    if not (real & right).any():
+        return 0.5
+    most = float(np.quantile(confidence[real & right], LOST, method="lower"))
+    order = np.argsort(-confidence, kind="stable")
+    precise = np.cumsum(right[order]) >= PRECISION * np.arange(1, len(order) + 1)
+    last = np.append(confidence[order][:-1] != confidence[order][1:], True)
+    fine = np.flatnonzero(precise & last)
+    return min(0.5, max(most, float(confidence[order][fine[-1]]) if len(fine) else 0.0))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -367,6 +368,50 @@ def test_language_held_out_accuracy(docs, spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("text is null or text = ''").count() == 0
 
 
+def test_embedding_average_by_brute_force():
+    rng = np.random.default_rng(1)
+    m = language.LanguageModel(["a", "b"], rng.normal(size=(language.BUCKETS, 3)).astype(np.float32), np.array([0.1, 0.2, 0.3]), 0.5, 0.5)
+    some = ["Ab\tcd é", "x", "", "日本 z" * 50]
+    want = []
+    for t in some:
+        b = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in t.encode())
+        rows = []
+        for i in range(len(b)):
+            code = 0
+            for n in range(1, max(language.GRAMS) + 1):
+                code = ((code ^ (b[i - n + 1] if i - n + 1 >= 0 else 0)) * 16777619 + n) % 2**32
+                if n in language.GRAMS:
+                    rows.append(m.weights[(code * 2654435761 % 2**32) >> (32 - language.BITS)])
+        want.append((np.mean(rows, 0) if rows else 0) + m.bias)
+    assert np.allclose(m.logits(pa.array(some)), want, atol=1e-5)
+    best, confidence = m.predict(pa.array(some))
+    e = np.exp(np.array(want) / 0.5)
+    assert np.allclose(confidence, (e / e.sum(1, keepdims=True))[:, :2].max(1)) and (best == np.array(want)[:, :2].argmax(1)).all()
+
+
+def test_rejected_predictions_are_wrong_more_often(spark, docs):
+    """Whole texts, texts of two languages, and texts of none: random letters, another script, exchanged letters."""
+    model = language.fit(docs.filter("crc32(cast(doc_id as string)) % 4 <> 2"))
+    held = [(r.lang, r.text) for r in docs.filter("crc32(cast(doc_id as string)) % 4 = 2 and text is not null").collect()]
+    rng = np.random.default_rng(2)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 150)) for _ in range(60)] + ["съешь же ещё этих мягких французских булок", "我们今天去公园散步", *[language.exchanged(t) for _, t in held]]
+    mixed = [(a[0], a[1][:200] + " " + b[1][:120]) for a, b in zip(held, held[7:]) if a[0] != b[0]]
+    rows = held + mixed + [(None, t) for t in junk]
+    best, confidence = model.predict(pa.array([t for _, t in rows]))
+    wrong, out = np.array([model.names[k] != y for k, (y, _) in zip(best, rows)]), confidence < model.threshold
+    assert wrong[out].mean() > 0.9 and wrong[~out].mean() < 0.15
+    assert out[[y is None for y, _ in rows]].mean() > 0.95 and out[: len(held)].mean() <= 0.02
+
+
+def test_threshold_rule():
+    confidence, right = np.array([0.9, 0.8, 0.7, 0.1, 0.05]), np.array([True, True, True, False, True])
+    real = np.ones(5, bool)
+    assert language.threshold(confidence, right, real) == 0.5 and language.threshold(confidence, np.ones(5, bool), real) == 0.05
+    assert language.threshold(confidence[:3], right[:3], real[:3]) == 0.5
+    assert language.threshold(confidence, np.array([True, True, False, False, False]), real) == 0.5
+    assert language.threshold(confidence, np.zeros(5, bool), real) == 0.5
+
+
 def test_language_training_rows_are_bounded_whatever_the_ids(spark):
     rows = [(None, f"null id {k}", "en") for k in range(300)] + [(5, f"one id {k}", "de") for k in range(300)]
     rows += [(9, "a repeated row", "en")] * 300 + [(k, f"text {k}", "fr") for k in range(600)] + [(7000, "rare words", "xx")]
@@ -491,6 +536,33 @@ def test_shards_move_only_into_the_new_one(spark, docs, odd, empty):
     assert sharding.shard_documents(empty, tree).count() == 0
 
 
+def test_draws_by_brute_force(spark):
+    tree = [sharding.Leaf("r0", "k0", 0, 1.0), sharding.Leaf("r0", "k0", 1, 2.5), sharding.Leaf("r0", "k1", 2, 0.5), sharding.Leaf("r1", "k2", 3, 3.0), sharding.Leaf("r1", "k2", 4, 0.0)]
+
+    def brute(key):
+        at, left = "", [x for x in tree if x.weight > 0]
+        for level in ("region", "rack", "shard"):
+            draws = []
+            for name in {getattr(x, level) for x in left}:
+                child = f"{at}/{name}"
+                u = (int(hashlib.md5(f"{key}/{child}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+                draws.append((-math.log(u) / sum(x.weight for x in left if getattr(x, level) == name), child, name))
+            _, at, name = min(draws)
+            left = [x for x in left if getattr(x, level) == name]
+        return left[0].shard
+
+    rows = spark.range(500).select(F.col("id").cast("string").alias("k")).withColumn("at", sharding.place(F.col("k"), tree)).collect()
+    assert [r["at"] for r in rows] == [brute(r.k) for r in rows] and len({r["at"] for r in rows}) == 4
+
+
+def test_slots_spread_a_repeated_key_and_keep_columns(spark):
+    df = spark.range(3000).select(F.lit(0).alias("shard"), F.lit(5).alias("doc_id"), (F.col("id") % 1500).alias("text_crc32"), F.col("id").alias("_bucket"), F.lit(1).alias("_n"), F.lit(2).alias("_at"), F.lit(3).alias("_first"))
+    out = sharding.slots(df, "shard", [F.col("doc_id"), F.col("text_crc32")])
+    assert set(out.columns) == {*df.columns, "slot"}
+    rows = out.collect()
+    assert sorted(r.slot for r in rows) == list(range(3000)) and {r._n for r in rows} == {1} and sorted(r._bucket for r in rows) == list(range(3000))
+
+
 def test_weights_confine_movement(spark):
     ids = spark.range(3000).select(F.col("id").cast("string").alias("k"))
     before = sharding.balanced_tree(12, racks=4, regions=2)

@@ -8,7 +8,8 @@ far under the threshold, the full sets decide about the others, and components
 of the links are found by alternating stars.
 
 A list of at most SHORT documents gives all its pairs; a longer one only the
-pairs with two of its members.  What that can miss lies between documents most
+pairs with two of its members: the one of the smallest doc_id, and the one that
+is in most of the long lists, as the origin of many variants is.  What that can miss lies between documents most
 of whose listed values are in long lists.  Those few kinds of documents (large
 groups of near copies, texts made of common passages) go through an exact prefix
 join over their full sets: with shingles ordered by how many of these documents
@@ -159,19 +160,22 @@ def judged(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     nodes = scratch.save(set_nodes(made), "nodes")
 
     near = lambda x, y: (x * den >= y * num) & (y * den >= x * num)
-    entries = nodes.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("hub"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("hub2")).filter("c > 1")
+    entries = nodes.select("node", "n", "doc_id", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n"), F.struct("doc_id", "node")).alias("hub")).filter("c > 1")
     lists = scratch.save(lists, "lists")
-    shared = scratch.save(entries.join(growing(lists), "v"), "shared")
+    shared = scratch.save(entries.drop("doc_id").join(growing(lists), "v"), "shared")
     short, long = shared.filter(F.col("c") <= SHORT), shared.filter(F.col("c") > SHORT)
     left = short.select("v", F.col("node").alias("a"), F.col("n").alias("n_a"))
     right = short.select("v", F.col("node").alias("b"), F.col("n").alias("n_b"))
     overlaps = left.join(growing(right), "v").filter((F.col("a") < F.col("b")) & near(F.col("n_a"), F.col("n_b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
-    stars = [long.filter((F.col("node") != F.col(f"{h}.node")) & near(F.col("n"), F.col(f"{h}.n"))).select(F.least("node", f"{h}.node").alias("a"), F.greatest("node", f"{h}.node").alias("b")) for h in ("hub", "hub2")]
+    often_listed = scratch.save(long.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")), "listed")
+    ranked = long.select("v", "node", "n").join(growing(often_listed.select("node", "h")), "node")
+    central = scratch.save(ranked.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("h", "node")).alias("hub")), "central")
+    stars = [x.filter((F.col("node") != F.col("hub.node")) & near(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")) for x in (long, long.drop("hub").join(growing(central), "v"))]
     pairs = overlaps.select("a", "b").unionByName(stars[0]).unionByName(stars[1]).distinct()
     likely = scratch.save(estimated(pairs, nodes, num / den - MARGIN), "likely")
 
-    crowded = scratch.save(long.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")).filter(F.col("h") * 3 > F.least("n", F.lit(LISTED))).select("node"), "crowded")
+    crowded = scratch.save(often_listed.filter(F.col("h") * 3 > F.least("n", F.lit(LISTED))).select("node"), "crowded")
     ends = [likely.select(F.col(c).alias("node")) for c in ("a", "b")]
     wanted = nodes.select("node", "doc_id", "t1").join(growing(ends[0].unionByName(ends[1]).unionByName(crowded).distinct()), "node", "left_semi")
     sets = scratch.save(full_sets(named, scratch.save(wanted, "wanted"), width), "sets")
@@ -185,7 +189,7 @@ def judged(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     least = named_by.groupBy("c").agg(F.min("doc_id").alias("least"))
     ids = scratch.save(named_by.drop("doc_id").join(growing(least), "c"), "ids")
     rows = scratch.save(made.drop("sketch").join(growing(ids), ["k1", "k2"], "left"), "rows")
-    scratch.drop("sketches", "nodes", "lists", "shared", "likely", "crowded", "wanted", "sets", "links", "found", "often", "prefix", "largest", "mixed", "more", "links2", "final", "ids")
+    scratch.drop("sketches", "nodes", "lists", "shared", "listed", "central", "likely", "crowded", "wanted", "sets", "links", "found", "often", "prefix", "largest", "mixed", "more", "links2", "final", "ids")
     known = F.col("doc_id").isNotNull()
     component = F.when(known, F.coalesce("least", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))

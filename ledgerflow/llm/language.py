@@ -3,8 +3,8 @@
 The byte n-grams of a text of the lengths GRAMS, spaces standing for the edges of
 words, are hashed to buckets, looked up in an embedding table and averaged; a
 linear softmax over the average gives a probability for each language and one
-for none of them.  Texts of no language are made for training: each row once
-more with its letters exchanged for others.  Embeddings and softmax are trained
+for none of them.  Texts of no language are made for training: every MADE-th row
+once more with its letters exchanged for others.  Embeddings and softmax are trained
 by stochastic gradient descent in numpy.
 
 A part of the training rows is kept aside.  It sets a temperature, so that the
@@ -32,6 +32,7 @@ GRAMS = (2, 3, 4)
 TRAIN_ROWS = 4096
 PRECISION = 0.99
 LOST = 0.005
+MADE = 3
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -96,18 +97,21 @@ def exchanged(text: str) -> str:
 
 
 def _counts(batches):
+    """Rows of (lang, made, at, n): the buckets of a text and its counts there, packed; every MADE-th text once more with its letters exchanged."""
     for b in batches:
-        texts = b["text"].to_pylist()
-        for made, column in ((False, b["text"]), (True, pa.array(map(exchanged, texts), pa.string()))):
-            counts: list[np.ndarray] = [np.zeros(BUCKETS, np.int64) for _ in texts]
+        texts, names = b["text"].to_pylist(), b["lang"].to_pylist()
+        other = [i for i, t in enumerate(texts) if zlib.crc32(t.encode()) % MADE == 0]
+        for made, some in ((False, list(range(len(texts)))), (True, other)):
+            column = pa.array([exchanged(texts[i]) if made else texts[i] for i in some], pa.string())
+            counts: list[np.ndarray] = [np.zeros(BUCKETS, np.int64) for _ in some]
             for first, last, lengths, parts in histories(column, _FOLD, max(GRAMS)):
                 ends = np.cumsum(lengths)
                 for codes in buckets_of(parts).astype(np.int64):
                     for r in range(last - first):
                         counts[first + r] += np.bincount(codes[ends[r] - lengths[r] : ends[r]], minlength=BUCKETS)
             at = [np.flatnonzero(c) for c in counts]
-            n = pa.array([c[x].tolist() for c, x in zip(counts, at)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["lang"], pa.array([made] * len(texts)), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), n], ["lang", "made", "at", "n"])
+            packed = [[x.astype("<u2").tobytes() for x in at], [c[x].astype("<f4").tobytes() for c, x in zip(counts, at)]]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array([made] * len(some), pa.bool_()), *[pa.array(p, pa.binary()) for p in packed]], ["lang", "made", "at", "n"])
 
 
 def quotas(sizes: dict[str, int], train_rows: int) -> dict[str, int]:
@@ -148,23 +152,27 @@ def training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int = 900, seed: int = 7) -> LanguageModel | None:
     """Train on at most ``train_rows`` rows of (doc_id, text, lang), as ``training_rows`` chooses them.
 
-    The sample is the documented bound of what reaches the driver: two sparse
-    rows of at most BUCKETS counts for each chosen document, one of them with its
-    letters exchanged.  None if no row has a language and a text.
+    The sample is the documented bound of what reaches the driver: a sparse row
+    of at most BUCKETS counts, six bytes each, for each chosen document, and one
+    more with letters exchanged for every MADE-th.  None if no row has a language
+    and a text.
     """
     prepare(docs.sparkSession)
-    got = training_rows(docs, train_rows).mapInArrow(_counts, "lang string, made boolean, at array<int>, n array<long>").collect()
-    rows = sorted((tuple(r) for r in got), key=lambda r: (r[1], r[0], r[2], r[3]))
+    got = training_rows(docs, train_rows).mapInArrow(_counts, "lang string, made boolean, at binary, n binary").toArrow()
+    rows = sorted(zip(*[got[c].to_pylist() for c in ("made", "lang", "at", "n")]))
+    del got
     if not rows:
         return None
-    real = len(rows) // 2
-    names = sorted({r[0] for r in rows})
+    real = sum(not r[0] for r in rows)
+    names = sorted({r[1] for r in rows})
     rng = np.random.default_rng(seed)
-    order = rng.permutation(real)
-    kept_out = max(1, real // 5) if real >= 20 else 0
-    y = np.array([len(names) if r[1] else names.index(r[0]) for r in rows])
-    at = [np.array(r[2], np.int64) for r in rows]
-    x = [np.array(r[3], np.float32) / max(1, sum(r[3])) for r in rows]
+    y = np.array([len(names) if r[0] else names.index(r[1]) for r in rows])
+    at = [np.frombuffer(r[2], "<u2") for r in rows]
+    x = [(v := np.frombuffer(r[3], "<f4")) / max(v.sum(), 1) for r in rows]
+    orders = [rng.permutation(real), real + rng.permutation(len(rows) - real)]
+    kept_out = [max(1, len(o) // 5) if real >= 20 else 0 for o in orders]
+    train = np.concatenate([o[k:] for o, k in zip(orders, kept_out)])
+    aside = np.concatenate([o[:k] if real >= 20 else o for o, k in zip(orders, kept_out)])
 
     def dense(some):
         m = np.zeros((len(some), BUCKETS), np.float32)
@@ -172,8 +180,6 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
             m[i, at[k]] = x[k]
         return m
 
-    both = lambda some: np.concatenate([some, real + some])
-    train, aside = both(order[kept_out:]), both(order[:kept_out] if kept_out else order)
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     w = np.zeros((dim, len(names) + 1), np.float32)
     b = np.zeros(len(names) + 1, np.float32)

@@ -61,17 +61,27 @@ def price_rollup(priced: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def estimate_unpriced(df: DataFrame, prices: DataFrame, classes: dict[str, str]) -> DataFrame:
-    """Low, middle and high units for rows without a rate, over all of the vendor's complete rate cards.
-
-    ``classes`` maps token columns to rate columns.  Long-context rates are left
-    out.  Adds low, high, mid (their mean, halved once) and cards.
+    """Low, middle and high units for rows without a rate, over the vendor's rate cards; each row stays one row.
+
+    ``classes`` maps token columns to rate columns.  A model that no card names
+    is priced by all complete cards of its vendor, without long-context rates; of
+    a model that only lacks a rate for cache writes just those tokens are, by all
+    cards that have one.  Adds low, high, mid (their mean, halved once) and cards.
+    The cards of a vendor come as one array, so rows are neither multiplied nor
+    grouped; a rate card is small by nature.
     """
-    cards = prices.filter(" and ".join(f"{r} is not null" for r in sorted(set(classes.values()))))
-    missing = df.join(F.broadcast(prices.select("vendor", "model").distinct()), ["vendor", "model"], "left_anti")
-    cost = sum((F.coalesce(F.col(t), F.lit(0)) * F.col(r) for t, r in classes.items()), F.lit(0)) * 2
-    keys = df.columns
-    offered = missing.join(F.broadcast(cards.drop("model")), "vendor", "left").withColumn("_u", cost)
-    return offered.groupBy(*keys).agg(F.min("_u").alias("low"), F.max("_u").alias("high"), F.count("_u").alias("cards")).withColumn("mid", (F.col("low") + F.col("high")).cast("double") / 2)
+    rates = sorted({*classes.values(), "r_write"})
+    cards = prices.groupBy("vendor").agg(F.collect_list(F.struct(*rates)).alias("_cards"))
+    own = prices.select("vendor", "model", F.lit(True).alias("_known"), F.col("r_write").isNull().alias("_no_write"))
+    lost = F.coalesce(F.col("cache_write_tokens"), F.lit(0)) if "cache_write_tokens" in df.columns else F.lit(0)
+    partly = F.col("_known").isNotNull() & F.col("_no_write") & (F.col("vendor") != "vendor_a") & (lost > 0)
+    rows = df.join(F.broadcast(own), ["vendor", "model"], "left").join(F.broadcast(cards), "vendor", "left").filter(F.col("_known").isNull() | partly)
+    whole = lambda c: sum((F.coalesce(F.col(t), F.lit(0)) * c[r] for t, r in classes.items()), F.lit(0)) * 2
+    unknown = F.transform(F.filter("_cards", lambda c: F.forall(F.array(*[c[r] for r in sorted(set(classes.values()))]), lambda x: x.isNotNull())), whole)
+    written = F.transform(F.filter("_cards", lambda c: c["r_write"].isNotNull()), lambda c: lost * c["r_write"] * 2)
+    offered = rows.withColumn("_u", F.coalesce(F.when(F.col("_known").isNull(), unknown).otherwise(written), F.array().cast("array<bigint>")))
+    out = offered.withColumns({"low": F.array_min("_u"), "high": F.array_max("_u"), "cards": F.size("_u").cast("long")})
+    return out.withColumn("mid", (F.col("low") + F.col("high")).cast("double") / 2).drop("_u", "_cards", "_known", "_no_write")
 
 
 def combine_estimates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -98,15 +98,21 @@ def normalize_vendor(c: str | Column, aliases: dict[str, str], default: str = "u
 
 
 def canonicalize_path(c: str | Column) -> Column:
-    """Forward slashes, no doubled slashes, drive letters under /mnt in lower case, . and .. resolved; relative gives null."""
+    """Forward slashes, no doubled slashes, . and .. resolved; relative gives null.
+
+    Paths of a Windows drive, by its letter or mounted under /mnt, are in lower
+    case; a share keeps its two slashes; the root of a WSL share is /.
+    """
     p = F.regexp_replace(F.trim(col(c)), r"\\", "/")
-    p = F.regexp_replace(p, r"(?i)^//wsl(\.localhost|\$)/[^/]+", "")
-    p = F.regexp_replace(p, "/+", "/")
-    drive = F.regexp_extract(p, "^([A-Za-z]):(/|$)", 1)
-    p = F.when(drive != "", F.lower(F.concat(F.lit("/mnt/"), drive, F.substring(p, 3, 1 << 30)))).otherwise(p)
+    share = p.rlike("^//[^/]")
+    p = F.when(share, F.concat(F.lit("//"), F.regexp_replace(F.substring(p, 3, 1 << 30), "/+", "/"))).otherwise(F.regexp_replace(p, "/+", "/"))
+    wsl = p.rlike(r"(?i)^//wsl(\.localhost|\$)/[^/]+(/|$)")
+    p = F.when(wsl, F.concat(F.lit("/"), F.regexp_replace(p, r"(?i)^//wsl(\.localhost|\$)/[^/]+/?", ""))).otherwise(p)
+    drive = F.regexp_extract(p, "^([A-Za-z]):/", 1)
+    p = F.when(drive != "", F.lower(F.concat(F.lit("/mnt/"), drive, F.substring(p, 3, 1 << 30)))).when(p.rlike("(?i)^/mnt/[a-z](/|$)"), F.lower(p)).otherwise(p)
     steps = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
     folded = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, s)))
-    return F.when(p.startswith("/"), F.concat(F.lit("/"), F.array_join(folded, "/")))
+    return F.when(p.startswith("/"), F.concat(F.when(share & ~wsl, "//").otherwise("/"), F.array_join(folded, "/")))
 
 
 def path_under(path: str | Column, root: str | Column) -> Column:
@@ -114,8 +120,10 @@ def path_under(path: str | Column, root: str | Column) -> Column:
     return (col(path) == col(root)) | col(path).startswith(F.concat(col(root), F.lit("/")))
 
 
-def salted_digest(c: str | Column, salt: str, n: int) -> Column:
-    return F.substring(F.sha2(F.concat(F.lit(salt + "\0"), F.lower(col(c))), 256), 1, n)
+def salted_digest(c: str | Column, salt: str, n: int, fold: bool = False) -> Column:
+    """The first n hex digits of the sha256 of salt, NUL and the value; ``fold`` (for codes of projects and paths) ignores case."""
+    value = F.lower(col(c)) if fold else col(c)
+    return F.substring(F.sha2(F.concat(F.lit(salt + "\0"), value), 256), 1, n)
 
 
 def natural_key(*cols: str | Column) -> Column:
@@ -138,17 +146,27 @@ def round_number(c: str | Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(x, r"round[-_ ]?(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"^(\d+)$", 1), F.lit(""))).try_cast("long")
 
 
+#: How prose names the number of new findings (fixed values).
+BLOCKING_PROSE = (r"(?i)(\d+)\s+NEW\s+blocking", r"(?i)NEW\s+blocking\D{0,24}(\d+)")
+
+
 def blocking_findings(structured: str | Column, prose: str | Column) -> Column:
-    """The size of a JSON list or object first, else a number, else counts found in prose, else 0."""
+    """The size of a JSON list or object first, else a number, else the count of new findings that prose names, else 0."""
     s, p = col(structured), col(prose)
     first = lambda pattern: F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")).try_cast("long")
-    return F.coalesce(F.json_array_length(s).cast("long"), F.size(F.json_object_keys(s)).cast("long"), s.try_cast("long"), first(r"(?i)(\d+)\s+blocking"), first(r"(?i)blocking[^0-9]{0,20}(\d+)"), F.lit(0).cast("long"))
+    whole = s.try_cast("double").try_cast("long")
+    number = F.when(whole.isNotNull(), F.greatest(whole, F.lit(0).cast("long")))
+    return F.coalesce(F.json_array_length(s).cast("long"), F.size(F.json_object_keys(s)).cast("long"), number, *[first(f) for f in BLOCKING_PROSE], F.lit(0).cast("long"))
+
 
+#: Keys whose values may name a model, at any depth (fixed values).
+MODEL_KEYS = ("model", "model_id", "assistant_model")
 
-def extract_model(c: str | Column, paths: list[str], pattern: str) -> Column:
-    """The first value at one of the JSON paths that fits the pattern."""
-    found = [F.get_json_object(col(c), p) for p in paths]
-    return F.coalesce(*[F.when(f.rlike(pattern), f) for f in found])
+
+def extract_model(c: str | Column, pattern: str, keys: tuple[str, ...] = MODEL_KEYS) -> Column:
+    """The first text in JSON, at any depth and in its order, that stands under one of the keys and fits the pattern."""
+    under = r'(?i)(?<!\\\\)"(?:' + "|".join(keys) + r')"\s*:\s*"([^"\\\\]*)"'
+    return F.get(F.filter(F.regexp_extract_all(col(c), F.lit(under.replace("\\\\", "\\")), F.lit(1)), lambda x: x.rlike(pattern)), F.lit(0))
 
 
 def is_accepted(flag: str | Column, verdict: str | Column, words: list[str]) -> Column:
@@ -163,22 +181,44 @@ def display_label(c: str | Column, labels: dict[str, str]) -> Column:
     return out
 
 
-#: Codes and patterns of text that must not be published.
+#: Codes and patterns of text that must not be published (fixed values).
+CREDENTIALS = ("gho_", "ghp_", "sk-ant", "sk-proj", "AKIA", "-----BEGIN OPENSSH PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----")
 SENSITIVE = {
-    "absolute_path": r"(^|[\s\"'(])(/home/|/Users/|/root/|[A-Za-z]:\\)",
-    "credential": r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S{6,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "phone": r"\+\d{1,3}[ -]\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b",
+    "absolute_path": r"/home/[A-Za-z0-9._-]+/|/mnt/[A-Za-z]/[^\s\"']+|(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s\"']+",
+    "email_pattern": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9.-])",
+    "machine_metadata_key": r'(?i)"hostname"\s*:',
+    "phone_pattern": r"(?<!\d)(?:\+?1[ .-])?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    "username_path": r"/home/[A-Za-z0-9._-]+/|/mnt/[A-Za-z]/[Uu]sers/[A-Za-z0-9._-]+/|[A-Za-z]:[\\/]+[Uu]sers[\\/]+[A-Za-z0-9._-]+[\\/]|[Uu]sers-[A-Za-z0-9._-]+-"
+    r"|--wsl(?:-localhost|-dollar)?-[A-Za-z0-9._-]+-home-[A-Za-z0-9._-]+-|\\\\(?:wsl(?:\.localhost|\$)?[\\/][^\\/\s\"']+|[^\\/\s\"']+)[\\/][^\s\"']+",
 }
+#: What a text must contain for a pattern to be worth trying.
+_HINTS = {"absolute_path": ("/home/", "/mnt/", ":\\", ":/"), "email_pattern": ("@",), "machine_metadata_key": (), "phone_pattern": (), "username_path": ("/home/", "/mnt/", "sers", "--wsl", "\\\\")}
+
+
+def sensitive_reasons(text: str | Column, terms: list[str] = (), host: str = "", user: str = "") -> Column:
+    """The sorted codes that a text gives reason for; never the match itself.
+
+    ``terms``, the name of a machine and of its user are found as they are
+    written, but for a user's folder on Windows, whose case doesn't matter.
+    """
+    c = col(text)
+    has = lambda some: any_column([c.contains(x) for x in some])
+    found = {code: (has(_HINTS[code]) & c.rlike(p)) if _HINTS[code] else c.rlike(p) for code, p in SENSITIVE.items()}
+    found["credential_pattern"] = has(CREDENTIALS)
+    if user:
+        found["username_path"] = found["username_path"] | c.contains(f"/home/{user}/") | F.lower(c).contains(f"\\users\\{user}\\".lower())
+    if host:
+        found["machine_metadata_value"] = c.contains(f'"{host}"')
+    if terms:
+        found["local_denylist"] = has(terms)
+    return F.array_compact(F.array(*[F.when(found[code], F.lit(code)) for code in sorted(found)]))
 
 
-def sensitive_reasons(text: str | Column, terms: list[str] = ()) -> Column:
-    """The sorted codes that a text gives reason for; never the match itself."""
-    found = [F.when(col(text).rlike(p), F.lit(code)) for code, p in sorted(SENSITIVE.items())]
-    if terms:
-        low = F.lower(col(text))
-        found.append(F.when(F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(low, t)), F.lit("term")))
-    return F.array_compact(F.array(*found))
+def any_column(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def model_bucket(models: str | Column) -> Column:

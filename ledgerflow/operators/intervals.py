@@ -41,10 +41,19 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str
 
 
 def flag_overlaps(df: DataFrame, lane: str, start: str, end: str, id: str, bin: int = HOUR) -> DataFrame:
-    """Adds ``overlaps``: whether another interval of the lane shares time with it (half-open)."""
+    """Adds ``overlaps``: whether another interval of the lane shares time with it (half-open).
+
+    Intervals are dealt by the bins that they touch, so a hot lane is spread; in
+    a bin, ordered by start, one overlaps an earlier one if the latest end so far
+    lies after its start, and a later one if the next start lies before its end.
+    No pairs are made.  Ids are unique.
+    """
     spans = df.select(lane, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(id).alias("_i")).filter("_e > _s")
-    other = spans.select(lane, F.col("_s").alias("_s2"), F.col("_e").alias("_e2"), F.col("_i").alias("_i2"))
-    hit = overlap_pairs(spans, other, [lane], ("_s", "_e"), ("_s2", "_e2"), closed=False, bin=bin).filter("_i <> _i2").select(F.col("_i").alias(id)).distinct()
+    dealt = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / bin), F.floor((F.col("_e") - 1) / bin))))
+    w = Window.partitionBy(lane, "_bin").orderBy("_s", "_i")
+    earlier = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)) > F.col("_s")
+    seen = dealt.withColumn("_hit", F.coalesce(earlier, F.lit(False)) | F.coalesce(F.lead("_s").over(w) < F.col("_e"), F.lit(False)))
+    hit = seen.filter("_hit").select(F.col("_i").alias(id)).distinct()
     return df.join(hit.withColumn("overlaps", F.lit(True)), id, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
 
 

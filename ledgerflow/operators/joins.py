@@ -36,9 +36,9 @@ def usage_between_marks(turns: DataFrame, marks: DataFrame, keys: list[str], pos
     return placed.groupBy(*keys, F.col("_to").alias("mark")).agg(*[F.sum(s).alias(s) for s in sums], (F.count(F.lit(1)) - F.count("mark")).alias("turns"))
 
 
-def correlate_sessions(rounds: DataFrame, sessions: DataFrame, keys: list[str], margin: int) -> DataFrame:
-    """Round and session pairs with equal keys whose spans overlap within a margin."""
-    return overlap_pairs(rounds, sessions, keys, ("started", "ended"), ("first", "last"), margin=margin)
+def correlate_sessions(rounds: DataFrame, sessions: DataFrame, keys: list[str], margin: int, bin: int | None = None) -> DataFrame:
+    """Round and session pairs with equal keys whose spans overlap within a margin; ``bin`` spreads a hot key over time."""
+    return overlap_pairs(rounds, sessions, keys, ("started", "ended"), ("first", "last"), margin=margin, bin=bin)
 
 
 def assign_once(pairs: DataFrame, reserved: DataFrame | None = None) -> DataFrame:

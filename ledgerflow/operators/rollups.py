@@ -120,10 +120,16 @@ def measurement_days(df: DataFrame) -> DataFrame:
 
 
 def quota_status(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The worst state by precedence and the least that remains."""
-    rank = F.max(F.when(F.col("state") == "error", 3).when(F.col("state") == "stale", 2).when(F.col("state") == "retained", 1).otherwise(0))
-    g = df.groupBy(*keys).agg(rank.alias("_r"), F.min(F.lit(100) - F.col("used")).alias("remaining"))
-    return g.select(*keys, F.element_at(F.array(F.lit("available"), F.lit("retained"), F.lit("stale"), F.lit("error")), F.col("_r") + 1).alias("status"), "remaining")
+    """The status of a provider and the least that remains of its windows.
+
+    Retained if any window is, else available if any is, else stale; rows in
+    error or unavailable stand for no window and count only where there is none.
+    """
+    order = ["unavailable", "error", "stale", "available", "retained"]
+    rank = F.max(F.array_position(F.array(*map(F.lit, order)), F.col("state")))
+    left = F.min(F.when(F.col("state").isin(*order[2:]), F.lit(100) - F.col("used")))
+    g = df.groupBy(*keys).agg(rank.cast("int").alias("_r"), left.alias("remaining"))
+    return g.select(*keys, F.get(F.array(*map(F.lit, order)), F.col("_r") - 1).alias("status"), "remaining")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
@@ -144,8 +150,12 @@ def worst_status(checks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_digest(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A digest of a table that doesn't depend on the order of its rows: their number and the sum of their hashes."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """A digest of a table that doesn't depend on the order of its rows: their number and the sum of their md5s' first 60 bits.
+
+    A row's text is its columns joined by NUL; nulls are empty.
+    """
+    row = F.md5(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
 def window_sums(days: DataFrame, day: str, windows: DataFrame, aggregates: dict[str, Column], keys: list[str] = ()) -> DataFrame:

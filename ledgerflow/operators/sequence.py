@@ -171,12 +171,15 @@ def staleness(df: DataFrame, keys: list[str], at: str, now: int, limit: int) ->
 
 
 def capacity_state(df: DataFrame, now: int, max_age: int) -> DataFrame:
-    """State of quota observations (value, observed_at, resets_at, captured): the first rule that holds."""
+    """State of quota observations (value, observed_at, resets_at, captured): the first rule that holds.
+
+    An observation is stale from ``max_age`` on, and from its reset on unless it was made after it.
+    """
     state = (
         F.when(F.col("value").isNull(), F.when(F.col("captured"), "unavailable").otherwise("error"))
         .when(F.col("observed_at") > now, "stale")
         .when(~F.col("captured"), "retained")
-        .when((F.lit(now) - F.col("observed_at") > max_age) | (F.col("resets_at") <= now), "stale")
+        .when((F.lit(now) - F.col("observed_at") >= max_age) | ((F.col("resets_at") <= now) & (F.col("observed_at") <= F.col("resets_at"))), "stale")
         .otherwise("available")
     )
     return df.withColumn("state", state)

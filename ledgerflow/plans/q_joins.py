@@ -59,7 +59,7 @@ def _pairs(spark, d):
     a = V.att(spark, d)
     r = a.filter("mode = 'plan'").selectExpr("event_id as round_id", "project_id", "start_us as started", "end_us + 60000000 as ended")
     s = a.filter("mode in ('guide', 'review')").selectExpr("event_id as session_id", "project_id", "start_us as first", "end_us as last")
-    return J.correlate_sessions(r, s, ["project_id"], 300_000_000).withColumn("exact", F.col("session_id") % 4 == 0)
+    return J.correlate_sessions(r, s, ["project_id"], 300_000_000, bin=3_600_000_000).withColumn("exact", F.col("session_id") % 4 == 0)
 
 
 @query("j04_correlate_sessions", f"with {ATT}, {_CORR} select round_id, session_id from pairs")

@@ -152,9 +152,9 @@ def ag16(spark, d):
     return G.floor_adherence(rows, "levels", "N", ["g"])
 
 
-@query("ag17_dense_daily", f"with {RND}, g as (select ended_on, count(*) as rounds, sum(cents)::bigint as cents from rnd where spec % 50 = 1 group by 1), s as (select unnest(generate_series((select min(ended_on) from g), date '2001-08-02', interval 1 day))::date as ended_on) select ended_on, coalesce(rounds, 0) as rounds, coalesce(cents, 0) as cents from s left join g using (ended_on)")
+@query("ag17_dense_daily", f"with {RND}, g as (select ended_on, count(*) as rounds, sum(cents)::bigint as cents from rnd group by 1), s as (select unnest(generate_series((select min(ended_on) from g), date '2001-08-02', interval 1 day))::date as ended_on) select ended_on, coalesce(rounds, 0) as rounds, coalesce(cents, 0) as cents from s left join g using (ended_on)")
 def ag17(spark, d):
-    g = V.rnd(spark, d).filter("spec % 50 = 1").groupBy("ended_on").agg(F.count(F.lit(1)).alias("rounds"), F.sum("cents").alias("cents"))
+    g = V.rnd(spark, d).groupBy("ended_on").agg(F.count(F.lit(1)).alias("rounds"), F.sum("cents").alias("cents"))
     return G.dense_daily(g, "ended_on", {"rounds": 0, "cents": 0}, V.ORDERS_NOW)
 
 
@@ -247,9 +247,9 @@ def ag30(spark, d):
     return G.attention_totals(V.att(spark, d), "project_id", F.col("end_us") - F.col("start_us"), "mode", ["plan", "review"], ["rework"])
 
 
-@query("ag31_quota_status", f"with {LOG}, q as (select row_id % 10 as provider, case when k = 3 then 'error' when k = 4 then 'stale' when k = 5 then 'retained' else 'available' end as state, used from (select row_id, exit_code + round * 3 as k, round * 30 as used from log where event_id % 97 = 0)) select provider, case max(case state when 'error' then 3 when 'stale' then 2 when 'retained' then 1 else 0 end) when 3 then 'error' when 2 then 'stale' when 1 then 'retained' else 'available' end as status, min(100 - used) as remaining from q group by 1")
+@query("ag31_quota_status", f"with {LOG}, q as (select row_id as provider, case when k = 3 then 'error' when k = 4 then 'stale' when k = 5 then 'retained' else 'available' end as state, used from (select row_id, exit_code + round * 3 as k, round * 30 as used from log)) select provider, case when count(*) filter (state = 'retained') > 0 then 'retained' when count(*) filter (state = 'available') > 0 then 'available' when count(*) filter (state = 'stale') > 0 then 'stale' else 'error' end as status, min(100 - used) filter (state <> 'error') as remaining from q group by 1")
 def ag31(spark, d):
-    q = V.log(spark, d).filter("event_id % 97 = 0").selectExpr("row_id % 10 as provider", "case exit_code + round * 3 when 3 then 'error' when 4 then 'stale' when 5 then 'retained' else 'available' end as state", "round * 30 as used")
+    q = V.log(spark, d).selectExpr("row_id as provider", "case exit_code + round * 3 when 3 then 'error' when 4 then 'stale' when 5 then 'retained' else 'available' end as state", "round * 30 as used")
     return G.quota_status(q, ["provider"])
 
 
@@ -271,7 +271,7 @@ def ag34(spark, d):
     return G.worst_status(V.log(spark, d).withColumn("status", F.expr("case exit_code + round when 3 then 'fail' when 2 then 'warn' else 'ok' end")), ["row_id"])
 
 
-@query("ag35_set_digest")
+@query("ag35_set_digest", "select count(*) as n, coalesce(sum(('0x' || substr(md5(o_orderkey || chr(0) || o_custkey || chr(0) || o_orderstatus || chr(0) || cast(o_orderdate as date) || chr(0) || o_orderpriority), 1, 15))::bigint), 0)::varchar as digest from orders")
 def ag35(spark, d):
-    o = V.read(spark, d, "orders")
-    return G.set_digest(o, o.columns)
+    o = V.read(spark, d, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return G.set_digest(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])

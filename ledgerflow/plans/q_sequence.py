@@ -152,14 +152,14 @@ def w17(spark, d):
     return W.staleness(seconds(spark, d), ["row_id"], "s_at", _NOW, 5400)
 
 
-_QUOTA = f"{SEC}, quota as (select event_id, case when event_id % 7 <> 0 then exit_code end as value, s_at + case when event_id % 11 = 0 then 86400 * 40 else 0 end as observed_at, s_at + 86400 * 20 as resets_at, event_id % 5 <> 0 as captured from sec)"
+_QUOTA = f"{SEC}, quota as (select event_id, case when event_id % 7 <> 0 then exit_code end as value, s_at + case when event_id % 11 = 0 then 86400 * 40 else 0 end as observed_at, s_at + 86400 * (case when event_id % 3 = 0 then -1 else 20 end) as resets_at, event_id % 5 <> 0 as captured from sec)"
 
 
 def quota(spark, d):
-    return seconds(spark, d).selectExpr("event_id", "case when event_id % 7 <> 0 then exit_code end as value", "s_at + case when event_id % 11 = 0 then 86400 * 40 else 0 end as observed_at", "s_at + 86400 * 20 as resets_at", "event_id % 5 <> 0 as captured")
+    return seconds(spark, d).selectExpr("event_id", "case when event_id % 7 <> 0 then exit_code end as value", "s_at + case when event_id % 11 = 0 then 86400 * 40 else 0 end as observed_at", "s_at + 86400 * (case when event_id % 3 = 0 then -1 else 20 end) as resets_at", "event_id % 5 <> 0 as captured")
 
 
-@query("w18_capacity_state", f"""with {_QUOTA} select event_id, case when value is null then case when captured then 'unavailable' else 'error' end when observed_at > {_NOW} then 'stale' when not captured then 'retained' when {_NOW} - observed_at > 1296000 or resets_at <= {_NOW} then 'stale' else 'available' end as state from quota""")
+@query("w18_capacity_state", f"""with {_QUOTA} select event_id, case when value is null then case when captured then 'unavailable' else 'error' end when observed_at > {_NOW} then 'stale' when not captured then 'retained' when {_NOW} - observed_at >= 1296000 or (resets_at <= {_NOW} and observed_at <= resets_at) then 'stale' else 'available' end as state from quota""")
 def w18(spark, d):
     return W.capacity_state(quota(spark, d), _NOW, 1296000).select("event_id", "state")
 

@@ -39,7 +39,7 @@ def src01(spark, d):
     usage = F.struct(F.col("input_tokens"), F.col("output_tokens").cast("string").alias("output_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"), (F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_creation_input_tokens"), F.struct(F.col("cache_write_1h_tokens").alias("ephemeral_1h_input_tokens")).alias("cache_creation"))
     line = F.to_json(F.struct(_stamp().alias("timestamp"), F.col("session_id").cast("string").alias("sessionId"), F.lit("/w").alias("cwd"), F.struct(F.concat(F.lit("m"), F.col("event_id") - F.col("event_id") % 3).alias("id"), "model", F.lit("dropped").alias("content"), usage.alias("usage")).alias("message")))
     rows = o.repartition(4, F.col("event_id") - F.col("event_id") % 3).sortWithinPartitions("event_id").select(line.alias("value"))
-    got = S.read_message_usage(spark, _written(spark, rows, "messages"))
+    got = S.read_message_usage(spark, _written(spark, rows, "messages"), any_name=True)
     return got.select("message_id", "session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")
 
 
@@ -83,12 +83,38 @@ def src04(spark, d):
     return got.groupBy(F.coalesce("skip", F.lit("ok")).alias("skip"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("skip").isNull(), F.col("exit_code"))), F.lit(0)).alias("exits"))
 
 
-@query("src05_round_seals", f"with {RND} select 's' || spec as spec, round, round % 5 <> 0 as complete, order_id::varchar as builder from rnd")
-def src05(spark, d):
+def seal_files(spark, d):
+    """The four files of each round as (path, content): some are missing, some torn."""
     r = V.rnd(spark, d)
-    file = lambda n: F.when((F.lit(n) != "judge") | (F.col("round") % 5 != 0), F.struct(F.concat(F.lit("root/s"), "spec", F.lit("/round"), "round", F.lit(f"/{n}.json")).alias("path"), F.col("order_id").cast("string").alias("content")))
-    files = r.select(F.explode(F.array_compact(F.array(*[file(n) for n in ("builder", "judge", "verdict", "surfaces")]))).alias("f")).select("f.*")
-    return S.assemble_rounds(files).select("spec", F.col("round").cast("int").alias("round"), "complete", "builder")
+    obj = lambda *cols: F.to_json(F.struct(*cols))
+    level = lambda c, i: F.struct(F.when(c % 2 == 0, "distinct_vendor").otherwise("same_vendor").alias("independence_level"), F.lit(i).alias("note"))
+    k = F.col("round")
+    content = {
+        "builder-identity": obj(F.lit("fam").alias("family"), F.when(k % 2 == 0, "vendor_a").alias("provider"), F.struct(F.concat(F.lit("gpt-"), k % 3).alias("MODEL_ID")).alias("evidence")),
+        "judge-identity": obj(F.struct(F.lit("vendor_b").alias("vendor"), F.concat(F.lit("m"), k % 4).alias("model")).alias("declared"), F.struct(level(k, 1).alias("a"), level(k + F.col("spec"), 2).alias("b")).alias("surfaces")),
+        "merged-verdict": obj(F.when(k % 7 == 0, "ACCEPT").otherwise(F.col("verdict")).alias("final"), F.col("accepted").alias("judges_accepted"), F.col("order_id").cast("string").alias("row"), F.concat("findings", F.lit(" NEW blocking")).alias("reason")),
+        "digest": F.when(k % 11 == 0, "{torn").otherwise('{"sealed":true}'),
+    }
+    file = lambda n: F.when((F.lit(n) != "judge-identity") | (k % 5 != 0), F.struct(F.concat(F.lit("root/s"), "spec", F.lit("/round"), "round", F.lit(f"/{n}.json")).alias("path"), content[n].alias("content")))
+    return r.select(F.explode(F.array_compact(F.array(*map(file, content)))).alias("f")).select("f.*")
+
+
+_SEALS = f"""{RND}, seals as (select 's' || spec as spec, round, case when round % 5 = 0 then 'in_flight' when round % 11 = 0 then 'malformed' else 'complete' end as status, order_id::varchar as row_id, case when round % 2 = 0 then 'vendor_a' else 'fam' end as builder_vendor, 'gpt-' || round % 3 as builder_model, 'vendor_b' as judge_vendor, 'm' || round % 4 as judge_model,
+ [case when round % 2 = 0 then 'distinct_vendor' else 'same_vendor' end, case when (round + spec) % 2 = 0 then 'distinct_vendor' else 'same_vendor' end] as levels, case when round % 7 = 0 then 'ACCEPT' else verdict end as final, accepted or round % 7 = 0 as accepted, findings from rnd)"""
+_SEAL_COLS = ("row_id", "builder_vendor", "builder_model", "judge_vendor", "judge_model", "levels", "final", "accepted", "findings")
+
+
+@query("src05_round_seals", f"with {_SEALS} select spec, round, status, " + ", ".join(f"case when status = 'complete' then {c} end as {c}" for c in _SEAL_COLS) + " from seals")
+def src05(spark, d):
+    return S.assemble_rounds(seal_files(spark, d)).withColumn("round", F.col("round").cast("int"))
+
+
+_ONE = "select '{0}' as measure, {1}::varchar as value, count(*) as n from {2} group by all"
+
+
+@query("src05_seal_summary", f"with {_SEALS}, done as (select * from seals where status = 'complete'), firsts as (select spec, min(round) as round from done where accepted group by 1), lv as (select unnest(levels) as level from done) " + " union all ".join(_ONE.format(*x) for x in (("status", "status", "seals"), ("accepted_at_round", "round", "firsts"), ("independence", "level", "lv"), ("verdict", "final", "done"), ("findings", "findings", "done"), *[(c, c, "done") for c in _SEAL_COLS[1:5]])))
+def src05_summary(spark, d):
+    return S.seal_summary(S.assemble_rounds(seal_files(spark, d)))
 
 
 @query("src06_test_reports", "select p_brand as name, count(*) as suites, sum(p_size)::bigint as tests, sum(p_partkey % 3)::bigint as failures from part group by 1")
@@ -126,7 +152,7 @@ def src10(spark, d):
 
 @query("src11_front_matter", "select lang, source, count(*) as n from (select case when doc_id % 4 = 0 then null else lang end as lang, case when doc_id % 4 = 0 then null else source || ': x' end as source from documents) group by all")
 def src11(spark, d):
-    t = F.concat(F.lit("---\nlang: "), "lang", F.lit("\nsource: "), "source", F.lit(": x\n---\nbody: no"))
+    t = F.concat(F.lit("---\nlang: old\nlang: "), "lang", F.lit("\nsource: "), "source", F.lit(": x\n---\nbody: no"))
     rows = V.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("body: no")).otherwise(t).alias("t"))
     h = S.front_matter(rows, "t", ["doc_id"])
     return h.groupBy(F.col("header")["lang"].alias("lang"), F.col("header")["source"].alias("source")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bounded_number, parse_utc, rounded, safe_identifier, safe_int
+from ..functions.scalars import blocking_findings, bounded_number, extract_model, parse_utc, rounded, safe_identifier, safe_int
 from ..operators.sequence import carry_forward, cumulative_delta
 
 _USAGE = "input_tokens string, output_tokens string, cache_read_input_tokens string, cache_creation_input_tokens string, cache_creation struct<ephemeral_5m_input_tokens string, ephemeral_1h_input_tokens string>"
 MESSAGE = f"timestamp string, sessionId string, cwd string, uuid string, message struct<id string, model string, usage struct<{_USAGE.replace(' string', ': string').replace('cache_creation struct', 'cache_creation: struct')}>>"
 TOTALS = "struct<input_tokens: string, cached_input_tokens: string, cache_write_tokens: string, output_tokens: string, reasoning_output_tokens: string>"
 TURN = f"timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, info: struct<total_token_usage: {TOTALS}, last_token_usage: {TOTALS}>>"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 KINDS = ["dispatch", "verdict", "merged", "finalized", "step", "proof", "escalated", "held", "note"]
 
 
@@ -26,19 +27,24 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
-def read_message_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_message_usage(spark: SparkSession, paths: str | list[str], any_name: bool = False) -> DataFrame:
     """Usage of messages: only lines with usage are parsed; of a repeated message the last line in its file counts.
 
     The id is the message's, else the line's uuid, else the place of the line.
-    Long cache writes are at most the total written; text is never kept.
+    Cache writes are the total that the line reports, long ones at most that.
+    In a file whose name is a UUID the session is the line's, else the name; in
+    any other file it is a digest of the path, unless ``any_name`` (for logs under
+    names of Spark's) trusts the lines there too.  Text is never kept.
     """
     rows = lines(spark, paths).filter(F.col("value").contains('"usage"')).withColumn("r", F.from_json("value", MESSAGE)).filter("r.message.usage is not null")
     u = lambda c: safe_int(F.col(f"r.message.usage.{c}"))
     place = F.concat_ws(":", "file", F.col("block").cast("string"), F.col("line").cast("string"))
-    total = F.greatest(u("cache_creation_input_tokens"), safe_int(F.col("r.message.usage.cache_creation.ephemeral_5m_input_tokens")) + safe_int(F.col("r.message.usage.cache_creation.ephemeral_1h_input_tokens")))
+    total = u("cache_creation_input_tokens")
     hour = F.least(total, safe_int(F.col("r.message.usage.cache_creation.ephemeral_1h_input_tokens")))
+    stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    aside = F.concat(F.lit("subagent-"), F.substring(F.sha2("file", 256), 1, 24))
     named = rows.select(
-        F.coalesce("r.message.id", "r.uuid", place).alias("message_id"), F.col("r.sessionId").alias("session_id"), F.col("r.cwd").alias("cwd"), F.col("r.message.model").alias("model"), parse_utc("r.timestamp").alias("ts"),
+        F.coalesce("r.message.id", "r.uuid", place).alias("message_id"), F.when(stem.rlike(UUID), F.coalesce("r.sessionId", stem)).otherwise(F.coalesce(*([F.col("r.sessionId")] if any_name else []), aside)).alias("session_id"), F.col("r.cwd").alias("cwd"), F.col("r.message.model").alias("model"), parse_utc("r.timestamp").alias("ts"),
         u("input_tokens").alias("input_tokens"), u("output_tokens").alias("output_tokens"), u("cache_read_input_tokens").alias("cache_read_tokens"), (total - hour).alias("cache_write_5m_tokens"), hour.alias("cache_write_1h_tokens"), "file", "block", "line",
     )
     w = Window.partitionBy("file", "message_id").orderBy(F.col("block").desc(), F.col("line").desc())
@@ -84,12 +90,51 @@ def read_event_log(spark: SparkSession, path: str | list[str], kinds: list[str]
     return rows.withColumn("r", r).select(ts.alias("ts"), F.when(F.col("r.kind").isin(*kinds), F.col("r.kind")).otherwise("other").alias("kind"), F.col("r.row").alias("row_id"), F.col("r.round").alias("round"), F.col("r.state").alias("state"), F.col("r.exit").try_cast("long").alias("exit_code"), skip.alias("skip"))
 
 
-def assemble_rounds(files: DataFrame, names: list[str] = ("builder", "judge", "verdict", "surfaces")) -> DataFrame:
-    """A row for each spec and round from (path, content) of files spec/roundN/name.json; complete if all are there."""
-    key = r"([^/]+)/round(\d+)/([a-z]+)\.json$"
+#: The files of a complete round (fixed values).
+SEALS = {"builder": "builder-identity", "judge": "judge-identity", "verdict": "merged-verdict", "digest": "digest"}
+MODELS = "^(claude-|gpt-|o)"
+
+
+def assemble_rounds(files: DataFrame) -> DataFrame:
+    """A row for each spec and round from (path, content) of files spec/roundN/name.json.
+
+    ``status`` is in_flight if one of the four SEALS is missing, malformed if one
+    is no JSON object, else complete; only then the other columns are known:
+    who built and judged, the independence levels of the judge's surfaces, the
+    verdict, whether it accepts, and how many new findings block.
+    """
+    key = r"([^/]+)/round(\d+)/([a-z-]+)\.json$"
     at = files.select(F.regexp_extract("path", key, 1).alias("spec"), F.regexp_extract("path", key, 2).try_cast("long").alias("round"), F.regexp_extract("path", key, 3).alias("name"), "content").filter("spec <> ''")
-    wide = at.groupBy("spec", "round").pivot("name", list(names)).agg(F.max("content"))
-    return wide.withColumn("complete", F.forall(F.array(*names), lambda c: c.isNotNull()))
+    wide = at.groupBy("spec", "round").agg(*[F.max(F.when(F.col("name") == n, F.coalesce("content", F.lit("")))).alias(c) for c, n in SEALS.items()])
+    valid = F.forall(F.array(*[F.json_object_keys(c).isNotNull() for c in SEALS]), lambda x: x)
+    status = F.when(F.forall(F.array(*SEALS), lambda c: c.isNotNull()), F.when(valid, "complete").otherwise("malformed")).otherwise("in_flight")
+    wide = wide.select(safe_identifier("spec").alias("spec"), "round", status.alias("status"), *[F.when(status == "complete", F.col(c)).alias(c) for c in SEALS])
+    of = lambda c, path: F.get_json_object(c, f"$.{path}")
+    done = F.col("status") == "complete"
+    family = safe_identifier(of("builder", "family"))
+    surfaces = F.map_values(F.from_json(of("judge", "surfaces"), "map<string, string>"))
+    levels = F.transform(F.filter(F.coalesce(surfaces, F.array().cast("array<string>")), lambda v: v.startswith("{")), lambda v: safe_identifier(F.coalesce(F.get_json_object(v, "$.independence_level"), F.lit("unknown"))))
+    final = safe_identifier(F.coalesce(of("verdict", "final"), F.lit("unknown")))
+    flag = ~F.coalesce(of("verdict", "judges_accepted"), F.lit("false")).isin("false", "0", "0.0", "", "[]", "{}")
+    told = lambda c: F.when(done, c)
+    return wide.select(
+        "spec", "round", "status", told(safe_identifier(F.coalesce(of("verdict", "row"), F.lit("")), "")).alias("row_id"),
+        told(F.coalesce(safe_identifier(of("builder", "provider"), None), family)).alias("builder_vendor"),
+        told(F.coalesce(extract_model("builder", MODELS), family)).alias("builder_model"),
+        told(safe_identifier(of("judge", "declared.vendor"))).alias("judge_vendor"), told(safe_identifier(of("judge", "declared.model"))).alias("judge_model"), told(levels).alias("levels"),
+        told(final).alias("final"), told(flag | final.isin("ACCEPT", "ACCEPTED")).alias("accepted"), told(blocking_findings(of("verdict", "merged.new_blocking"), of("verdict", "reason"))).alias("findings"),
+    )
+
+
+def seal_summary(rounds: DataFrame) -> DataFrame:
+    """(measure, value, n): rounds by status, and of complete ones verdicts, findings, builders, judges, independence levels and the round that first accepts each spec."""
+    done = rounds.filter("status = 'complete'")
+    one = lambda df, name, c: df.groupBy(F.lit(name).alias("measure"), F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    first = done.filter("accepted").groupBy("spec").agg(F.min("round").alias("round"))
+    out = one(rounds, "status", "status").unionByName(one(first, "accepted_at_round", "round")).unionByName(one(done.select(F.explode("levels").alias("level")), "independence", "level"))
+    for name, c in (("verdict", "final"), ("findings", "findings"), ("builder_vendor", "builder_vendor"), ("builder_model", "builder_model"), ("judge_vendor", "judge_vendor"), ("judge_model", "judge_model")):
+        out = out.unionByName(one(done, name, c))
+    return out
 
 
 def read_test_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -145,11 +190,12 @@ def parse_accept_log(df: DataFrame, line: str) -> DataFrame:
 
 
 def front_matter(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """The key: value header between --- lines as a map; no header gives an empty map."""
+    """The key: value header between --- lines as a map; no header gives an empty map, of a repeated key the last value counts."""
     block = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(\n|$)", 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
     entry = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    return df.select(*keys, F.map_from_entries(entry).alias("header"))
+    last = F.filter(entry, lambda e, i: ~F.exists(F.slice(entry, i + 2, F.size(entry)), lambda x: x["key"] == e["key"]))
+    return df.select(*keys, F.map_from_entries(last).alias("header"))
 
 
 def explode_provider_snapshot(df: DataFrame, json_col: str, observed: str, now: int, keys: list[str], stale_after: int = 7200) -> DataFrame:

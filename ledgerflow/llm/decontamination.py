@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import Scratch, prepare
+from .jobs import Scratch, prepare, tidy
 from .near_duplicates import _signed
 from .shingles import shingles
 
@@ -44,7 +44,7 @@ def shingle_sets(rows: DataFrame, key: str, width: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, s)])
             yield pa.RecordBatch.from_arrays([b[key], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(s) if s else np.zeros(0, np.int64)))], [key, "shingles"])
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, shingles array<long>")
+    return rows.select(key, "text").mapInArrow(tidy(run), f"{key} {rows.schema[key].dataType.simpleString()}, shingles array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, num: int = 80, den: int = 100, width: int = WIDTH, most: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -108,7 +108,7 @@ def _looked_up(docs: DataFrame, wanted: DataFrame, num: int, den: int, width: in
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc, pa.int64())), pa.array(of, item_type), pa.array([x for x, _ in n], pa.int64()), pa.array([x for _, x in n], pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
 
     item_type = pa.int64() if item == "bigint" else pa.int32() if item == "int" else pa.string()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, item_id {item}, n_shared long, n_item long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {key}, item_id {item}, n_shared long, n_item long")
 
 
 def _joined(docs: DataFrame, wanted: DataFrame, num: int, den: int, width: int, scratch: Scratch) -> DataFrame:

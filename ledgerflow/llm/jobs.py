@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +84,25 @@ def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "
     return rows.join(F.broadcast(ids) if n * fixed + extra <= most else ids, key, how)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; nothing is lost
+        pass
+
+
+def tidy(run):
+    """A function over Arrow batches that trims its worker's memory when the task ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def growing(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the data as the other side does: sort and merge, never broadcast."""
     return df.hint("merge")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import histories, sums
-from .jobs import prepare
+from .jobs import prepare, tidy
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -103,15 +103,18 @@ def _counts(batches):
         other = [i for i, t in enumerate(texts) if zlib.crc32(t.encode()) % MADE == 0]
         for made, some in ((False, list(range(len(texts)))), (True, other)):
             column = pa.array([exchanged(texts[i]) if made else texts[i] for i in some], pa.string())
-            counts: list[np.ndarray] = [np.zeros(BUCKETS, np.int64) for _ in some]
+            at, n = [b""] * len(some), [b""] * len(some)
+            count, of = np.zeros(BUCKETS, np.int64), -1
             for first, last, lengths, parts in histories(column, _FOLD, max(GRAMS)):
-                ends = np.cumsum(lengths)
-                for codes in buckets_of(parts).astype(np.int64):
-                    for r in range(last - first):
-                        counts[first + r] += np.bincount(codes[ends[r] - lengths[r] : ends[r]], minlength=BUCKETS)
-            at = [np.flatnonzero(c) for c in counts]
-            packed = [[x.astype("<u2").tobytes() for x in at], [c[x].astype("<f4").tobytes() for c, x in zip(counts, at)]]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array([made] * len(some), pa.bool_()), *[pa.array(p, pa.binary()) for p in packed]], ["lang", "made", "at", "n"])
+                ends, codes = np.cumsum(lengths), buckets_of(parts).astype(np.int64)
+                for r in range(last - first):
+                    if first + r != of:
+                        count, of = np.zeros(BUCKETS, np.int64), first + r
+                    for c in codes:
+                        count += np.bincount(c[ends[r] - lengths[r] : ends[r]], minlength=BUCKETS)
+                    x = np.flatnonzero(count)
+                    at[of], n[of] = x.astype("<u2").tobytes(), count[x].astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array([made] * len(some), pa.bool_()), *[pa.array(p, pa.binary()) for p in (at, n)]], ["lang", "made", "at", "n"])
 
 
 def quotas(sizes: dict[str, int], train_rows: int) -> dict[str, int]:
@@ -158,7 +161,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
     and a text.
     """
     prepare(docs.sparkSession)
-    got = training_rows(docs, train_rows).mapInArrow(_counts, "lang string, made boolean, at binary, n binary").toArrow()
+    got = training_rows(docs, train_rows).mapInArrow(tidy(_counts), "lang string, made boolean, at binary, n binary").toArrow()
     rows = sorted(zip(*[got[c].to_pylist() for c in ("made", "lang", "at", "n")]))
     del got
     if not rows:
@@ -248,7 +251,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             lang, score = np.where(none, UNKNOWN, names[best]), np.where(none, 0.0, score)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(lang, pa.string()), pa.array(score), pa.array(none | (score < m.threshold))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -264,4 +267,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             letters = pc.fill_null(pc.match_substring_regex(b["text"], r"\p{L}"), False)
             yield b.filter(pc.and_(letters, pa.array(score >= shared.value.threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import components
-from .jobs import Scratch, free_name, growing, join_ids, prepare
+from .jobs import Scratch, free_name, growing, join_ids, prepare, tidy
 from .shingles import mix, shingles
 
 WIDTH = 5
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "t1", "t2", "n", "k1", "k2", "sketch"])
 
     t1, t2 = _text_keys()
-    return docs.select("doc_id", "text", t1.alias("t1"), t2.alias("t2")).mapInArrow(run, f"doc_id {key}, t1 long, t2 int, n long, k1 long, k2 long, sketch array<long>")
+    return docs.select("doc_id", "text", t1.alias("t1"), t2.alias("t2")).mapInArrow(tidy(run), f"doc_id {key}, t1 long, t2 int, n long, k1 long, k2 long, sketch array<long>")
 
 
 def set_nodes(made: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "n", "shingles"])
 
-    return rows.mapInArrow(run, "node long, n long, shingles array<long>")
+    return rows.mapInArrow(tidy(run), "node long, n long, shingles array<long>")
 
 
 def _sides(nodes: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import Scratch, prepare
+from .jobs import Scratch, prepare, tidy
 from .tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -202,7 +202,7 @@ def pieces_of(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY)
                 ["part", "doc_id", "piece", "start", "length", "ids_crc32", "local"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"part int, doc_id {key}, piece int, start long, length long, ids_crc32 long, local long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"part int, doc_id {key}, piece int, start long, length long, ids_crc32 long, local long")
 
 
 def pack(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
@@ -234,4 +234,4 @@ def pack(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY) -> Da
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, f"doc_id {key}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(run), f"doc_id {key}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

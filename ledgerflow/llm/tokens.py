@@ -18,6 +18,8 @@ import numpy as np
 import public_tokenizers
 import regex
 
+from .jobs import trim
+
 MEMO = 600_000
 SPACED = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 #: The tokenizers' own rules for pre-tokens (fixed values).
@@ -34,6 +36,7 @@ def encoder(name: str) -> "PieceEncoder":
     """The encoder of this worker; it lives as long as the worker."""
     if name not in _loaded:
         _loaded[name] = PieceEncoder(name)
+        trim()
     return _loaded[name]
 
 

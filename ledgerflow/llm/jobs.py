@@ -18,7 +18,7 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
-def prepare(spark: SparkSession, rows: int = 512) -> None:
+def prepare(spark: SparkSession, rows: int = 256) -> None:
     """Let executors import this package, and keep Arrow batches small: texts can be long."""
     spark.conf.set(ARROW_ROWS, str(rows))
     sc = spark.sparkContext

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(977))

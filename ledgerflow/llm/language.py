@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import histories, sums
-from .jobs import prepare, tidy
+from .jobs import prepare, tidy, trim
 
 BITS = 14
 BUCKETS = 1 << BITS
 GRAMS = (2, 3, 4)
-TRAIN_ROWS = 4096
+TRAIN_ROWS = 2048
 PRECISION = 0.99
 LOST = 0.005
 MADE = 3
@@ -201,11 +201,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dim: int = 16, steps: int
         b -= 0.2 * rate * g.sum(0)
         e -= _limited(400 * rate * e_grad, 4.0)
     weights, bias = (e @ w).astype(np.float32), b.astype(np.float64)
+    del e, d, e_grad
     z = np.vstack([dense(aside[i : i + 256]) @ weights for i in range(0, len(aside), 256)]) + bias
     grid = [2.0**k for k in np.arange(-4, 4.01, 0.25)]
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(aside)), y[aside]], 1e-12)).mean() for t in grid]
     temperature = grid[int(np.argmin(loss))]
     p = softmax(z / temperature)[:, : len(names)]
+    del rows, at, x
+    trim()
     return LanguageModel(names, weights, bias, temperature, threshold(p.max(1), p.argmax(1) == y[aside], aside < real))
 
 

@@ -13,15 +13,24 @@ tokens of shorter prefixes, and what can still matter is finite: the suffixes
 that begin some token, each with the token before it and its count.  States and
 transitions are compiled when first reached and kept.
 
-A text is cut into chunks before spaces that stand alone.  There both machines
-are in their first state whatever came before, so a chunk's state map is
-constant, a count; the maps of a batch's chunks compose by a prefix sum, from
-which each text takes its part.
+A text is cut into chunks before spaces that follow a character other than
+white space.  There both machines are in their first state whatever came before,
+so a chunk's state map is constant, a count; the maps of a batch's chunks compose
+by a prefix sum, from which each text takes its part.
+
+A chunk of over LONG characters, as in texts without spaces, is cut again every
+LONG characters, wherever that is.  Maps of such chunks depend on the entry state
+(border state, merge state, and the last character, which a border can still
+precede).  A map is made for the entry states in which the machines end that
+start shortly before the cut; nearly always the true one is among them.  Maps
+compose in pairs, pairs of pairs and so on; should the true entry state be
+missing in a map, it is added there when the composition asks for it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -36,6 +45,12 @@ from .tokens import _byte_letters
 TOKENIZER = "byte_bpe_50k.json"
 STATES = 250_000
 CHUNKS = 800_000
+LONG = 2048
+#: How many characters before a cut the machines start that guess the entry states.
+LOOKS = (16, 32, 64)
+#: Border state, merge state, and the character that neither machine has left behind.
+START = ("begin", 0, "")
+_SINGLE = re.compile(r"(?<=\S)(?= )")
 
 
 def _compile_borders() -> dict[tuple[str, str], tuple[str, bool, bool]]:
@@ -168,20 +183,85 @@ class CountingTransducer:
             start = len(text) - 1
         return total + self.word(text[start:].encode())
 
+    def _feed(self, merge: int, c: str) -> tuple[int, int]:
+        """The merge state after a character, and the tokens that it adds."""
+        n = 0
+        for byte in c.encode():
+            merge, d = self.moves.get(merge << 8 | byte) or self._compile(merge, byte)
+            n += d
+        return merge, n
+
+    def over(self, state: tuple[str, int, str], chunk: str) -> tuple[tuple[str, int, str], int]:
+        """A chunk's state map at one entry state: the exit state and the tokens added; the last character is counted by what follows."""
+        (border, merge, held), total, kinds = state, 0, self.kinds
+        for c in chunk:
+            kind = kinds.get(c) or kinds.setdefault(c, _kind(c))
+            border, early, here = BORDERS[border, kind]
+            merge, n = self._feed(0 if early else merge, held)
+            total += n
+            if here:
+                merge = 0
+            held = c
+        return (border, merge, held), total
+
+    def composed(self, text: str) -> int:
+        """The number of tokens of a long text: maps of chunks cut anywhere, composed as a tree."""
+        level = []
+        for i in range(0, len(text), LONG):
+            chunk = text[i : i + LONG]
+            entries = {self.over(START, text[max(0, i - k) : i])[0] for k in LOOKS}
+            level.append(({e: self.over(e, chunk) for e in entries}, chunk))
+        while len(level) > 1:
+            pairs = [({}, a, b) for a, b in zip(level[::2], level[1::2])]
+            for table, a, b in pairs:
+                for entry in a[0]:
+                    middle, n = a[0][entry]
+                    last, more = self._at(b, middle)
+                    table[entry] = last, n + more
+            level = pairs + level[len(pairs) * 2 :]
+        (border, merge, held), total = self._at(level[0], START)
+        return total + self._feed(0 if border in ("quoter", "quotev", "quotel") else merge, held)[1]
+
+    def _at(self, node: tuple, entry: tuple[str, int, str]) -> tuple[tuple[str, int, str], int]:
+        """The map of a node of the tree at an entry state, added where it is missing."""
+        table = node[0]
+        if entry not in table:
+            if len(node) == 2:
+                table[entry] = self.over(entry, node[1])
+            else:
+                middle, n = self._at(node[1], entry)
+                last, more = self._at(node[2], middle)
+                table[entry] = last, n + more
+        return table[entry]
+
+    def whole(self, text: str) -> int:
+        return self.text(text) if len(text) <= LONG else self.composed(text)
+
     def chunk(self, chunk: str) -> int:
         """The constant state map of a chunk that follows a space; -1 (with no memory) if it can't stand alone."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return -1
-        n = self.chunks[chunk] = self.text(" " + chunk)
+        n = self.whole(" " + chunk)
+        if len(chunk) <= LONG:
+            self.chunks[chunk] = n
         return n
 
+    def uneven(self, part: str) -> int:
+        """The number of tokens of a part in which white space touches the spaces at some cuts; chunks there reach on to the next cut that holds."""
+        total = 0
+        for piece in _SINGLE.split(part):
+            n = (self.chunks.get(piece[1:]) or self.chunk(piece[1:])) if piece[:1] == " " else -1
+            total += n if n >= 0 else self.whole(piece)
+        return total
+
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Token counts of many texts: chunk maps, one prefix sum, differences at the texts' ends."""
-        if len(self.states) > STATES or len(self.chunks) > CHUNKS:
-            self.clear()
         maps, ends, extra = [], np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64)
-        find, make = self.chunks.get, self.chunk
+        make = self.chunk
         for i, text in enumerate(texts):
+            if len(self.states) > STATES or len(self.pairs) > 4 * STATES or len(self.chunks) > CHUNKS:
+                self.clear()
+            find = self.chunks.get
             parts = [text or ""]
             for s in self.special:
                 if s in parts[0] or len(parts) > 1:
@@ -192,10 +272,10 @@ class CountingTransducer:
                 first, *rest = part.split(" ")
                 got = [find(p) or make(p) for p in rest]
                 if first and first[-1].isspace() or not first and rest or got and min(got) < 0:
-                    extra[i] += self.text(part)
+                    extra[i] += self.uneven(part)
                 else:
                     maps += got
-                    extra[i] += self.text(first)
+                    extra[i] += self.whole(first)
             ends[i + 1] = len(maps)
         composed = np.concatenate([[0], np.cumsum(np.array(maps, np.int64))])
         return composed[ends[1:]] - composed[ends[:-1]] + extra

@@ -135,10 +135,14 @@ def encoded(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             key = np.where(has(bits, key), key, _U(0))
             new = np.zeros(len(key), bool)
             new[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
-            out = np.zeros(len(key) + int(new.sum()) + 1, _U)
-            out[np.arange(len(key)) + np.cumsum(new)] = key
-            out = out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out.view(np.int64)))], ["words"])
+            at = np.arange(len(key)) + np.cumsum(new)
+            out, of = np.zeros(len(key) + int(new.sum()), _U), np.zeros(len(key) + int(new.sum()), np.int64)
+            out[at], of[at] = key, row
+            of[at[new] - 1] = row[new]
+            some = np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])
+            out, of = out[some], of[some]
+            ends = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(out))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.view(np.int64)))], ["words"])
 
     return docs.mapInArrow(tidy(run), "words array<long>")
 
@@ -158,7 +162,12 @@ def positions(v: np.ndarray, filters: list[np.ndarray], longest: int):
 
 
 def _flat(batch: pa.RecordBatch) -> np.ndarray:
-    return batch["words"].flatten().to_numpy(zero_copy_only=False).view(_U)
+    """All words of a batch, with a 0 between rows."""
+    got = batch["words"]
+    flat, sizes = got.flatten().to_numpy(zero_copy_only=False).view(_U), np.diff(got.offsets.to_numpy())
+    out = np.zeros(len(flat) + len(sizes), _U)
+    out[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
+    return out
 
 
 def next_filter(texts: DataFrame, filters: list[np.ndarray], least: int) -> np.ndarray:

@@ -129,9 +129,9 @@ def encoded(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             code, _, salt = _salts(batch["lang"])
             parts = [(_keys(v, salt[code[row]]), row, piece) for _, _, _, v, row, piece in words(batch["text"])]
-            if not parts:
+            key, row, piece = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
+            if not len(key):
                 continue
-            key, row, piece = (np.concatenate(x) for x in zip(*parts))
             key = np.where(has(bits, key), key, _U(0))
             new = np.zeros(len(key), bool)
             new[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])

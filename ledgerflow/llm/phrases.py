@@ -44,6 +44,8 @@ TOP = 2000
 BITS = 26
 #: Phrases of one trie.
 MOST = 1_000_000
+#: Words that a counting task reads for each phrase of its trie, if there are enough: so the counts of all tasks are few beside the texts.
+WORDS_A_PHRASE = 256
 
 _U = np.uint64
 _KIND = np.zeros(256, np.uint8)
@@ -321,9 +323,11 @@ def _trie(rows: DataFrame) -> tuple[DoubleArray, pa.Array] | None:
     return double_array(parts), got
 
 
-def phrase_counts(texts: DataFrame, chosen: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+def phrase_counts(texts: DataFrame, chosen: DataFrame, n_words: int, scratch: Scratch, most: int) -> DataFrame:
     """(words, a): the exact number of each candidate's occurrences, by one pass over the texts for each trie."""
-    shards = max(1, -(-chosen.count() // most))
+    n = chosen.count()
+    shards = max(1, -(-n // most))
+    texts = texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, n_words * shards // (WORDS_A_PHRASE * max(n, 1))))
     out = None
     for shard in range(shards):
         made = _trie(chosen.filter(F.pmod(F.xxhash64(F.get("words", F.lit(0))), F.lit(shards)) == shard))
@@ -397,7 +401,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pe
     for _ in range(2, longest):
         filters.append(next_filter(texts, filters, least))
     chosen = scratch.save(candidates(texts, filters, longest), "candidates")
-    counts = phrase_counts(texts, chosen, scratch, most).filter(F.col("a") >= least)
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = phrase_counts(texts, chosen, n_words, scratch, most).filter(F.col("a") >= least)
     phrases = scratch.save(_spelled(counts, known), "phrases")
     scratch.drop("texts", "candidates")
     kept = scratch.save(not_inside(phrases, percent).select("lang", _joined("words").alias("phrase")), "kept")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import Scratch, prepare, tidy
+from .jobs import Scratch, free_name, join_ids, prepare, tidy
 from .near_duplicates import _signed
 from .shingles import shingles
 
@@ -55,62 +55,98 @@ def contaminated(docs: DataFrame, items: DataFrame, num: int = 80, den: int = 10
     are null or without words match nothing.  Items with equal texts each match;
     repeated rows of documents give repeated rows.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "decontamination")
-    wanted = scratch.save(shingle_sets(items, "item_id", width).filter(F.size("shingles") > 0), "items")
-    total = wanted.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-    if total <= most:
-        return _looked_up(docs, wanted, num, den, width)
-    return _joined(docs, wanted, num, den, width, scratch)
-
-
-def _looked_up(docs: DataFrame, wanted: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """All items' shingles on every executor; their number is checked."""
-    found = [(r["item_id"], np.array(r["shingles"], np.int64)) for r in wanted.collect()]
-    names, sets = [f[0] for f in found], [f[1] for f in found]
-    sizes = np.array([len(s) for s in sets], np.int64)
-
-    def inverted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        owners = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.argsort(values, kind="stable")
-        return values[order], owners[order]
-
-    shared = docs.sparkSession.sparkContext.broadcast((names, sizes, inverted([s[: sketch_size(len(s), num, den)] for s in sets]), inverted(sets)))
+    wanted, few, scratch = _items(docs, items, width, most)
+    if not few:
+        return _joined(docs, wanted, num, den, width, scratch)
+    of_items, names = _lookup(wanted, num, den)
+    shared = docs.sparkSession.sparkContext.broadcast((of_items, names))
     key, item = docs.schema["doc_id"].dataType.simpleString(), wanted.schema["item_id"].dataType.simpleString()
 
-    def hits(values: np.ndarray, owners: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """The owners of every value that the ascending set s has."""
-        at = np.searchsorted(s, values)
-        return owners[(at < len(s)) & (s[np.minimum(at, len(s) - 1)] == values)]
-
     def run(batches):
-        names, sizes, sketch, whole = shared.value
-        heads = np.unique(sketch[0])
+        of_items, names = shared.value
         for b in batches:
             doc, of, n = [], [], []
             for i, s in enumerate(shingles(b["text"], width)):
-                if not len(s) or not len(heads):
-                    continue
-                s = _signed(s)
-                small, large = (heads, s) if len(heads) < len(s) else (s, heads)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                if not (large[at] == small).any():
-                    continue
-                near = np.zeros(len(sizes), bool)
-                near[hits(*sketch, s)] = True
-                k = np.bincount(hits(*whole, s), minlength=len(sizes))
-                for j in np.flatnonzero(near & (k * den >= sizes * num)).tolist():
+                for j, k in of_items.held(s, num, den):
                     doc.append(i)
-                    of.append(names[j])
-                    n.append((int(k[j]), int(sizes[j])))
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc, pa.int64())), pa.array(of, item_type), pa.array([x for x, _ in n], pa.int64()), pa.array([x for _, x in n], pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+                    of.append(j)
+                    n.append(k)
+            at = np.array(of, np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc, pa.int64())), names.take(pa.array(at)), pa.array(n, pa.int64()), pa.array(of_items.sizes[at])], ["doc_id", "item_id", "n_shared", "n_item"])
 
-    item_type = pa.int64() if item == "bigint" else pa.int32() if item == "int" else pa.string()
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {key}, item_id {item}, n_shared long, n_item long")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, num: int = 80, den: int = 100, width: int = WIDTH, most: int = BROADCAST_SHINGLES) -> DataFrame:
+    """The rows, with all their columns, whose text holds no item as ``contaminated`` has it; whatever their doc_id."""
+    wanted, few, scratch = _items(docs, items, width, most)
+    if not few:
+        key = free_name(docs, "text_key")
+        of_text = F.concat_ws("-", F.xxhash64(F.coalesce("text", F.lit(""))), F.hash(F.coalesce("text", F.lit(""))))
+        texts = docs.select(of_text.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        found = scratch.save(_joined(texts, wanted, num, den, width, scratch).select(F.col("doc_id").alias(key)).distinct(), "found")
+        return join_ids(docs.withColumn(key, of_text), found, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(_lookup(wanted, num, den)[0])
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([next(shared.value.held(s, num, den), None) is None for s in shingles(b["text"], width)], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
+def _items(docs: DataFrame, items: DataFrame, width: int, most: int) -> tuple[DataFrame, bool, Scratch]:
+    """The items' sets as a written table, and whether they are few enough to be broadcast."""
+    spark = docs.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark, "decontamination")
+    wanted = scratch.save(shingle_sets(items, "item_id", width).filter(F.size("shingles") > 0), "items")
+    return wanted, wanted.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] <= most, scratch
+
+
+class Lookup:
+    """Items' sets in one array, and their sketches inverted."""
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray, num: int, den: int):
+        self.values, self.ends, self.sizes = values, ends, np.diff(ends)
+        parts = [values[a : a + sketch_size(b - a, num, den)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.heads, at = np.unique(flat[order], return_index=True)
+        self.starts = np.append(at, len(flat))
+        self.owners = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order]
+
+    def held(self, s: np.ndarray, num: int, den: int):
+        """Yield (item, shared shingles) of the items that the set s, as unsigned values, holds; only sets of candidates are looked at."""
+        if not len(s) or not len(self.heads):
+            return
+        s = _signed(s)
+        few, many = (self.heads, s) if len(self.heads) < len(s) else (s, self.heads)
+        at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+        hit = few[many[at] == few]
+        if not len(hit):
+            return
+        places = np.searchsorted(self.heads, hit)
+        near = np.unique(np.concatenate([self.owners[self.starts[p] : self.starts[p + 1]] for p in places.tolist()]))
+        for j in near.tolist():
+            own = self.values[self.ends[j] : self.ends[j + 1]]
+            k = int((s[np.minimum(np.searchsorted(s, own), len(s) - 1)] == own).sum())
+            if k * den >= len(own) * num:
+                yield j, k
+
+
+def _lookup(wanted: DataFrame, num: int, den: int) -> tuple[Lookup, pa.Array]:
+    """All items' shingles, of which there are at most so many, as Arrow arrays; and their ids in whatever type."""
+    got = wanted.select("item_id", "shingles").toArrow().combine_chunks()
+    if not got.num_rows:
+        return Lookup(np.zeros(0, np.int64), np.zeros(1, np.int64), num, den), got["item_id"].combine_chunks()
+    names, sets = got["item_id"].combine_chunks(), got["shingles"].combine_chunks()
+    if isinstance(sets, pa.ChunkedArray):
+        names, sets = names.chunk(0), sets.chunk(0)
+    ends = sets.offsets.to_numpy().astype(np.int64)
+    return Lookup(sets.values.to_numpy(zero_copy_only=False)[: ends[-1]], ends, num, den), names
+
+
 def _joined(docs: DataFrame, wanted: DataFrame, num: int, den: int, width: int, scratch: Scratch) -> DataFrame:
     """For very many items: shuffle joins on shingles, sketches first, all shingles for the candidates only.
 

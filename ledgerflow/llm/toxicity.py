@@ -4,8 +4,9 @@ Each class has a model that spells a word: its first character, its first two,
 and so on up to DEPTH, then the whole word.  Every such node has the number of
 texts of the class and words in them that reach it; a discount is taken from
 each count (from the numbers of ones and twos, as Kneser and Ney have it) and
-handed, with STRENGTH counts more, to a backoff that both classes share, the
-node's share of the two classes' counts together.  So a rare expression is
+handed, with STRENGTH counts more, to a backoff that both classes share: of the
+distinct words behind the parent, the share that goes on through the node, in
+either class, however often (Kneser and Ney's numbers of continuations).  So a rare expression is
 judged alike by both, and only one with evidence apart; a word that was never
 seen is judged by the longest beginning that was.  Nodes whose two
 log-probabilities differ by less than FLOOR count as alike and aren't kept.
@@ -32,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import Scratch, join_ids, prepare, tidy
+from .jobs import Scratch, free_name, join_ids, prepare, tidy
 from .units import DEPTH, END, node_hashes, words
 
+#: Chosen on the rows that set the curve (crc32 mod 5 is 1), from STRENGTH 1, 5, 20, 80 and FLOOR 0, 0.2: the fewest errors, then the fewest nodes.
 STRENGTH = 20.0
 FLOOR = 0.2
 MIXED = 0.02
@@ -77,16 +79,16 @@ def _nodes_of(word: str):
 
 
 def node_counts(counted: DataFrame) -> DataFrame:
-    """(node, parent, plain, toxic) of all beginnings of the counted words."""
+    """(node, parent, plain, toxic, kinds) of all beginnings of the counted words; kinds is the number of distinct words behind a node."""
     each = counted.select(F.explode(_nodes_of("word")).alias("n"), "plain", "toxic")
-    return each.groupBy("n.node", "n.parent").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
+    return each.groupBy("n.node", "n.parent").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("kinds"))
 
 
 def node_values(nodes: DataFrame, discounts: tuple[float, float]) -> DataFrame:
     """(node, value): log P(node | parent, toxic) - log P(node | parent, ordinary) of the nodes that tell the classes apart."""
     taken = {c: F.least(F.col(c).cast("double"), F.lit(d)) for c, d in zip(("plain", "toxic"), discounts)}
-    of = nodes.groupBy("parent").agg(*[F.sum(c).alias(f"all_{c}") for c in taken], *[F.sum(t).alias(f"left_{c}") for c, t in taken.items()])
-    shared = (F.col("plain") + F.col("toxic")) / (F.col("all_plain") + F.col("all_toxic"))
+    of = nodes.groupBy("parent").agg(F.sum("kinds").alias("all_kinds"), *[F.sum(c).alias(f"all_{c}") for c in taken], *[F.sum(t).alias(f"left_{c}") for c, t in taken.items()])
+    shared = F.col("kinds") / F.col("all_kinds")
     p = {c: (F.col(c) - t + (F.col(f"left_{c}") + STRENGTH) * shared) / (F.col(f"all_{c}") + STRENGTH) for c, t in taken.items()}
     value = F.log(p["toxic"] / p["plain"])
     return nodes.join(of, "parent").select("node", value.cast("float").alias("value")).filter(F.abs("value") >= FLOOR)
@@ -278,11 +280,12 @@ def keep_ordinary(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     if model is None:
         return docs
     if model.table is not None:
-        bad = _scored(docs.select("text"), model, []).filter("score >= 0.5").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+        k1, k2 = free_name(docs, "k1_"), free_name(docs, "k2_")
+        bad = _scored(docs.select("text"), model, []).filter("score >= 0.5").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
         bad = Scratch(docs.sparkSession, "toxic").save(bad, "texts")
         text = F.coalesce("text", F.lit(""))
-        keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text)})
-        return join_ids(keyed, bad, ["_k1", "_k2"], "left_anti").select(*[F.col(c) for c in docs.columns])
+        keyed = docs.withColumns({k1: F.xxhash64(text), k2: F.hash(text)})
+        return join_ids(keyed, bad, [k1, k2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -231,3 +231,48 @@ def test_whitening_of_low_rank_large_and_no_rows(spark):
     large = spark.createDataFrame([(1, [9e8, 0.0]), (2, [-9e8, 1.0]), (3, [1e12, 0.0])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.deviation for r in whitening.whiten(large, whitening.fit(large)).collect()}
     assert got == {1: None, 2: None}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(9,2)", "bigint", "date"])
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_items_of_any_id_type(spark, kind, most):
+    from ledgerflow.llm import decontamination
+
+    text = "one two three four five six seven"
+    items = spark.createDataFrame([(1, text), (2, "eight nine ten eleven twelve thirteen"), (3, None), (4, text)], "i int, text string")
+    items = items.select((F.date_add(F.lit("2024-01-01").cast("date"), F.col("i")) if kind == "date" else F.col("i").cast(kind)).alias("item_id"), "text")
+    docs = spark.createDataFrame([(1, "x " + text), (2, "nothing here at all today really")], "doc_id long, text string")
+    got = decontamination.contaminated(docs, items, most=most)
+    assert got.schema["item_id"].dataType.simpleString() == kind
+    assert [(r.doc_id, r.n_shared, r.n_item) for r in got.collect()] == [(1, 3, 3), (1, 3, 3)]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination_goes_by_text_and_not_by_id(spark, odd, empty, most):
+    from ledgerflow.llm import decontamination
+
+    leak = "an item of the benchmark that is long enough"
+    items = spark.createDataFrame([(1, leak), (2, "some other item that nobody has copied here")], "item_id long, text string")
+    rows = [(1, "before " + leak + " after"), (1, "a clean text under the same id as the other"), (None, leak), (None, "a clean text without any id at all here"), (2, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, 5, "mine") for r in rows], DOC + ", text_key int, item_id string")
+    got = decontamination.keep_clean(docs, items, most=most)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((*r, "en", "s", 1, 5, "mine")) for r in rows if leak not in (r[1] or ""))
+    assert decontamination.keep_clean(odd, items, most=most).count() == odd.count()
+    assert decontamination.keep_clean(empty, items, most=most).count() == 0
+    assert decontamination.keep_clean(odd, items.filter("false"), most=most).count() == odd.count()
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_trained_toxicity_on_odd_rows(spark, odd, empty, most):
+    from ledgerflow.llm import toxicity
+
+    rows = [(i, f"good words number{i} here are nice", 0) for i in range(60)] + [(100 + i, f"awful vile{i % 3} words number{i} here", 1) for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), most)
+    assert model is not None and (model.table is None) == (most > 0)
+    some = odd.withColumns({"k1_": F.lit(5), "k2_": F.lit(5), "_k1": F.lit(5)}).unionByName(odd.withColumns({"k1_": F.lit(5), "k2_": F.lit(5), "_k1": F.lit(5), "text": F.lit("awful vile1 words awful vile2")}))
+    scores = toxicity.score(some, model).collect()
+    assert len(scores) == 2 * odd.count() and all(0 <= r.score <= 1 for r in scores)
+    kept = toxicity.keep_ordinary(some, model)
+    assert kept.columns == some.columns and {(r["k1_"], r["k2_"], r["_k1"]) for r in kept.collect()} == {(5, 5, 5)} and kept.filter("text like 'awful%'").count() == 0
+    assert toxicity.keep_ordinary(empty, model).count() == 0

@@ -48,12 +48,13 @@ def brute_ratios(rows):
     """log P(word | toxic) - log P(word | ordinary) by the definition, without a floor."""
     counts = [collections.Counter(), collections.Counter()]
     steps = lambda w: [w[:k] for k in range(1, min(len(w), units.DEPTH) + 1)] + [w + " "]
-    parent = {}
+    parent, kinds = {}, collections.defaultdict(set)
     for text, label in set(rows):
         for w in words_of(text):
             for node, up in zip(steps(w), ["", *steps(w)]):
                 counts[label][node] += 1
                 parent[node] = up
+                kinds[node].add(w)
     below = collections.defaultdict(list)
     for node, up in parent.items():
         below[up].append(node)
@@ -64,9 +65,9 @@ def brute_ratios(rows):
         p = {}
         for up, nodes in below.items():
             total, left = sum(c[n] for n in nodes), sum(min(c[n], d) for n in nodes)
-            both = sum(counts[0][n] + counts[1][n] for n in nodes)
+            both = sum(len(kinds[n]) for n in nodes)
             for n in nodes:
-                share = (counts[0][n] + counts[1][n]) / both
+                share = len(kinds[n]) / both
                 p[n] = math.log((max(c[n] - d, 0) + (left + toxicity.STRENGTH) * share) / (total + toxicity.STRENGTH))
         logs.append(p)
     value = {n: logs[1][n] - logs[0][n] for n in parent}

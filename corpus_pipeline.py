@@ -33,9 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    prepare(spark)
-    found = Scratch(spark, "contaminated").save(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "ids")
-    return join_ids(docs, found, "doc_id", "left_anti")
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

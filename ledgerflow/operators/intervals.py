@@ -57,10 +57,20 @@ def flag_overlaps(df: DataFrame, lane: str, start: str, end: str, id: str, bin:
     return df.join(hit.withColumn("overlaps", F.lit(True)), id, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
 
 
-def transitions(df: DataFrame, day: str, entity: str, order: list[str]) -> DataFrame:
-    """By day and entity, how often the day's work came to it from another entity."""
-    w = Window.partitionBy(day).orderBy(*order)
-    moved = df.withColumn("_from", F.lag(entity).over(w)).filter(F.col("_from").isNotNull() & (F.col("_from") != F.col(entity)))
+def transitions(df: DataFrame, day: str, entity: str, order: list[str], bin: int = HOUR // 6) -> DataFrame:
+    """By day and entity, how often the day's work came to it from another entity.
+
+    A day is cut into bins of its first order column, so that a day that holds most
+    of the rows is spread.  Inside a bin each row is held against the one before;
+    a bin's first row is stitched to the last row of the nearest bin of the day
+    before it that isn't empty.
+    """
+    dealt = df.withColumn("_bin", F.floor(F.col(order[0]) / bin))
+    inside = dealt.withColumn("_from", F.lag(entity).over(Window.partitionBy(day, "_bin").orderBy(*order))).select(day, entity, "_from")
+    place = F.struct(*order)
+    ends = dealt.groupBy(day, "_bin").agg(F.min_by(entity, place).alias(entity), F.max_by(entity, place).alias("_last"))
+    stitched = ends.withColumn("_from", F.lag("_last").over(Window.partitionBy(day).orderBy("_bin"))).select(day, entity, "_from")
+    moved = inside.unionByName(stitched).filter(F.col("_from").isNotNull() & (F.col("_from") != F.col(entity)))
     return moved.groupBy(day, entity).agg(F.count(F.lit(1)).alias("transitions_in"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,18 @@ def older_than(df: DataFrame, day: str, today: str, days: int, unit: str | None
     if unit is None:
         return df.filter(F.col(day) < limit)
     return df.join(df.groupBy(unit).agg(F.max(day).alias("_newest")).filter(F.col("_newest") < limit).select(unit), unit, "left_semi")
+
+
+def place_in_order(df: DataFrame, lead: dict[str, bool], order: list[str]) -> DataFrame:
+    """Adds ``place``, from 1, in the order of the lead columns (True: ascending) and then of ``order``.
+
+    Rows are numbered inside each combination of the lead columns; the numbers of
+    rows of those before it are added, so only one row for each combination is
+    ever ordered in one partition.  Lead columns may be null.
+    """
+    ways = [F.col(c).asc() if up else F.col(c).desc() for c, up in lead.items()]
+    before = Window.orderBy(*ways).rowsBetween(Window.unboundedPreceding, -1)
+    groups = df.groupBy(*lead).agg(F.count(F.lit(1)).alias("_n")).select(*lead, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in lead]
+    both = df.alias("_a").join(groups.alias("_b"), reduce(lambda x, y: x & y, same)).select("_a.*", "_b._before")
+    return both.withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy(*lead).orderBy(*order))).drop("_before")

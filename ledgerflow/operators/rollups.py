@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import order_statistics, with_statistics
+
 TOKENS = ["input_tokens", "cached_input_tokens", "output_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_output_tokens"]
 
 
@@ -72,9 +74,9 @@ def count_by(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def distribution(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Count, least, quartiles, 95th percentile and greatest, with linear interpolation."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
-    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), p.alias("_p"), F.max(value).alias("greatest"))
-    return g.select(*keys, "n", "least", *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate(("p25", "p50", "p75", "p95"))], "greatest")
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    return with_statistics(g, order_statistics(df, value, quartiles, keys), keys).select(*keys, "n", "least", *quartiles, "greatest")
 
 
 def nested_counts(df: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -204,14 +206,18 @@ def headline(specs: DataFrame) -> DataFrame:
     """One row: specs, accepted ones, money, money by accepted spec, median rounds and efficiency; null where nothing was accepted."""
     n = F.count_if("accepted")
     paid = F.sum(F.when(F.col("accepted"), F.col("cents")))
-    return specs.agg(F.count(F.lit(1)).alias("specs"), n.alias("accepted_specs"), F.sum("cents").alias("cents"), F.when(n > 0, paid / n).alias("cents_per_accepted"), F.percentile(F.col("rounds").cast("double"), 0.5).alias("median_rounds"), (n / F.sum("rounds")).alias("efficiency"))
+    g = specs.agg(F.count(F.lit(1)).alias("specs"), n.alias("accepted_specs"), F.sum("cents").alias("cents"), F.when(n > 0, paid / n).alias("cents_per_accepted"), (n / F.sum("rounds")).alias("efficiency"))
+    return with_statistics(g, order_statistics(specs, "rounds", {"median_rounds": 0.5})).select("specs", "accepted_specs", "cents", "cents_per_accepted", "median_rounds", "efficiency")
 
 
 def window_outcomes(rounds: DataFrame, windows: DataFrame, valid_days: int = 60) -> DataFrame:
     """By window: rounds, accepted specs, findings, the median of valid durations and money by accepted spec."""
     n = F.count_distinct(F.when(F.col("accepted"), F.col("spec")))
     valid = F.when(F.col("raw_days").between(0, valid_days), F.col("raw_days").cast("double"))
-    return window_sums(rounds, "ended_on", windows, {"rounds": F.count(F.lit(1)), "accepted_specs": n, "findings": F.sum("findings"), "median_days": F.percentile(valid, 0.5), "cents_per_accepted": F.when(n > 0, F.sum("cents") / n)})
+    sums = window_sums(rounds, "ended_on", windows, {"rounds": F.count(F.lit(1)), "accepted_specs": n, "findings": F.sum("findings"), "cents_per_accepted": F.when(n > 0, F.sum("cents") / n)})
+    hit = rounds.join(F.broadcast(windows), F.col("ended_on").between(F.col("from_day"), F.col("to_day")))
+    keys = [c for c in ("window_key", "part") if c in sums.columns]
+    return with_statistics(sums, order_statistics(hit, valid, {"median_days": 0.5}, keys), keys)
 
 
 def probe_health(df: DataFrame, keys: list[str], ok: Column, name: str) -> DataFrame:

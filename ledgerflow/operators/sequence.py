@@ -1,7 +1,8 @@
 """Operators over ordered rows: carrying forward, differences, matching, durations, gaps, trends and windows of days.
 
-Windows are always partitioned by the given keys; a single ordered partition is
-used only after an aggregation has made the rows few (days, windows).
+Windows are always partitioned by the given keys, and where a key can be hot by
+blocks of it too; a single ordered partition is used only after an aggregation
+has made the rows few (days, windows).
 """
 
 from __future__ import annotations
@@ -11,21 +12,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import order_statistics, with_statistics
+
 
 def _window(keys, order):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """Nulls in ``cols`` become the last value seen before them in the key."""
-    w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+def _entering(blocks: DataFrame, df: DataFrame, keys: list[str], block: str) -> DataFrame:
+    """The rows with what their block's summary says; keys may be null."""
+    same = reduce(lambda x, y: x & y, [F.col(f"_rows.{c}").eqNullSafe(F.col(f"_blocks.{c}")) for c in [*keys, block]])
+    return df.alias("_rows").join(blocks.alias("_blocks"), same, "left").select("_rows.*", "_blocks._in")
 
 
-def cumulative_delta(df: DataFrame, keys: list[str], order: list[str], cols: list[str], suffix: str = "_delta") -> DataFrame:
-    """Growth of running totals since the row before, never negative; the first row counts from 0."""
-    w = _window(keys, order)
-    return df.withColumns({c + suffix: F.greatest(F.col(c) - F.lag(c, 1, 0).over(w), F.lit(0)) for c in cols})
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: str | None = None) -> DataFrame:
+    """Nulls in ``cols`` become the last value seen before them in the key.
+
+    With ``block``, a column that never falls in that order, no window holds a
+    whole key: each block of a key is summed up by its last values, the summaries,
+    one row for each block, are carried over the key, and what enters a block is
+    applied inside it.  The largest task then holds one block.
+    """
+    if block is None:
+        w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    lasts = [F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols]
+    before = _window(keys, [block]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*keys, block).agg(*lasts).select(*keys, block, F.struct(*[F.last(c, ignorenulls=True).over(before).alias(c) for c in cols]).alias("_in"))
+    inside = _window([*keys, block], order).rowsBetween(Window.unboundedPreceding, 0)
+    return _entering(blocks, df, keys, block).withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_in.{c}")) for c in cols}).drop("_in")
+
+
+def cumulative_delta(df: DataFrame, keys: list[str], order: list[str], cols: list[str], suffix: str = "_delta", block: str | None = None) -> DataFrame:
+    """Growth of running totals since the row before, never negative; the first row counts from 0.
+
+    ``block`` cuts keys as in ``carry_forward``: a block's summary is its last row,
+    and its first row is held against that of the block before.
+    """
+    if block is None:
+        w = _window(keys, order)
+        return df.withColumns({c + suffix: F.greatest(F.col(c) - F.lag(c, 1, 0).over(w), F.lit(0)) for c in cols})
+    last = df.groupBy(*keys, block).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+    blocks = last.select(*keys, block, F.lag("_last").over(_window(keys, [block])).alias("_in"))
+    inside = _window([*keys, block], order)
+    entered = _entering(blocks, df, keys, block).withColumn("_first", F.row_number().over(inside) == 1)
+    start = lambda c: F.when(F.col("_in").isNull(), F.lit(0)).otherwise(F.col(f"_in.{c}"))
+    grown = entered.withColumns({c + suffix: F.greatest(F.col(c) - F.when(F.col("_first"), start(c)).otherwise(F.lag(c).over(inside)), F.lit(0)) for c in cols})
+    return grown.drop("_in", "_first")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -131,7 +164,8 @@ def bucket_series(days: DataFrame, keys: list[str], day: str, sums: list[str], m
     width = F.ceil(F.col("_all") / n)
     places = each.select(*keys, day, F.floor(F.col("_i") / width).alias("bucket"))
     rows = days.join(places, [*keys, day])
-    return rows.groupBy(*keys, "bucket").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), *[F.sum(c).alias(c) for c in sums], F.percentile(median, 0.5).alias("median"))
+    totals = rows.groupBy(*keys, "bucket").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), *[F.sum(c).alias(c) for c in sums])
+    return with_statistics(totals, order_statistics(rows, median, {"median": 0.5}, [*keys, "bucket"]), [*keys, "bucket"])
 
 
 def bounds(spark, today: str, first: str, sizes: tuple[int, ...] = (7, 30, 90)) -> DataFrame:

@@ -22,9 +22,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("j01_observation_source", "select l_orderkey, l_linenumber, o_custkey from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 40")
+@query("j01_observation_source", "select l_orderkey, l_linenumber, o_custkey from lineitem join orders on l_orderkey = o_orderkey")
 def j01(spark, d):
-    li = V.read(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("file_id"), "l_linenumber")
+    li = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), "l_linenumber")
     return li.join(V.read(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), "o_custkey"), "file_id").select(F.col("file_id").alias("l_orderkey"), "l_linenumber", "o_custkey")
 
 

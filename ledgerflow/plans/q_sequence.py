@@ -34,14 +34,16 @@ SEC = LOG + ", sec as (select *, cast(floor(epoch_us(ts) / 1000000.0) as bigint)
 @query("w01_carry_forward", f"with {OBS} select event_id, last_value(case when model <> 'error' then model end ignore nulls) over (partition by session_id order by ts, event_id rows between unbounded preceding and current row) as model from obs")
 def w01(spark, d):
     rows = V.obs(spark, d).withColumn("model", F.when(F.col("model") != "error", F.col("model")))
-    return W.carry_forward(rows, ["session_id"], ["ts", "event_id"], ["model"]).select("event_id", "model")
+    rows = rows.withColumn("day", F.to_date("ts"))
+    return W.carry_forward(rows, ["session_id"], ["ts", "event_id"], ["model"], block="day").select("event_id", "model")
 
 
 @query("w02_cumulative_delta", f"with {OBS}, c as (select event_id, ts, session_id, case when event_id % 50 = 0 then 0 else sum(input_tokens) over (partition by session_id order by ts, event_id rows between unbounded preceding and current row) end as total from obs) select event_id, cast(greatest(total - lag(total, 1, 0) over (partition by session_id order by ts, event_id), 0) as bigint) as total_delta from c")
 def w02(spark, d):
     running = F.sum("input_tokens").over(W._window(["session_id"], ["ts", "event_id"]).rowsBetween(W.Window.unboundedPreceding, 0))
     rows = V.obs(spark, d).withColumn("total", F.when(F.col("event_id") % 50 == 0, F.lit(0)).otherwise(running))
-    return W.cumulative_delta(rows, ["session_id"], ["ts", "event_id"], ["total"]).select("event_id", F.col("total_delta").cast("long").alias("total_delta"))
+    rows = rows.withColumn("day", F.to_date("ts"))
+    return W.cumulative_delta(rows, ["session_id"], ["ts", "event_id"], ["total"], block="day").select("event_id", F.col("total_delta").cast("long").alias("total_delta"))
 
 
 @query("w03_first_of_signature", "select doc_id, source from (select doc_id, source, row_number() over (partition by text order by doc_id) as n from documents) where n = 1")
@@ -111,12 +113,12 @@ def w12(spark, d):
 _NOW = 1706659200
 
 
-@query("w13_cadence_gaps", f"""with {SEC}, d as (select distinct kind, row_id, s_at from sec where row_id < 20), g as (select kind, row_id, lag(s_at) over (partition by kind, row_id order by s_at) as since, s_at - lag(s_at) over (partition by kind, row_id order by s_at) as gap from d),
+@query("w13_cadence_gaps", f"""with {SEC}, d as (select distinct kind, row_id, s_at from sec), g as (select kind, row_id, lag(s_at) over (partition by kind, row_id order by s_at) as since, s_at - lag(s_at) over (partition by kind, row_id order by s_at) as gap from d),
 b as (select kind, row_id, since, gap, cast(greatest(1, floor(gap / 1800.0) - 1) as bigint) as missed, false as open from g where gap > 2700 union all
   select kind, row_id, max(s_at), {_NOW} - max(s_at), cast(greatest(1, floor(({_NOW} - max(s_at)) / 1800.0)) as bigint), true from d group by all having {_NOW} - max(s_at) > 2700)
 select * from b qualify row_number() over (partition by kind, row_id order by since desc) <= 20""")
 def w13(spark, d):
-    return W.cadence_gaps(seconds(spark, d).filter("row_id < 20"), ["kind", "row_id"], "s_at", 1800, 2700, _NOW)
+    return W.cadence_gaps(seconds(spark, d), ["kind", "row_id"], "s_at", 1800, 2700, _NOW)
 
 
 @query("w14_bucket_series", f"""with {RND}, days as (select builder, ended_on, row_number() over (partition by builder order by ended_on) - 1 as i, count(*) over (partition by builder) as n from (select distinct builder, ended_on from rnd)),
@@ -217,10 +219,9 @@ def tk04(spark, d):
     return R.select_windows(g, ["p_brand"], "p_type", "size", ["STANDARD", "SMALL"])
 
 
-@query("tk05_stable_order", "select row_number() over (order by c_mktsegment, c_nationkey desc, c_custkey) as place, c_custkey from customer qualify place <= 100")
+@query("tk05_stable_order", "select row_number() over (order by c_mktsegment, c_nationkey desc, c_custkey) as place, c_custkey from customer")
 def tk05(spark, d):
-    top = V.read(spark, d, "customer").orderBy("c_mktsegment", F.col("c_nationkey").desc(), "c_custkey").limit(100)
-    return top.withColumn("place", F.row_number().over(W.Window.orderBy("c_mktsegment", F.col("c_nationkey").desc(), "c_custkey"))).select("place", "c_custkey")
+    return R.place_in_order(V.read(spark, d, "customer"), {"c_mktsegment": True, "c_nationkey": False}, ["c_custkey"]).select("place", "c_custkey")
 
 
 @query("tk06_latest_of_series", f"with {OBS} select session_id, max_by(event_id, ts::varchar || lpad(event_id::varchar, 12, '0')) as event_id from obs group by 1")

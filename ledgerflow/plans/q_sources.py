@@ -47,17 +47,17 @@ def src01(spark, d):
 def src02(spark, d):
     from pyspark.sql import Window
 
-    o = V.obs(spark, d).filter("vendor = 'vendor_b'")
-    run = lambda c: F.sum(c).over(Window.partitionBy("session_id").orderBy("ts", "event_id"))
-    first = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) == 1
-    o = o.withColumns({"ti": run("input_tokens"), "to": run("output_tokens"), "first": first})
+    o = V.obs(spark, d).filter("vendor = 'vendor_b'").withColumn("part", F.pmod(F.xxhash64("session_id"), F.lit(64)))
+    w = Window.partitionBy("part").orderBy("session_id", "ts", "event_id")
+    first = F.row_number().over(Window.partitionBy("part", "session_id").orderBy("ts", "event_id")) == 1
+    o = o.withColumns({"ti": F.sum("input_tokens").over(w), "to": F.sum("output_tokens").over(w), "first": first})
     meta = F.when(F.col("first"), F.to_json(F.struct(_stamp().alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(F.col("session_id").cast("string").alias("id"), F.lit("/w").alias("cwd")).alias("payload"))))
     turn = F.to_json(F.struct(_stamp().alias("timestamp"), F.lit("turn_context").alias("type"), F.struct("model").alias("payload")))
     total = F.struct(F.col("ti").alias("input_tokens"), F.col("to").alias("output_tokens"))
     use = F.to_json(F.struct(_stamp().alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")).alias("payload")))
-    rows = o.select("session_id", "ts", "event_id", F.posexplode(F.array_compact(F.array(meta, turn, use))).alias("i", "value"))
+    rows = o.select("part", "session_id", "ts", "event_id", F.posexplode(F.array_compact(F.array(meta, turn, use))).alias("i", "value"))
     to = _folder(spark, "turns")
-    rows.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id", "i").select("session_id", "value").write.partitionBy("session_id").text(to)
+    rows.repartition("part").sortWithinPartitions("part", "session_id", "ts", "event_id", "i").select("part", "value").write.partitionBy("part").text(to)
     got = S.read_turn_usage(spark, to)
     return got.select("session_id", "model", F.unix_seconds("ts").alias("at_s"), "input_tokens", "output_tokens")
 

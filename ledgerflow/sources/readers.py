@@ -54,7 +54,9 @@ def read_message_usage(spark: SparkSession, paths: str | list[str], any_name: bo
 def read_turn_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Usage of turns in tagged logs: session and model carried forward, tokens of the turn or the growth of the totals.
 
-    A repeated report (same time and totals in a file) counts once.
+    A repeated report (same time and totals in a file) counts once.  A file is
+    read in its input splits; what a split needs of those before it are the last
+    values that each holds, so no task holds more than a split.
     """
     rows = lines(spark, paths).filter(F.col("value").rlike('"(session_meta|turn_context|token_count)"')).withColumn("r", F.from_json("value", TURN))
     kind = F.col("r.type")
@@ -66,10 +68,10 @@ def read_turn_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("r.payload.info.last_token_usage").isNotNull().alias("has_last"), *[safe_int(F.col(f"r.payload.info.last_token_usage.{n}")).alias(f"last_{n}") for n in names],
     )
     order = ["block", "line"]
-    carried = carry_forward(flat, ["file"], order, ["session_id", "cwd", "model"]).filter("inner = 'token_count' and input_tokens is not null")
+    carried = carry_forward(flat, ["file"], order, ["session_id", "cwd", "model"], block="block").filter("inner = 'token_count' and input_tokens is not null")
     w = Window.partitionBy("file", "stamp", *names).orderBy(*order)
     once = carried.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    grown = cumulative_delta(once, ["file"], order, names)
+    grown = cumulative_delta(once, ["file"], order, names, block="block")
     return grown.select("session_id", "cwd", "model", parse_utc("stamp").alias("ts"), *[F.when(F.col("has_last"), F.col(f"last_{n}")).otherwise(F.col(f"{n}_delta")).cast("long").alias(n) for n in names], "file")
 
 

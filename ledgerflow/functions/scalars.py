@@ -163,10 +163,36 @@ def blocking_findings(structured: str | Column, prose: str | Column) -> Column:
 MODEL_KEYS = ("model", "model_id", "assistant_model")
 
 
-def extract_model(c: str | Column, pattern: str, keys: tuple[str, ...] = MODEL_KEYS) -> Column:
-    """The first text in JSON, at any depth and in its order, that stands under one of the keys and fits the pattern."""
-    under = r'(?i)(?<!\\\\)"(?:' + "|".join(keys) + r')"\s*:\s*"([^"\\\\]*)"'
-    return F.get(F.filter(F.regexp_extract_all(col(c), F.lit(under.replace("\\\\", "\\")), F.lit(1)), lambda x: x.rlike(pattern)), F.lit(0))
+#: Objects and lists inside each other that a model is looked for in.
+DEPTH = 6
+
+
+def extract_model(c: str | Column, pattern: str, keys: tuple[str, ...] = MODEL_KEYS, depth: int = DEPTH) -> Column:
+    """The first identifier in JSON that stands under one of the keys (any case) and fits the pattern.
+
+    Objects and lists are walked in the order of the text, ``depth`` levels deep;
+    what stands under a key is not walked into.  Values are trimmed, escapes are
+    read, texts that hold JSON are texts.  Null without a match or without JSON.
+    """
+    return F.get(F.filter(F.transform(_under(col(c), keys, depth), lambda x: safe_identifier(x, "")), lambda x: (x != "") & x.rlike(pattern)), F.lit(0))
+
+
+def _under(node: Column, keys: tuple[str, ...], depth: int) -> Column:
+    """The texts that stand under the keys, in order.  Members come as text, which keeps their order, and as variants, which tell their kinds."""
+    texts = F.from_json(node, "map<string, string>")
+    kinds = F.transform(F.map_values(F.from_json(node, "map<string, variant>")), lambda v: F.schema_of_variant(v))
+    members = F.transform(F.map_entries(texts), lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("text"), F.get(kinds, i).alias("kind")))
+    items = F.from_json(node, "array<string>")
+    item_kinds = F.transform(F.from_json(node, "array<variant>"), lambda v: F.schema_of_variant(v))
+    listed = F.transform(items, lambda x, i: F.struct(F.lit(None).cast("string").alias("key"), x.alias("text"), F.get(item_kinds, i).alias("kind")))
+    empty = F.array().cast("array<string>")
+
+    def of(m: Column) -> Column:
+        inner = F.when(m["kind"].startswith("OBJECT") | m["kind"].startswith("ARRAY"), _under(m["text"], keys, depth - 1)).otherwise(empty) if depth > 1 else empty
+        return F.coalesce(F.when(F.lower(m["key"]).isin(*keys), F.array(m["text"])).otherwise(inner), empty)
+
+    start = F.substring(F.ltrim(node), 1, 1)
+    return F.coalesce(F.flatten(F.transform(F.when(start == "{", members).when(start == "[", listed), of)), empty)
 
 
 def is_accepted(flag: str | Column, verdict: str | Column, words: list[str]) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected
 from .intervals import overlap_pairs
 
 
@@ -24,6 +25,40 @@ def resolve_by_prefix(df: DataFrame, rules: DataFrame, path: str, default: str)
     return df.join(best, F.col(path) == F.col("_path"), "left").drop("_path").withColumn("project", F.coalesce("project", F.lit(default)))
 
 
+def resolve_project(df: DataFrame, tails: DataFrame, mappings: DataFrame, path: str, source: str, salt: str) -> DataFrame:
+    """Adds project, resolution, candidate_code and registered to rows by layers of rules; case is folded throughout.
+
+    ``path`` is a canonical path or null, ``source`` the relative path of the log.
+    The first that holds: the source's first part begins with ssh- (remote); the
+    path's last name is in ``tails`` (tail, project); ``mappings`` (root, project,
+    exact) has the path or, unless exact, one of its ancestors: the longest root,
+    then the least project; else ad hoc, with a code of the path or, without one,
+    of the source.  Rules are joined by equality with the names that a distinct
+    path derives, so their number doesn't multiply the rows.
+    """
+    folded = F.lower(F.col(path))
+    top = F.lower(F.split_part(F.regexp_replace(F.ltrim(F.translate(F.col(source), "\\", "/"), F.lit("/")), r"^(\./)+", ""), F.lit("/"), F.lit(1)))
+    steps = F.split("_path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.lit("path").alias("kind"), F.when(i == 1, F.lit("/")).otherwise(F.array_join(F.slice(steps, F.lit(1), i), "/")).alias("key")))
+    names = F.array_append(ups, F.struct(F.lit("tail").alias("kind"), F.element_at(steps, -1).alias("key")))
+    spread = df.select(folded.alias("_path")).filter("_path is not null").distinct().withColumn("_n", F.explode(names)).select("_path", "_n.kind", "_n.key")
+    root = F.lower(F.when(F.length("root") > 1, F.rtrim(F.col("root"), F.lit("/"))).otherwise(F.col("root")))
+    rules = tails.select(F.lit("tail").alias("kind"), F.lower("tail").alias("key"), "project", F.lit(False).alias("exact")).unionByName(mappings.select(F.lit("path").alias("kind"), root.alias("key"), "project", "exact"))
+    hits = spread.join(rules.distinct(), ["kind", "key"]).filter((F.col("kind") == "tail") | ~F.col("exact") | (F.col("key") == F.col("_path")))
+    order = F.struct((F.col("kind") != "tail").alias("layer"), (-F.length("key")).alias("shorter"), F.col("project").alias("least"))
+    how = F.when(F.col("kind") == "tail", "public_tail").when(F.col("key") == F.col("_path"), "registry_exact").otherwise("registry_rollup")
+    best = hits.groupBy("_path").agg(F.min_by(F.struct("project", how.alias("how")), order).alias("_best"))
+    remote = F.coalesce(top.startswith("ssh-"), F.lit(False))
+    adhoc = ~remote & F.col("_best").isNull()
+    code = F.concat(F.lit("proj-"), F.substring(F.sha2(F.concat(F.lit(salt + "\0"), F.coalesce(folded, F.concat(F.lit("source:"), F.coalesce(top, F.lit(""))))), 256), 1, 8))
+    rows = df.join(best, folded == F.col("_path"), "left")
+    return rows.withColumns({
+        "project": F.when(remote, "remote").otherwise(F.coalesce("_best.project", F.lit("ad-hoc"))),
+        "resolution": F.when(remote, "remote_source").when(F.col("_best").isNotNull(), F.col("_best.how")).when(F.col(path).isNotNull(), "unregistered_cwd").otherwise("cwd_unavailable"),
+        "candidate_code": F.when(adhoc, code), "registered": ~adhoc,
+    }).drop("_path", "_best")
+
+
 def usage_between_marks(turns: DataFrame, marks: DataFrame, keys: list[str], pos: str, sums: list[str]) -> DataFrame:
     """For each mark the turns after the mark before it, up to it.
 
@@ -51,25 +86,74 @@ def assign_once(pairs: DataFrame, reserved: DataFrame | None = None) -> DataFram
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("round_id", "session_id", F.when(F.col("exact"), "exact").otherwise("correlated").alias("tier"))
 
 
-def assign_once_strict(pairs: DataFrame, group: str) -> DataFrame:
-    """The greedy chain by end time: a round takes all its free sessions, exact ids only if all of them are free.
+#: What a strict assignment says of a round (fixed values).
+FLAGS = {
+    "unknown": "judge_vendor_unknown", "none": "judge_usage_unattributed", "twice": "duplicate_surface_session", "builder": "observed_session_is_builder",
+    "missing": "observed_session_missing", "overlap": "cwd_and_round_window_correlation",
+}
+
+
+def assign_once_strict(rounds: DataFrame, sessions: DataFrame, overlaps: DataFrame, builders: DataFrame, vendors: list[str], reserved: DataFrame | None = None) -> DataFrame:
+    """Sessions to rounds in the order of the rounds' ends, each session once: round_id, tier, sessions, flags, expected, found.
+
+    ``rounds`` has round_id, vendor, ended, expected and ``own``, the session ids
+    that its surfaces report (null counts as none, repeats are flagged);
+    ``sessions`` (vendor, session_id) those that are known, ``overlaps``
+    (round_id, session_id) those that a round may take by time, ``builders``
+    (vendor, session_id) those that built and never judge.  A round takes its own
+    sessions, tier exact, if they are as many as expected, all known, no builder's
+    and all free.  Else it takes, tier correlated, all free sessions that it
+    overlaps, but no builder's and none that another round reports (or that
+    ``reserved`` (vendor, session_id) names) unless it reports it too.  Else it is
+    unattributed.  Rounds without an end come first, equal ends go by round_id.
 
-    One group is one lane of work (a vendor); its pairs are already reduced by the
-    joins before.
+    Rounds only depend on those that compete for the same sessions: the components
+    of rounds and sessions are found by joins, and each is worked off by itself.
     """
+    known = rounds.filter(F.col("vendor").isin(*vendors)).withColumn("own", F.filter(F.coalesce("own", F.array().cast(rounds.schema["own"].dataType)), lambda x: x.isNotNull()))
+    flag = lambda df, name: df.select("vendor", "session_id").distinct().withColumn(name, F.lit(True))
+    own = known.select("round_id", "vendor", F.posexplode(F.array_distinct("own")).alias("place", "session_id"))
+    own = own.join(flag(sessions, "is_known"), ["vendor", "session_id"], "left").join(flag(builders, "builds"), ["vendor", "session_id"], "left")
+    told = own.groupBy("round_id").agg(F.count(F.lit(1)).alias("n_ids"), F.count("is_known").alias("n_known"), F.count("builds").alias("n_builders"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    facts = known.join(told, "round_id", "left").select("round_id", "vendor", "ended", "expected", F.size("own").alias("n_own"), none("n_ids"), none("n_known"), none("n_builders"))
+    facts = facts.withColumn("complete", (F.col("expected") > 0) & (F.col("n_ids") == F.col("expected")) & (F.col("n_known") == F.col("expected")) & (F.col("n_builders") == 0))
+    exact = own.join(facts.filter("complete").select("round_id", "ended"), "round_id").select("round_id", "ended", "vendor", "session_id", "place", F.lit(True).alias("exact"))
+    kept = own.select("vendor", "session_id")
+    kept = flag(kept if reserved is None else kept.unionByName(reserved.select("vendor", "session_id")), "is_reserved")
+    free = overlaps.select("round_id", "session_id").distinct().join(facts.select("round_id", "vendor", "ended"), "round_id").join(builders.select("vendor", "session_id").distinct(), ["vendor", "session_id"], "left_anti")
+    free = free.join(kept, ["vendor", "session_id"], "left").join(own.select("round_id", "session_id", F.lit(True).alias("reports")), ["round_id", "session_id"], "left")
+    free = free.filter(F.col("is_reserved").isNull() | F.col("reports").isNotNull()).select("round_id", "ended", "vendor", "session_id", F.lit(0).alias("place"), F.lit(False).alias("exact"))
+    edges = exact.unionByName(free)
+    of_round, of_session = F.concat(F.lit("r"), F.col("round_id").cast("string")), F.concat_ws(":", F.lit("s"), "vendor", F.col("session_id").cast("string"))
+    parts = connected(edges.select(of_round.alias("a"), of_session.alias("b")))
+    dealt = edges.join(parts.select(F.expr("substring(node, 2)").cast(rounds.schema["round_id"].dataType).alias("round_id"), "component").filter("node like 'r%'"), "round_id")
 
     def chain(pdf):
         taken, out = set(), []
-        for (_, rid), g in pdf.groupby(["ended", "round_id"], sort=True):
-            exact = sorted(g.loc[g.exact, "session_id"])
-            tier = "exact" if exact and not taken & set(exact) else "correlated"
-            for s in exact if tier == "exact" else sorted(set(g.session_id) - taken):
-                if s not in taken:
-                    taken.add(s)
-                    out.append((rid, s, tier))
-        return pd.DataFrame(out, columns=["round_id", "session_id", "tier"])
-
-    return pairs.groupBy(group).applyInPandas(chain, "round_id long, session_id long, tier string")
+        pdf = pdf.sort_values(["ended", "round_id", "exact", "place", "session_id"], na_position="first")
+        for rid, g in pdf.groupby("round_id", sort=False):
+            ids = list(g.loc[g.exact, "session_id"])
+            tier = "exact" if ids and not taken & {(v, s) for v, s in zip(g.vendor[g.exact], ids)} else "correlated"
+            some = g[g.exact] if tier == "exact" else g[~g.exact]
+            for n, (v, s) in enumerate((v, s) for v, s in zip(some.vendor, some.session_id) if (v, s) not in taken):
+                taken.add((v, s))
+                out.append((rid, s, tier, n))
+        return pd.DataFrame(out, columns=["round_id", "session_id", "tier", "n"])
+
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema}
+    chosen = dealt.groupBy("component").applyInPandas(chain, f"round_id {kind['round_id']}, session_id {kind['session_id']}, tier string, n int")
+    taken = chosen.groupBy("round_id").agg(F.max("tier").alias("tier"), F.array_sort(F.collect_list(F.struct("n", "session_id"))).alias("s"))
+    out = facts.join(taken, "round_id", "left").withColumn("tier", F.coalesce("tier", F.lit("unattributed")))
+    when = lambda name, c: F.when(c, F.lit(FLAGS[name]))
+    flags = F.array(
+        when("twice", F.col("n_own") != F.col("n_ids")), when("builder", F.col("n_builders") > 0), when("missing", (F.col("tier") != "exact") & (F.col("n_ids") > 0) & (F.col("n_known") != F.col("n_ids"))),
+        when("overlap", F.col("tier") == "correlated"), when("none", F.col("tier") == "unattributed"),
+    )
+    ids = F.coalesce(F.transform("s", lambda x: x["session_id"]), F.array().cast(f"array<{kind['session_id']}>"))
+    found = out.select("round_id", "tier", ids.alias("sessions"), F.array_sort(F.array_compact(flags)).alias("flags"), F.col("expected").cast("long").alias("expected"), F.size(ids).cast("long").alias("found"))
+    other = rounds.filter(~F.coalesce(F.col("vendor").isin(*vendors), F.lit(False)))
+    return found.unionByName(other.select("round_id", F.lit("unattributed").alias("tier"), F.array().cast(f"array<{kind['session_id']}>").alias("sessions"), F.array(F.lit(FLAGS["unknown"])).alias("flags"), F.col("expected").cast("long").alias("expected"), F.lit(0).cast("long").alias("found")))
 
 
 def spec_ledger(rounds: DataFrame, created: DataFrame, accepted: DataFrame, timing: DataFrame) -> DataFrame:

@@ -28,17 +28,28 @@ def j01(spark, d):
     return li.join(V.read(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), "o_custkey"), "file_id").select(F.col("file_id").alias("l_orderkey"), "l_linenumber", "o_custkey")
 
 
-@query("j02_resolve_project", """with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as path from pages), hosts as (select distinct split_part(path, '/', 1) as h from p),
-rules as (select h as root, 'host-' || h as project, false as exact from hosts where length(h) % 2 = 0 union all select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 'dir-' || split_part(path, '/', 2), false from p where page_id % 3 = 0 union all select path, 'page', true from p where page_id % 10 = 0),
-h as (select page_id, path, project, exact, root from p join rules on (path = root or (not exact and starts_with(path, root || '/'))))
-select p.page_id, coalesce(any_value(b.project), 'adhoc') as project from p left join (select page_id, project from h qualify row_number() over (partition by page_id order by exact desc, length(root) desc, project) = 1) b using (page_id) group by p.page_id""")
+@query("j02_resolve_project", """with p as (select page_id, case when page_id % 13 = 0 then null else '/' || rtrim(case when page_id % 2 = 1 then upper(regexp_replace(url, '^[a-z]+://', '')) else regexp_replace(url, '^[a-z]+://', '') end, '/') end as path,
+  case when page_id % 11 = 0 then 'SSH-box' else 'local' || page_id % 5 end || '/one.jsonl' as source from pages), f as (select *, lower(path) as folded, lower(split_part(source, '/', 1)) as top from p),
+rules as (select distinct 'path' as kind, '/' || split_part(folded, '/', 2) as key, 'host-' || split_part(folded, '/', 2) as project, false as exact from f where length(split_part(folded, '/', 2)) % 2 = 0
+  union all select distinct 'path', '/' || split_part(folded, '/', 2) || '/' || split_part(folded, '/', 3), 'dir-' || split_part(folded, '/', 3), false from f where page_id % 3 = 0 and folded is not null
+  union all select distinct 'path', folded, 'page', true from f where page_id % 10 = 0 and folded is not null
+  union all select distinct 'tail', string_split(folded, '/')[-1], 'tail-' || length(folded), false from f where page_id % 50 = 1 and folded is not null),
+h as (select page_id, project, kind, key, folded from f join rules on (kind = 'tail' and key = string_split(folded, '/')[-1]) or (kind = 'path' and (key = folded or (not exact and starts_with(folded, key || '/'))))),
+b as (select page_id, project, case when kind = 'tail' then 'public_tail' when key = folded then 'registry_exact' else 'registry_rollup' end as how from h qualify row_number() over (partition by page_id order by kind = 'tail' desc, length(key) desc, project) = 1)
+select page_id, case when starts_with(top, 'ssh-') then 'remote' else coalesce(project, 'ad-hoc') end as project,
+  case when starts_with(top, 'ssh-') then 'remote_source' when how is not null then how when folded is not null then 'unregistered_cwd' else 'cwd_unavailable' end as resolution,
+  case when not starts_with(top, 'ssh-') and how is null then 'proj-' || sha256('salt' || chr(0) || coalesce(folded, 'source:' || top))[1:8] end as candidate_code, starts_with(top, 'ssh-') or how is not null as registered
+from f left join b using (page_id)""")
 def j02(spark, d):
-    p = V.read(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    part = lambda i: F.split_part("path", F.lit("/"), F.lit(i))
-    host = p.select(part(1).alias("root")).distinct().filter(F.length("root") % 2 == 0).select("root", F.concat(F.lit("host-"), "root").alias("project"), F.lit(False).alias("exact"))
-    two = p.filter("page_id % 3 = 0").select(F.concat(part(1), F.lit("/"), part(2)).alias("root"), F.concat(F.lit("dir-"), part(2)).alias("project"), F.lit(False).alias("exact")).distinct()
-    page = p.filter("page_id % 10 = 0").select(F.col("path").alias("root"), F.lit("page").alias("project"), F.lit(True).alias("exact")).distinct()
-    return J.resolve_by_prefix(p, host.unionByName(two).unionByName(page), "path", "adhoc").select("page_id", "project")
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    p = V.read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 13 != 0, F.concat(F.lit("/"), F.rtrim(F.when(F.col("page_id") % 2 == 1, F.upper(bare)).otherwise(bare), F.lit("/")))).alias("path"), F.concat(F.when(F.col("page_id") % 11 == 0, "SSH-box").otherwise(F.concat(F.lit("local"), F.col("page_id") % 5)), F.lit("/one.jsonl")).alias("source"))
+    f = p.filter("path is not null").withColumn("folded", F.lower("path"))
+    part = lambda i: F.split_part("folded", F.lit("/"), F.lit(i))
+    host = f.filter(F.length(part(2)) % 2 == 0).select(F.concat(F.lit("/"), part(2)).alias("root"), F.concat(F.lit("host-"), part(2)).alias("project"), F.lit(False).alias("exact"))
+    two = f.filter("page_id % 3 = 0").select(F.concat(F.lit("/"), part(2), F.lit("/"), part(3)).alias("root"), F.concat(F.lit("dir-"), part(3)).alias("project"), F.lit(False).alias("exact"))
+    page = f.filter("page_id % 10 = 0").select(F.col("path").alias("root"), F.lit("page").alias("project"), F.lit(True).alias("exact"))
+    tails = f.filter("page_id % 50 = 1").select(F.element_at(F.split("path", "/"), -1).alias("tail"), F.concat(F.lit("tail-"), F.length("folded")).alias("project")).distinct()
+    return J.resolve_project(p, tails, host.unionByName(two).unionByName(page).distinct(), "path", "source", "salt").select("page_id", "project", "resolution", "candidate_code", "registered")
 
 
 _MARKED = "turns as (select session_id, row_number() over (partition by session_id order by ts, event_id) as pos, input_tokens from obs), marks as (select distinct session_id, pos - pos % 7 as mark from turns where pos % 7 = 0 or pos = 10)"
@@ -75,7 +86,13 @@ def j05(spark, d):
 
 @query("j05_assign_once_strict")
 def j05b(spark, d):
-    return J.assign_once_strict(_pairs(spark, d), "project_id")
+    a = V.att(spark, d).withColumn("vendor", F.when(F.col("project_id") % 19 == 0, "future").when(F.col("project_id") % 2 == 0, "vendor_a").otherwise("vendor_b"))
+    sessions = a.filter("mode in ('guide', 'review')").selectExpr("vendor", "event_id as session_id")
+    pairs = _pairs(spark, d)
+    own = pairs.filter("session_id % 4 = 0").groupBy("round_id").agg(F.slice(F.array_sort(F.collect_set("session_id")), F.lit(1), F.lit(2)).alias("own"))
+    rounds = a.filter("mode = 'plan'").select(F.col("event_id").alias("round_id"), "vendor", F.col("end_us").alias("ended")).join(own, "round_id", "left")
+    rounds = rounds.withColumn("expected", F.when(F.col("round_id") % 9 == 0, 3).otherwise(F.size(F.coalesce("own", F.array().cast("array<long>")))))
+    return J.assign_once_strict(rounds, sessions, pairs, sessions.filter("session_id % 17 = 0"), ["vendor_a", "vendor_b"])
 
 
 @query("j06_day_project", f"with {OBS} select day_utc, c_name, sum(input_tokens)::bigint as input_tokens from obs join customer on project_id = c_custkey group by all")

@@ -182,7 +182,8 @@ def test_findings_and_models_in_text(spark):
     cases = [(None, "2 NEW blocking findings", 2), (None, "new blocking: 3", 3), (None, "3 blocking items", 0), ("3.9", "7 new blocking", 3), ("-2", None, 0), ("true", "7 NEW blocking", 7), ("[1,2]", None, 2), ('{"a":1}', None, 1), (None, None, 0)]
     df = spark.createDataFrame(cases, "s string, p string, n long")
     assert all(r.n == r.got for r in df.select("n", S.blocking_findings("s", "p").alias("got")).collect())
-    texts = {'{"a":[{"Model_ID":"x"},{"b":{"model":"gpt-1"}}],"model":"gpt-2"}': "gpt-1", '{"note":"\\"model\\":\\"gpt-9\\""}': None, '{"model":7}': None}
+    texts = {'{"a":[{"Model_ID":"x"},{"b":{"model":"gpt-1"}}],"model":"gpt-2"}': "gpt-1", '{"model":" gpt-x "}': "gpt-x", '{"model":"gp\\u0074-7"}': "gpt-7", '{"model":{"model":"gpt-1"},"z":{"MODEL":"gpt-3"}}': "gpt-3", '{"z":{"model":"gpt-5"},"a":{"model":"gpt-6"}}': "gpt-5",
+             '{"text":"{\\"model\\":\\"gpt-4\\"}"}': None, '[[{"model":"gpt-8"}]]': "gpt-8", "no json": None, None: None, '{"model":"gpt 9","b":[1,"x",{"model_id":"gpt-10"}]}': "gpt-10", '{"note":"\\"model\\":\\"gpt-9\\""}': None, '{"model":7}': None}
     df = spark.createDataFrame([(k,) for k in texts], "t string")
     assert {r.t: r.m for r in df.select("t", S.extract_model("t", "^gpt-").alias("m")).collect()} == texts
 
@@ -235,20 +236,3 @@ def test_overlaps_against_all_pairs(spark):
     rows = [(i, rng.randrange(3), s := rng.randrange(400), s + rng.choice([0, 1, 3, 90])) for i in range(120)]
     got = {r.i: r.overlaps for r in I.flag_overlaps(spark.createDataFrame(rows, "i int, lane int, s long, e long"), "lane", "s", "e", "i", bin=25).collect()}
     assert got == {i: any(j != i and k == lane and s < e2 and e > s2 and e2 > s2 for j, k, s2, e2 in rows) and e > s for i, lane, s, e in rows}
-
-
-def test_strict_assignment_by_brute_force(spark):
-    import random
-
-    rng = random.Random(9)
-    pairs = sorted({(g, r, rng.randrange(30) + 40 * g) for g in range(2) for r in range(12) for _ in range(4)})
-    rows = [(g, r + 100 * g, s, (r * 7) % 5, (r + s) % 3 == 0) for g, r, s in pairs]
-    got = {(r.round_id, r.session_id, r.tier) for r in J.assign_once_strict(spark.createDataFrame(rows, "g int, round_id long, session_id long, ended long, exact boolean"), "g").collect()}
-    taken, want = set(), set()
-    for ended, rid in sorted({(e, r) for _, r, _, e, _ in rows}):
-        mine = [(s, x) for _, r, s, _, x in rows if r == rid]
-        exact = {s for s, x in mine if x}
-        use, tier = (exact, "exact") if exact and not exact & taken else ({s for s, _ in mine} - taken, "correlated")
-        want |= {(rid, s, tier) for s in use}
-        taken |= use
-    assert got == want

@@ -168,6 +168,27 @@ def attention_cost_ledger(attention: DataFrame, cost: DataFrame, key: str) -> Da
     return attention.join(cost, key, "full_outer")
 
 
+def by_code(df: DataFrame, ids: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """Sums by code of rows whose key is a code or a public id, with how the key was understood.
+
+    ``ids`` has code and public_id.  A key that is a code stands for itself (code),
+    else a public id for its code (public); one that has several codes is kept as
+    it is (ambiguous), as is one that is neither (unknown).
+    """
+    pairs = ids.select("code", "public_id").filter("code is not null and public_id is not null").distinct()
+    codes = pairs.groupBy(F.col("code").alias("_key")).agg(F.lit("code").alias("_how"), F.min("code").alias("_code"))
+    names = pairs.groupBy(F.col("public_id").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("code").alias("_code")).join(codes.select("_key"), "_key", "left_anti")
+    known = codes.unionByName(names.select("_key", F.when(F.col("_n") > 1, "ambiguous").otherwise("public").alias("_how"), F.when(F.col("_n") == 1, F.col("_code")).alias("_code")))
+    rows = df.groupBy(F.col(key).alias("_key")).agg(*[F.sum(c).alias(c) for c in sums]).join(known, "_key", "left")
+    how = F.when(F.col("_how").isin("code", "public"), "resolved").otherwise(F.coalesce("_how", F.lit("unknown")))
+    return rows.groupBy(F.coalesce("_code", "_key").alias("code"), how.alias("state")).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def two_way_ledger(attention: DataFrame, cost: DataFrame, ids: DataFrame, key: str, attention_sums: list[str], cost_sums: list[str]) -> DataFrame:
+    """All codes of both sides, each side's keys being codes or public ids; what a side lacks stays null, ambiguous and unknown keys stand apart."""
+    return by_code(attention, ids, key, attention_sums).join(by_code(cost, ids, key, cost_sums), ["code", "state"], "full_outer")
+
+
 def add_missing(df: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """The rows and, for registered keys without one, a row of nulls."""
     extra = registry.select(key).join(df.select(key), key, "left_anti")

@@ -78,6 +78,31 @@ def manifest(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     return out
 
 
+def digests(tables: dict[str, tuple[DataFrame, list[str], str | Column | None]]) -> DataFrame:
+    """By table and partition: rows and a digest that doesn't depend on their order.
+
+    A table comes with the columns that count and the column of its partitions
+    (None: one, named all).  The digest is the sum of the rows' md5s' first 60
+    bits, a row's text being its columns joined by NUL, nulls empty.
+    """
+    out = None
+    for name, (df, cols, part) in tables.items():
+        text = F.md5(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+        of = F.lit("all") if part is None else F.coalesce((F.col(part) if isinstance(part, str) else part).cast("string"), F.lit(""))
+        g = df.select(of.alias("part"), F.conv(F.substring(text, 1, 15), 16, 10).cast("decimal(38,0)").alias("d")).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("d").cast("string").alias("digest"))
+        g = g.select(F.lit(name).alias("dataset"), "part", "n", "digest")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def verify_manifest(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Each partition of either manifest with its state: same, changed, added or gone; of partitions stored twice the state is repeated."""
+    n = stored.groupBy("dataset", "part").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("stored_n"), F.max("digest").alias("stored_digest"))
+    both = n.join(fresh, ["dataset", "part"], "full_outer")
+    state = F.when(F.col("k").isNull(), "added").when(F.col("digest").isNull(), "gone").when(F.col("k") > 1, "repeated").when((F.col("n") == F.col("stored_n")) & (F.col("digest") == F.col("stored_digest")), "same").otherwise("changed")
+    return both.select("dataset", "part", state.alias("state"), "stored_n", "n")
+
+
 def project_public(df: DataFrame, allow: list[str]) -> DataFrame:
     """Only the allowed columns that there are."""
     return df.select(*[c for c in allow if c in df.columns])

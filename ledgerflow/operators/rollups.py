@@ -98,6 +98,26 @@ def dense_daily(df: DataFrame, day: str, defaults: dict, to: str) -> DataFrame:
     return spine.join(df, day, "left").select(day, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
+def merge_daily(series: dict[str, DataFrame], day: str, columns: dict[str, tuple[str, str, object]], to: str) -> DataFrame:
+    """Many daily series as one row for each day, from the first day of any to the last one or ``to``.
+
+    ``columns`` names for each column its series, how it is gathered (sum, or
+    latest by the series' column ``at``) and its default on days without it.  All
+    series go through one shuffle: a tagged union and one aggregation.  Rows
+    without a day are left out.
+    """
+    tagged = None
+    for name, df in series.items():
+        own = [c for c, (s, _, _) in columns.items() if s == name]
+        rows = df.filter(F.col(day).isNotNull()).select(F.col(day).cast("date").alias(day), F.lit(name).alias("_series"), *([F.col("at").alias("_at")] if "at" in df.columns else []), *own)
+        tagged = rows if tagged is None else tagged.unionByName(rows, allowMissingColumns=True)
+    mine = lambda s, c: F.when(F.col("_series") == s, F.col(c))
+    gathered = [(F.sum(mine(s, c)) if how == "sum" else F.max_by(F.col(c), mine(s, "_at"))).alias(c) for c, (s, how, _) in columns.items()]
+    g = tagged.groupBy(day).agg(*gathered)
+    spine = g.agg(F.min(day).alias("_a"), F.greatest(F.max(day), F.lit(to).cast("date")).alias("_b")).filter("_a is not null").select(F.explode(F.sequence("_a", "_b")).alias(day))
+    return spine.join(g, day, "left").select(day, *[F.coalesce(c, F.lit(d)).alias(c) if d is not None else F.col(c) for c, (_, _, d) in columns.items()])
+
+
 def attribution_coverage(df: DataFrame, role_keys: list[str], tiers: list[str]) -> DataFrame:
     """Counts and money by role, a column for each tier."""
     return df.groupBy(*role_keys).agg(*[F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in tiers], *[F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("cents"))), F.lit(0)).alias(f"cents_{t}") for t in tiers])

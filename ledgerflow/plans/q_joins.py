@@ -124,6 +124,22 @@ def j09(spark, d):
     return J.attention_cost_ledger(a, c, "code")
 
 
+@query("j09_two_way", f"""with {ATT}, ids as (select distinct 'c' || c_custkey as code, 'p' || (c_custkey // 2 + case when c_custkey % 10 < 6 then 100000 + c_custkey else 0 end) as public_id from customer),
+names as (select public_id as k, min(code) as code, count(*) as n from ids where public_id not in (select code from ids) group by 1), known as (select distinct code as k, code, 'resolved' as state from ids union all select k, case when n = 1 then code end, case when n = 1 then 'resolved' else 'ambiguous' end from names),
+a as (select case event_id % 3 when 0 then 'c' || (event_id % 400) when 1 then 'p' || ((event_id % 400) // 2) else 'p' || ((event_id % 400) // 2 + 100000 + event_id % 400) end as k, end_us - start_us as micros from att), c as (select 'c' || o_custkey as k from orders),
+x as (select coalesce(code, a.k) as code, coalesce(state, 'unknown') as state, sum(micros)::bigint as micros from a left join known using (k) group by 1, 2), y as (select coalesce(code, c.k) as code, coalesce(state, 'unknown') as state, count(*) as orders from c left join known using (k) group by 1, 2)
+select coalesce(x.code, y.code) as code, coalesce(x.state, y.state) as state, micros, orders from x full join y on x.code = y.code and x.state = y.state""")
+def j09b(spark, d):
+    key = F.col("c_custkey")
+    half = F.floor(key / 2)
+    ids = V.read(spark, d, "customer").select(F.concat(F.lit("c"), key).alias("code"), F.concat(F.lit("p"), half + F.when(key % 10 < 6, 100000 + key).otherwise(0)).alias("public_id"))
+    e = F.col("event_id") % 400
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c"), e)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("p"), F.floor(e / 2))).otherwise(F.concat(F.lit("p"), F.floor(e / 2) + 100000 + e))
+    a = V.att(spark, d).select(name.alias("k"), (F.col("end_us") - F.col("start_us")).alias("micros"))
+    c = V.read(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("k"), F.lit(1).cast("long").alias("orders"))
+    return J.two_way_ledger(a, c, ids, "k", ["micros"], ["orders"])
+
+
 @query("j10_add_missing", "select c_custkey, case when count(o_orderkey) > 0 then count(o_orderkey) end as orders from customer left join orders on c_custkey = o_custkey group by 1")
 def j10(spark, d):
     g = V.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))

@@ -64,6 +64,24 @@ def dq04(spark, d):
     return Q.manifest({"orders": (V.read(spark, d, "orders"), "o_orderdate"), "events": (V.read(spark, d, "events"), "ts"), "customer": (V.read(spark, d, "customer"), None)})
 
 
+_DIGEST = "coalesce(sum(('0x' || substr(md5({}), 1, 15))::bigint), 0)::varchar"
+
+
+@query("dq04_manifest_check", f"""with o as (select *, year(cast(o_orderdate as date))::varchar as part, o_custkey + case when o_orderkey % 1000 = 7 and year(cast(o_orderdate as date)) = 1995 then 1 else 0 end as other from orders),
+stored as (select 'orders' as dataset, part, count(*) as n, {_DIGEST.format("o_orderkey || chr(0) || other || chr(0) || o_orderstatus")} as digest from o where part <> '1993' group by 2 union all select 'customer', 'all', count(*), {_DIGEST.format("c_custkey || chr(0) || c_mktsegment")} from customer union all select 'old', 'all', 1, '5'),
+fresh as (select 'orders' as dataset, part, count(*) as n, {_DIGEST.format("o_orderkey || chr(0) || o_custkey || chr(0) || o_orderstatus")} as digest from o group by 2 union all select 'customer', 'all', count(*), {_DIGEST.format("c_custkey || chr(0) || c_mktsegment")} from customer)
+select coalesce(s.dataset, f.dataset) as dataset, coalesce(s.part, f.part) as part, case when s.n is null then 'added' when f.n is null then 'gone' when s.n = f.n and s.digest = f.digest then 'same' else 'changed' end as state, s.n as stored_n, f.n as n
+from stored s full join fresh f on s.dataset = f.dataset and s.part = f.part""")
+def dq04b(spark, d):
+    o = V.read(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    then = o.filter("year <> 1993").withColumn("o_custkey", F.col("o_custkey") + F.when((F.col("o_orderkey") % 1000 == 7) & (F.col("year") == 1995), 1).otherwise(0))
+    c = (V.read(spark, d, "customer"), ["c_custkey", "c_mktsegment"], None)
+    of = lambda rows: Q.digests({"orders": (rows, ["o_orderkey", "o_custkey", "o_orderstatus"], "year"), "customer": c})
+    to = _folder(spark, "manifest")
+    of(then).unionByName(spark.sql("select 'old' as dataset, 'all' as part, 1L as n, '5' as digest")).write.parquet(to)
+    return Q.verify_manifest(spark.read.parquet(to), of(o))
+
+
 @query("dq05_public_projection", "select c_custkey, c_mktsegment, c_nationkey from customer")
 def dq05(spark, d):
     return Q.project_public(V.read(spark, d, "customer"), ["c_custkey", "c_mktsegment", "c_nationkey", "not_there"])

@@ -158,6 +158,31 @@ def ag17(spark, d):
     return G.dense_daily(g, "ended_on", {"rounds": 0, "cents": 0}, V.ORDERS_NOW)
 
 
+_SERIES = {
+    "events": ("log", "sum", 0), "merged_events": ("log", "sum", 0), "proofs": ("log", "sum", 0), "proof_failures": ("log", "sum", 0), "accepted_steps": ("log", "sum", 0), "rejected_steps": ("log", "sum", 0), "rows_touched": ("touched", "sum", 0),
+    "judge_rounds": ("rounds", "sum", 0), "accept_commits": ("rounds", "sum", 0), "floor_evaluated": ("rounds", "sum", 0), "floor_met": ("rounds", "sum", 0), "test_runs": ("tests", "sum", 0), "latest_tests": ("tests", "latest", None),
+}
+
+
+@query("ag17_daily_series", f"""with {LOG}, {RND}, l as (select day_utc as day, count(*) as events, count(*) filter (kind = 'merged') as merged_events, count(*) filter (kind = 'proof') as proofs, count(*) filter (kind = 'proof' and exit_code <> 0) as proof_failures,
+  count(*) filter (kind = 'verdict' and state = 'DISPATCHED_ACCEPT') as accepted_steps, count(*) filter (kind = 'verdict' and state = 'DISPATCHED_REJECT') as rejected_steps, count(distinct row_id) as rows_touched from log group by 1),
+r as (select ended_on + 8000 as day, count(*) as judge_rounds, count(*) filter (accepted) as accept_commits, count(*) filter (surfaces > 0) as floor_evaluated, count(*) filter (surfaces = 1) as floor_met from rnd group by 1),
+t as (select cast(ts as date) as day, count(*) as test_runs, max_by(user_id, event_id) as latest_tests from events where event_type = 'view' and user_id % 7 = 0 group by 1),
+days as (select day from l union select day from r union select day from t), s as (select unnest(generate_series((select min(day) from days), greatest((select max(day) from days), date '2024-02-10'), interval 1 day))::date as day)
+select day, {', '.join(f'coalesce({c}, 0)::bigint as {c}' for c in _SERIES if c != 'latest_tests')}, latest_tests from s left join l using (day) left join r using (day) left join t using (day)""")
+def ag17b(spark, d):
+    log, k, s = V.log(spark, d), F.col("kind"), F.col("state")
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    of_log = log.select(
+        F.col("day_utc").alias("day"), F.lit(1).cast("long").alias("events"), one(k == "merged").alias("merged_events"), one(k == "proof").alias("proofs"), one((k == "proof") & (F.col("exit_code") != 0)).alias("proof_failures"),
+        one((k == "verdict") & (s == "DISPATCHED_ACCEPT")).alias("accepted_steps"), one((k == "verdict") & (s == "DISPATCHED_REJECT")).alias("rejected_steps"),
+    )
+    touched = log.select(F.col("day_utc").alias("day"), "row_id").distinct().select("day", F.lit(1).cast("long").alias("rows_touched"))
+    rounds = V.rnd(spark, d).select(F.date_add("ended_on", 8000).alias("day"), F.lit(1).cast("long").alias("judge_rounds"), one(F.col("accepted")).alias("accept_commits"), one(F.col("surfaces") > 0).alias("floor_evaluated"), one(F.col("surfaces") == 1).alias("floor_met"))
+    tests = V.read(spark, d, "events").filter("event_type = 'view' and user_id % 7 = 0").select(F.to_date("ts").alias("day"), F.col("event_id").alias("at"), F.lit(1).cast("long").alias("test_runs"), F.col("user_id").alias("latest_tests"))
+    return G.merge_daily({"log": of_log, "touched": touched, "rounds": rounds, "tests": tests}, "day", _SERIES, "2024-02-10")
+
+
 @query("ag18_scope_usage", f"with {OBS}, g as (select case when project_id < 5 then 'loop' else 'other' end as scope, model, day_utc, input_tokens from obs) select scope, model, day_utc, sum(input_tokens)::bigint as input_tokens, floor(sum(input_tokens) filter (scope = 'loop')::double / sum(input_tokens) * 10000 + 0.5) / 10000 as loop_share from g group by grouping sets ((scope, model, day_utc), (model, day_utc), ())")
 def ag18(spark, d):
     return G.scope_usage(V.obs(spark, d).withColumn("scope", F.when(F.col("project_id") < 5, "loop").otherwise("other")), "scope", "loop", "input_tokens")

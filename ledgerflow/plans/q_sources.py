@@ -208,6 +208,18 @@ def src17(spark, d):
     return S.source_meta(V.log(spark, d).withColumn("at_s", F.unix_seconds("ts")), "kind", "at_s", F.col("exit_code") != 0)
 
 
+@query("src17_observed", f"""with {LOG}, k as (select *, case when event_id % 23 = 0 then 'malformed' when event_id % 29 = 0 then 'not_object' when event_id % 17 = 0 then 'no_timestamp' end as skip, {_SEC} as s from log)
+select 'log' as source, 'partial' as status, min(s) filter (skip is null) as covers_from, max(s) filter (skip is null) as covers_to, max(s) filter (skip is null) as high_water, count(*) filter (skip is null) as ingested,
+  array_to_string(list_transform(list_sort((select list(skip || '=' || n) from (select skip, count(*) as n from k where skip is not null group by 1))), lambda x: x), ',') as skips from k""")
+def src17b(spark, d):
+    log = V.log(spark, d)
+    obj = F.to_json(F.struct(F.when(F.col("event_id") % 17 != 0, _stamp()).alias("ts"), F.col("kind"), F.col("row_id").cast("string").alias("row")))
+    line = F.when(F.col("event_id") % 23 == 0, F.substring(obj, 1, 12)).when(F.col("event_id") % 29 == 0, F.lit("[1]")).otherwise(obj)
+    got = S.read_event_log(spark, _written(spark, log.select(line.alias("value")), "observed")).withColumn("at_s", F.unix_seconds("ts"))
+    meta = S.write_observed(got, _folder(spark, "events"), "log", "at_s", "skip", ["malformed", "not_object", "no_timestamp"])
+    return meta.withColumn("skips", F.array_join(F.transform("skips", lambda x: F.concat_ws("=", x["reason"], x["count"])), ","))
+
+
 @query("src18_last_good", "select c_nationkey, count(*) as n, true as cached_last_good from customer group by 1")
 def src18(spark, d):
     g = V.read(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))

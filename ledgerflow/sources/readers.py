@@ -7,7 +7,9 @@ JSON true or "7" would be lost in a numeric column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blocking_findings, bounded_number, extract_model, parse_utc, rounded, safe_identifier, safe_int
@@ -264,6 +266,29 @@ def source_meta(df: DataFrame, source: str, ts: str, skipped: Column) -> DataFra
     return df.groupBy(source).agg(status.alias("status"), F.min(seen).alias("covers_from"), F.max(seen).alias("covers_to"), n.alias("ingested"), bad.alias("skipped"))
 
 
+def write_observed(df: DataFrame, path: str, source: str, ts: str, reason: str, reasons: list[str]) -> DataFrame:
+    """Write the rows that have no skip reason as Parquet; one row of what was seen on the way, from the same pass.
+
+    Status (empty, partial, ok), coverage and high water (the greatest ``ts``), how
+    many rows were taken, and a map of skips by reason, those of ``reasons`` that
+    occurred and the rest as other.
+    """
+    seen = Observation(f"meta-{uuid.uuid4().hex}")
+    taken, why = F.col(reason).isNull(), F.coalesce(F.col(reason), F.lit(""))
+    counts = [F.count_if(why == r).alias(f"skip{i}") for i, r in enumerate(reasons)]
+    rows = df.observe(seen, F.count_if(taken).alias("ingested"), F.count(F.lit(1)).alias("n"), F.min(F.when(taken, F.col(ts))).alias("covers_from"), F.max(F.when(taken, F.col(ts))).alias("covers_to"), F.max(F.col(ts)).alias("high_water"), *counts)
+    rows.filter(taken).write.mode("overwrite").parquet(path)
+    got = seen.get
+    skips = {r: got[f"skip{i}"] for i, r in enumerate(reasons) if got[f"skip{i}"]}
+    if other := got["n"] - got["ingested"] - sum(skips.values()):
+        skips["other"] = other
+    status = "empty" if not got["ingested"] else "partial" if skips else "ok"
+    kind = df.schema[ts].dataType.simpleString()
+    row = (source, status, got["covers_from"], got["covers_to"], got["high_water"], got["ingested"], sorted(skips.items()))
+    schema = f"source string, status string, covers_from {kind}, covers_to {kind}, high_water {kind}, ingested long, skips array<struct<reason: string, count: long>>"
+    return df.sparkSession.createDataFrame([row], schema)
+
+
 def with_last_good(fresh: DataFrame | None, cache: DataFrame, available: bool) -> DataFrame:
     """Fresh rows if the source is available, else the cached ones; ``cached_last_good`` says which."""
     if available and fresh is not None:

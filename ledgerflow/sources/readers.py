@@ -36,7 +36,8 @@ def read_message_usage(spark: SparkSession, paths: str | list[str], any_name: bo
     Cache writes are the total that the line reports, long ones at most that.
     In a file whose name is a UUID the session is the line's, else the name; in
     any other file it is a digest of the path, unless ``any_name`` (for logs under
-    names of Spark's) trusts the lines there too.  Text is never kept.
+    names of Spark's) trusts the lines there too.  A model that is no identifier is
+    unknown.  Text is never kept.
     """
     rows = lines(spark, paths).filter(F.col("value").contains('"usage"')).withColumn("r", F.from_json("value", MESSAGE)).filter("r.message.usage is not null")
     u = lambda c: safe_int(F.col(f"r.message.usage.{c}"))
@@ -46,7 +47,7 @@ def read_message_usage(spark: SparkSession, paths: str | list[str], any_name: bo
     stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
     aside = F.concat(F.lit("subagent-"), F.substring(F.sha2("file", 256), 1, 24))
     named = rows.select(
-        F.coalesce("r.message.id", "r.uuid", place).alias("message_id"), F.when(stem.rlike(UUID), F.coalesce("r.sessionId", stem)).otherwise(F.coalesce(*([F.col("r.sessionId")] if any_name else []), aside)).alias("session_id"), F.col("r.cwd").alias("cwd"), F.col("r.message.model").alias("model"), parse_utc("r.timestamp").alias("ts"),
+        F.coalesce("r.message.id", "r.uuid", place).alias("message_id"), F.when(stem.rlike(UUID), F.coalesce("r.sessionId", stem)).otherwise(F.coalesce(*([F.col("r.sessionId")] if any_name else []), aside)).alias("session_id"), F.col("r.cwd").alias("cwd"), safe_identifier("r.message.model").alias("model"), parse_utc("r.timestamp").alias("ts"),
         u("input_tokens").alias("input_tokens"), u("output_tokens").alias("output_tokens"), u("cache_read_input_tokens").alias("cache_read_tokens"), (total - hour).alias("cache_write_5m_tokens"), hour.alias("cache_write_1h_tokens"), "file", "block", "line",
     )
     w = Window.partitionBy("file", "message_id").orderBy(F.col("block").desc(), F.col("line").desc())
@@ -74,7 +75,7 @@ def read_turn_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     w = Window.partitionBy("file", "stamp", *names).orderBy(*order)
     once = carried.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     grown = cumulative_delta(once, ["file"], order, names, block="block")
-    return grown.select("session_id", "cwd", "model", parse_utc("stamp").alias("ts"), *[F.when(F.col("has_last"), F.col(f"last_{n}")).otherwise(F.col(f"{n}_delta")).cast("long").alias(n) for n in names], "file")
+    return grown.select("session_id", "cwd", safe_identifier("model").alias("model"), parse_utc("stamp").alias("ts"), *[F.when(F.col("has_last"), F.col(f"last_{n}")).otherwise(F.col(f"{n}_delta")).cast("long").alias(n) for n in names], "file")
 
 
 def explode_limits(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:

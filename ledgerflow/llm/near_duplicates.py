@@ -131,10 +131,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs with den * |intersection| >= num * |union| over full sets."""
+    """The pairs (each given once) with den * |intersection| >= num * |union| over full sets."""
     left, right = _sides(sets, ["n", "shingles"])
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return pairs.join(growing(left), "a").join(growing(right), "b").filter(common * den >= (F.col("n_a") + F.col("n_b") - common) * num).select("a", "b").distinct()
+    return pairs.join(growing(left), "a").join(growing(right), "b").filter(common * den >= (F.col("n_a") + F.col("n_b") - common) * num).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = WIDTH) -> DataFrame:
@@ -169,10 +169,12 @@ def judged(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     right = short.select("v", F.col("node").alias("b"), F.col("n").alias("n_b"))
     overlaps = left.join(growing(right), "v").filter((F.col("a") < F.col("b")) & near(F.col("n_a"), F.col("n_b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
     often_listed = scratch.save(long.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")), "listed")
-    ranked = long.select("v", "node", "n").join(growing(often_listed.select("node", "h")), "node")
-    central = scratch.save(ranked.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("h", "node")).alias("hub")), "central")
-    stars = [x.filter((F.col("node") != F.col("hub.node")) & near(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")) for x in (long, long.drop("hub").join(growing(central), "v"))]
-    pairs = overlaps.select("a", "b").unionByName(stars[0]).unionByName(stars[1]).distinct()
+    pairs = overlaps.select("a", "b")
+    if not often_listed.isEmpty():
+        ranked = long.select("v", "node", "n").join(growing(often_listed.select("node", "h")), "node")
+        central = scratch.save(ranked.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("h", "node")).alias("hub")), "central")
+        stars = [x.filter((F.col("node") != F.col("hub.node")) & near(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")) for x in (long, long.drop("hub").join(growing(central), "v"))]
+        pairs = pairs.unionByName(stars[0]).unionByName(stars[1]).distinct()
     likely = scratch.save(estimated(pairs, nodes, num / den - MARGIN), "likely")
 
     crowded = scratch.save(often_listed.filter(F.col("h") * 3 > F.least("n", F.lit(LISTED))).select("node"), "crowded")
@@ -182,9 +184,12 @@ def judged(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     links = scratch.save(verified(likely, sets, num, den), "links")
     found = scratch.save(components(links, scratch, "first"), "found")
 
-    more = scratch.save(crowded_pairs(sets.join(growing(crowded), "node", "left_semi"), found, num, den, scratch), "more")
-    links2 = scratch.save(verified(estimated(more, nodes, num / den - MARGIN), sets, num, den), "links2")
-    final = found if links2.isEmpty() else scratch.save(components(links.unionByName(links2), scratch, "second"), "final")
+    final = found
+    if not crowded.isEmpty():
+        more = scratch.save(crowded_pairs(sets.join(growing(crowded), "node", "left_semi"), found, num, den, scratch), "more")
+        links2 = scratch.save(verified(estimated(more, nodes, num / den - MARGIN), sets, num, den), "links2")
+        if not links2.isEmpty():
+            final = scratch.save(components(links.unionByName(links2), scratch, "second"), "final")
     named_by = nodes.select("node", "k1", "k2", "doc_id").join(growing(final), "node", "left").select("k1", "k2", "doc_id", F.coalesce("component", "node").alias("c"))
     least = named_by.groupBy("c").agg(F.min("doc_id").alias("least"))
     ids = scratch.save(named_by.drop("doc_id").join(growing(least), "c"), "ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
@@ -53,14 +54,17 @@ def st2(spark, d):
 
 @query("st3_deltas", "select user_id, event_id, value_k from (select user_id, event_id, cast(floor(round(value * 1000, 3)) as bigint) as value_k from events)")
 def st3(spark, d):
-    from pyspark.sql import Window
-
+    """Two chunks: the second holds late rows and repeats some of the first."""
     e = V.read(spark, d, "events").select("user_id", "event_id", F.floor(F.round(F.col("value") * 1000, 3)).alias("v"))
     run = F.sum("v").over(Window.partitionBy("user_id").orderBy("event_id"))
-    to = _folder(spark, "totals")
-    e.select("user_id", "event_id", run.alias("total")).write.parquet(to)
-    rows = S.stream_table(spark, to, "user_id long, event_id long, total long")
-    return _drained(spark, S.stream_deltas(rows, "user_id", "event_id", "total"), "deltas").select("user_id", "event_id", F.col("delta").alias("value_k"))
+    totals = e.select("user_id", "event_id", run.alias("total"))
+    src, to, mark = (_folder(spark, f"totals-{x}") for x in ("lines", "deltas", "checkpoint"))
+    late = F.col("event_id") % 10 == 3
+    for chunk in (totals.filter(~late), totals.filter(late | (F.col("event_id") % 10 == 4))):
+        chunk.write.mode("append").parquet(src)
+        rows = S.stream_table(spark, src, "user_id long, event_id long, total long")
+        out = S.drain(S.stream_deltas(rows, "user_id", "event_id", "total"), to, mark, rocks=True)
+    return S.latest_deltas(out, "user_id", "event_id", "total").select("user_id", "event_id", F.col("delta").alias("value_k"))
 
 
 @query("st4_daily_close", "select cast(ts as date) as day, event_type, count(*) as n from events where cast(ts as date) < (select max(cast(ts as date)) from events) group by all")

@@ -127,11 +127,25 @@ def test_stream_and_batch_deltas_agree(spark, tmp_path):
     df = spark.createDataFrame([Row(key=k, at=a, total=t) for k, a, t in ((1, 1, 5), (1, 2, 9), (1, 3, 4), (2, 1, 7))])
     df.write.parquet(str(tmp_path / "in"))
     rows = streams.stream_table(spark, str(tmp_path / "in"), df.schema)
-    got = streams.drain(streams.stream_deltas(rows, "key", "at", "total"), str(tmp_path / "out"), str(tmp_path / "mark"))
+    out = streams.drain(streams.stream_deltas(rows, "key", "at", "total"), str(tmp_path / "out"), str(tmp_path / "mark"), rocks=True)
+    got = streams.latest_deltas(out, "key", "at", "total").select("key", "at", "delta")
     want = W.cumulative_delta(df, ["key"], ["at"], ["total"]).selectExpr("key", "at", "total_delta as delta")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_late_and_repeated_rows_of_a_stream(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = "key long, at long, total long"
+    chunks = [[(1, 10, 5), (1, 30, 20), (None, 1, 4), (1, None, 3)], [(1, 20, 9), (1, 30, 20)], [(1, 200, 50), (2, 7, 7)], [(1, 5, 2), (1, 150, 40)]]
+    for rows in chunks:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        s = streams.stream_table(spark, src, schema)
+        got = streams.drain(streams.stream_deltas(s, "key", "at", "total", reach=100), out, mark, rocks=True)
+    assert got.filter("key = 1 and at = 30").count() == 2
+    last = {(r.key, r.at): r.delta for r in streams.latest_deltas(got, "key", "at", "total").collect()}
+    assert last == {(1, 10): 5, (1, 20): 4, (1, 30): 11, (None, 1): 4, (1, 150): 20, (1, 200): 10, (2, 7): 7, (1, 5): None}
+
+
 def test_duration_clamp(spark):
     df = spark.createDataFrame([(-5,), (10,), (49 * 3600,)], "s long").select(S.clamp_duration("s", 48 * 3600).alias("d")).select("d.*")
     assert [(r.seconds, r.anomalous) for r in df.collect()] == [(0, True), (10, False), (172800, True)]

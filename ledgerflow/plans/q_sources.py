@@ -137,6 +137,16 @@ def src08(spark, d):
     return S.explode_state(j, "j", ["o_custkey"])
 
 
+@query("src08_curves", "select o_custkey, o_orderstatus as row_id, n::integer as n, value from (select o_custkey, o_orderstatus, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) - 1 as n, o_orderkey::double as value from orders) where n < 100")
+def src08_curves(spark, d):
+    """Curves of a customer's states: a list of order keys, or one number where there is one order."""
+    g = V.read(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    raw = F.when(F.size("keys") == 1, F.col("keys")[0].cast("string")).otherwise(F.to_json("keys"))
+    entry = F.concat(F.lit('"'), "o_orderstatus", F.lit('":'), raw)
+    j = g.groupBy("o_custkey").agg(F.concat(F.lit('{"done":[],"curve_base":{'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("j"))
+    return S.explode_curves(j, "j", ["o_custkey"])
+
+
 @query("src09_count_lines", r"select doc_id, len(string_split(text, chr(10)))::integer as n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-Z]\w+ \w+')))::integer as n_matching from documents")
 def src09(spark, d):
     return S.count_lines(V.read(spark, d, "documents"), "text", r"^[A-Z]\w+ \w+", ["doc_id"])

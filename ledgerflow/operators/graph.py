@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """A checkpoint, in the folder that spark.checkpoint.dir names; on one machine, where it is unset, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -27,7 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path.  Edges are checkpointed after each.
     """
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-    cur = _kept(edges.filter("a is not null and b is not null").select(low, high).distinct())
+    cur = kept(edges.filter("a is not null and b is not null").select(low, high).distinct())
     nodes = cur.select(F.col("low").alias("node")).union(cur.select("high")).distinct()
     before = None
     while True:
@@ -40,6 +40,6 @@ def connected(edges: DataFrame) -> DataFrame:
         up = both.join(least, "u").filter("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).filter("low < high").distinct()
         least = up.groupBy("high").agg(F.min("low").alias("m"))
         down = up.join(least, "high").select("m", F.explode(F.array("low", "high")).alias("high")).filter("m < high").select(F.col("m").alias("low"), "high").distinct()
-        cur = _kept(down)
+        cur = kept(down)
     roots = cur.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

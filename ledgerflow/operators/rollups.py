@@ -141,6 +141,49 @@ def measurement_days(df: DataFrame) -> DataFrame:
     return latest.join(maps, "day_utc")
 
 
+def fold_observations(df: DataFrame, day: str, at: list[str]) -> DataFrame:
+    """Measurement days: all observations of a day as maps of counts, its latest observation and that one's gaps.
+
+    ``df`` has a row for each observation: ``day``, the columns ``at`` that order a day's
+    observations, ``sources`` (name, status, skips by reason), ``vendors`` (name,
+    quota, remaining and capture status), publish, doctor, cadence, missed and clock.
+    Names are joined with colons in the keys: status_counts by source:status, skip_counts by source:reason,
+    quota_counts by vendor:quota|remaining|capture:status, publish_counts and doctor_counts by status.
+    A gap is a source that is neither ok nor disabled, a quota that is not available, a gap or
+    missed starts in cadence, a skewed clock or a failed doctor.  A status that is null
+    is never for publish, unavailable for quotas, not_applicable for captures, else unknown; rows without a day are left out.
+
+    All counts go through one aggregation over (day, kind, key), combined before the
+    shuffle, so a day with most rows is no task of its own.
+    """
+    said = lambda c, default: F.coalesce(c, F.lit(default))
+    cell = lambda kind, n, *key: F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", *key).alias("key"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    one = F.lit(1)
+    quota = lambda v: F.array(cell("quota", one, v["name"], F.lit("quota"), said(v["quota"], "unavailable")), cell("quota", one, v["name"], F.lit("remaining"), said(v["remaining"], "unavailable")), cell("quota", one, v["name"], F.lit("capture"), said(v["capture"], "not_applicable")))
+    none = F.array().cast("array<struct<kind: string, key: string, n: bigint>>")
+    cells = F.concat(
+        F.coalesce(F.transform("sources", lambda s: cell("status", one, s["name"], said(s["status"], "unknown"))), none),
+        F.coalesce(F.flatten(F.transform("sources", lambda s: F.coalesce(F.transform(F.map_entries(s["skips"]), lambda e: cell("skip", e["value"], s["name"], e["key"])), none))), none),
+        F.coalesce(F.flatten(F.transform("vendors", quota)), none),
+        F.array(cell("publish", one, said(F.col("publish"), "never")), cell("doctor", one, said(F.col("doctor"), "unknown"))),
+    )
+    rows = df.filter(F.col(day).isNotNull())
+    counted = rows.select(day, F.explode(cells).alias("c")).groupBy(day, "c.kind", "c.key").agg(F.sum("c.n").alias("n"))
+    of = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n"))))).alias(f"{kind}_counts")
+    maps = counted.groupBy(day).agg(*[of(k) for k in ("status", "skip", "quota", "publish", "doctor")])
+    bad = F.filter("sources", lambda s: ~said(s["status"], "unknown").isin("ok", "disabled"))
+    short = F.filter("vendors", lambda v: said(v["quota"], "unavailable") != "available")
+    when = lambda c, name: F.when(c, F.lit(name))
+    empty = F.array().cast("array<string>")
+    gaps = F.concat(
+        F.coalesce(F.transform(bad, lambda s: F.concat_ws("_", F.lit("source"), s["name"], said(s["status"], "unknown"))), empty), F.coalesce(F.transform(short, lambda v: F.concat_ws("_", F.lit("quota"), v["name"], said(v["quota"], "unavailable"))), empty),
+        F.array_compact(F.array(when((F.col("cadence") == "gap") | (F.col("missed") != 0), "collection_cadence_gap"), when(F.col("clock") == "clock_skew", "clock_skew"), when(F.col("doctor") == "fail", "doctor_failure"))),
+    )
+    last = F.max_by(F.struct(*at, "publish", "doctor", F.array_sort(F.array_distinct(gaps)).alias("gaps")), F.struct(*at))
+    ends = rows.groupBy(day).agg(F.count(F.lit(1)).alias("observations"), F.min(at[0]).alias("first_at"), F.max(at[0]).alias("last_at"), last.alias("latest"))
+    return ends.join(maps, day)
+
+
 def quota_status(df: DataFrame, keys: list[str]) -> DataFrame:
     """The status of a provider and the least that remains of its windows.
 

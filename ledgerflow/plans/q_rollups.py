@@ -267,6 +267,34 @@ def ag29(spark, d):
     return m.select("day_utc", "observations", "latest", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"), F.array_join("gaps", ",").alias("gaps"))
 
 
+_KINDS = ["status", "skip", "quota", "publish", "doctor"]
+
+
+@query("ag29_observation_days", f"""with {LOG}, o as (select event_id, ts, day_utc as day, round, exit_code, row_id, kind, case when exit_code = 0 then 'ok' when round = 0 then 'disabled' else 'partial' end as status, case when round <> 2 then 'available' end as quota, case when round = 1 then 'live' end as capture,
+  case when exit_code = 0 then 'published' end as publish, case round when 0 then 'ok' when 1 then 'warn' else 'fail' end as doctor, row_id % 4 as missed, case when row_id % 5 = 0 then 'clock_skew' else 'ok' end as clock from log),
+x as (select day, 'status' as kind, 'log:' || status as key, 1 as n from o union all select day, 'status', kind || ':ok', 1 from o union all select day, 'skip', 'log:stale', round from o where exit_code = 1 union all select day, 'skip', 'log:malformed', row_id from o where exit_code = 1
+  union all select day, 'quota', 'a:quota:' || coalesce(quota, 'unavailable'), 1 from o union all select day, 'quota', 'a:remaining:ok', 1 from o union all select day, 'quota', 'a:capture:' || coalesce(capture, 'not_applicable'), 1 from o union all select day, 'publish', coalesce(publish, 'never'), 1 from o union all select day, 'doctor', doctor, 1 from o),
+c as (select day, kind, key, sum(n)::bigint as n from x group by all), l as (select * from o qualify row_number() over (partition by day order by ts desc, event_id desc) = 1),
+e as (select day, count(*) as observations, min(epoch_us(ts)) as first_at, max(epoch_us(ts)) as last_at from o group by 1)
+select e.day, observations, first_at, last_at, {", ".join(f"coalesce((select string_agg(key || '=' || n, ',' order by key) from c where c.day = e.day and c.kind = '{k}'), '') as {k}_counts" for k in _KINDS)}, l.event_id as latest_id, coalesce(l.publish, '') as latest_publish,
+  array_to_string(list_sort(list_filter([case when l.status = 'partial' then 'source_log_partial' end, case when l.quota is null then 'quota_a_unavailable' end, case when l.missed <> 0 then 'collection_cadence_gap' end, case when l.clock = 'clock_skew' then 'clock_skew' end, case when l.doctor = 'fail' then 'doctor_failure' end], lambda x: x is not null)), ',') as latest_gaps
+from e join l using (day)""")
+def ag29b(spark, d):
+    """Each event as one observation of two sources and a vendor."""
+    log, bad = V.log(spark, d), F.col("exit_code") == 1
+    skips = F.when(bad, F.create_map(F.lit("stale"), F.col("round").cast("long"), F.lit("malformed"), F.col("row_id").cast("long")))
+    source = lambda name, status, skips: F.struct(name.alias("name"), status.alias("status"), skips.cast("map<string, bigint>").alias("skips"))
+    text = lambda sql: F.expr(sql)
+    rows = log.select(
+        "event_id", F.col("day_utc").alias("day"), F.unix_micros("ts").alias("at"), F.array(source(F.lit("log"), text("case when exit_code = 0 then 'ok' when round = 0 then 'disabled' else 'partial' end"), skips), source(F.col("kind"), F.lit("ok"), F.lit(None))).alias("sources"),
+        F.array(F.struct(F.lit("a").alias("name"), text("case when round <> 2 then 'available' end").alias("quota"), F.lit("ok").alias("remaining"), text("case when round = 1 then 'live' end").alias("capture"))).alias("vendors"),
+        F.when(~bad, "published").alias("publish"), text("case round when 0 then 'ok' when 1 then 'warn' else 'fail' end").alias("doctor"), F.lit(None).cast("string").alias("cadence"), text("row_id % 4").alias("missed"), text("case when row_id % 5 = 0 then 'clock_skew' else 'ok' end").alias("clock"),
+    )
+    m = G.fold_observations(rows, "day", ["at", "event_id"])
+    shown = [F.array_join(F.transform(F.map_entries(f"{k}_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(f"{k}_counts") for k in _KINDS]
+    return m.select("day", "observations", "first_at", "last_at", *shown, F.col("latest.event_id").alias("latest_id"), F.coalesce("latest.publish", F.lit("")).alias("latest_publish"), F.array_join("latest.gaps", ",").alias("latest_gaps"))
+
+
 @query("ag30_attention_totals", f"with {ATT}, g as (select project_id, sum(end_us - start_us)::bigint as m, coalesce(sum(end_us - start_us) filter (mode = 'rework'), 0)::bigint as r, coalesce(sum(end_us - start_us) filter (mode in ('plan', 'review')), 0)::bigint as s from att group by 1) select sum(m)::double / 3600000000.0::double as hours, sum(s)::double / 3600000000.0::double as stewardship, sum(r)::double / sum(m)::double as rework_share, max(m)::double / sum(m)::double as top_share, count(*) as projects from g")
 def ag30(spark, d):
     return G.attention_totals(V.att(spark, d), "project_id", F.col("end_us") - F.col("start_us"), "mode", ["plan", "review"], ["rework"])

@@ -179,6 +179,31 @@ def src12(spark, d):
     return S.explode_provider_snapshot(rows, "j", "o", _NOW, ["event_id"])
 
 
+@query("src12_provider_usage", f"""with {LOG}, s as (select event_id, {_SEC} as at_s, row_id, round, exit_code, event_id % 13 = 0 as unread, event_id % 11 = 0 as no_time, event_id % 7 = 0 as with_junk, event_id % 5 = 0 as no_quota from log),
+h as (select *, case when not unread and not no_time then greatest(0.0::double, ({_NOW} - at_s)::double / 3600.0::double) end as age from s),
+p as (select event_id, unnest([1, 2]) as k, * exclude (event_id) from h where not unread union all select event_id, null, * exclude (event_id) from h where unread)
+select event_id, case when not unread and not no_time then strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d %H:%M:%S') end as generated_at, floor(age * 10 + 0.5) / 10 as age_hours, case when age is null then 'unknown' when age > 2 then 'stale' else 'fresh' end as freshness, case when unread then 0 else 7 end::bigint as window_days,
+  case when unread then 'absent' when no_time or age > 2 or with_junk then 'partial' else 'ok' end as status,
+  array_to_string(list_filter([case when unread then 'provider_snapshot_malformed=1' end, case when not unread and no_time then 'provider_snapshot_timestamp_absent=1' end, case when age > 2 then 'provider_snapshot_stale=1' end, case when not unread and with_junk then 'provider_entry_malformed=2' end], lambda x: x is not null), ',') as skips,
+  case when k = 1 then 'p' || row_id when k = 2 then 'unknown' end as provider, case k when 1 then 'available' when 2 then 'unknown' end as usage_status, case k when 1 then row_id * 10 when 2 then 0 end::bigint as total_tokens, case k when 1 then round when 2 then 0 end::bigint as sessions, case when k = 1 and exit_code = 1 then 12.346::double end as remaining_percent, case when k = 1 and not no_quota then 'ok' when k is not null then 'unknown' end as quota_status,
+  case when k = 1 and not no_quota then 'primary:' || round || '.5:300,secondary:null:0,alpha:null:0' when k is not null then '' end as windows
+from p""")
+def src12b(spark, d):
+    """Whole provider snapshots, some unreadable, without a time, with entries of a wrong kind or without quotas."""
+    log, every = V.log(spark, d), lambda n: F.col("event_id") % n == 0
+    stamp = F.concat(F.lit('"generated_at":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('",'))
+    quota = F.concat(F.lit('{"status":"ok","alpha":{"used_percent":"x"},"secondary":{},"bad name":{},"zeta":7,"primary":{"used_percent":'), F.col("round").cast("string"), F.lit('.5,"window_minutes":300.0}}'))
+    remaining = F.when(F.col("exit_code") == 1, F.lit('{"percent":12.34567}')).otherwise(F.lit("[3]"))
+    one = F.concat(F.lit('{"provider":"p'), F.col("row_id").cast("string"), F.lit('","usage":{"status":"available","total_tokens":'), (F.col("row_id") * 10).cast("string"), F.lit(',"sessions":"'), F.col("round").cast("string"), F.lit('"},"remaining":'), remaining, F.lit(',"quota":'), F.when(every(5), F.lit("null")).otherwise(quota), F.lit("}"))
+    junk = F.when(every(7), F.lit(',7,"x"')).otherwise("")
+    whole = F.concat(F.lit("{"), F.when(every(11), F.lit('"generated_at":"soon",')).otherwise(stamp), F.lit('"window_days":7,"providers":['), one, F.lit(',{"provider":"not safe"}'), junk, F.lit("]}"))
+    j = F.when(every(13), F.lit("[1")).otherwise(whole)
+    got = S.provider_snapshots(log.select("event_id", j.alias("j")), "j", _NOW, ["event_id"])
+    shown = F.transform("quota_windows", lambda w: F.concat_ws(":", w["window"], F.coalesce(w["used_percent"].cast("string"), F.lit("null")), w["window_minutes"].cast("string")))
+    skips = F.transform("skips", lambda x: F.concat_ws("=", x["reason"], x["count"].cast("string")))
+    return got.select("event_id", F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"), "age_hours", "freshness", "window_days", "status", F.array_join(skips, ",").alias("skips"), "provider", "usage_status", "total_tokens", "sessions", "remaining_percent", "quota_status", F.array_join(shown, ",").alias("windows"))
+
+
 @query("src13_cached_utilization", f"with {LOG}, s as (select event_id, {_SEC} as observed_at, round * 40 as a, round * 60 as b from log), f as (select * from s where a between 0 and 100 and b between 0 and 100 and observed_at <= {_NOW} + 300 and observed_at >= {_NOW} - 864000) select event_id, observed_at, 'five_hour' as window, a::double as used from f union all select event_id, observed_at, 'seven_day', b::double from f")
 def src13(spark, d):
     j = F.to_json(F.struct((F.unix_seconds("ts") * 1000 + 7).alias("observed_ms"), (F.col("round") * 40).cast("double").alias("five_hour"), (F.col("round") * 60).cast("double").alias("seven_day")))

@@ -12,13 +12,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import blocking_findings, bounded_number, extract_model, parse_utc, rounded, safe_identifier, safe_int
+from ..functions.scalars import blocking_findings, bounded_number, extract_model, parse_utc, rounded, safe_float, safe_identifier, safe_int
 from ..operators.sequence import carry_forward, cumulative_delta
 
 _USAGE = "input_tokens string, output_tokens string, cache_read_input_tokens string, cache_creation_input_tokens string, cache_creation struct<ephemeral_5m_input_tokens string, ephemeral_1h_input_tokens string>"
 MESSAGE = f"timestamp string, sessionId string, cwd string, uuid string, message struct<id string, model string, usage struct<{_USAGE.replace(' string', ': string').replace('cache_creation struct', 'cache_creation: struct')}>>"
 TOTALS = "struct<input_tokens: string, cached_input_tokens: string, cache_write_tokens: string, output_tokens: string, reasoning_output_tokens: string>"
 TURN = f"timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, info: struct<total_token_usage: {TOTALS}, last_token_usage: {TOTALS}>>"
+SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._:/@+-]{0,159}$"
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 KINDS = ["dispatch", "verdict", "merged", "finalized", "step", "proof", "escalated", "held", "note"]
 
@@ -210,6 +211,48 @@ def explode_provider_snapshot(df: DataFrame, json_col: str, observed: str, now:
     return rows.select(*keys, "provider", F.col("w.name").alias("window"), bounded_number("w.used", 0, 100).alias("used"), (F.lit(now) - F.col("_o")).alias("age"), (F.lit(now) - F.col("_o") > stale_after).alias("stale"))
 
 
+def provider_snapshots(df: DataFrame, json_col: str, now: int, keys: list[str], stale_after: float = 2.0) -> DataFrame:
+    """One row for each provider of a snapshot, and one without a provider for a snapshot that has none.
+
+    Of a snapshot: generated_at, age_hours (never below 0), freshness (fresh, stale, unknown),
+    window_days, its skips by reason (provider_snapshot_malformed, _timestamp_absent, _stale,
+    provider_entry_malformed with their counts) and status (ok; partial with skips; absent if it
+    can't be read).  Of a provider: status and numbers of its usage, what remains, the quota's
+    status, and quota_windows: those whose name is a safe identifier and whose value is an
+    object, primary and secondary first, the others by name.  Values of a wrong kind count as
+    missing; whole numbers that are missing are 0, others null.
+    """
+    is_object = lambda c: F.coalesce(F.trim(c).startswith("{"), F.lit(False))
+    obj = lambda c: F.when(is_object(c), F.from_json(c, "map<string, string>"))
+    whole = lambda c: safe_int(c, clamp=False)
+    number = lambda c: rounded(safe_float(c, None), 3)
+    rows = df.select(*keys, obj(F.col(json_col)).alias("_s")).withColumn("_at", parse_utc(F.col("_s")["generated_at"]))
+    listed = F.col("_s")["providers"]
+    entries = F.coalesce(F.when(F.trim(listed).startswith("["), F.from_json(listed, "array<string>")), F.array().cast("array<string>"))
+    hours = F.when(F.col("_at").isNotNull(), F.greatest(F.lit(0.0), (F.lit(now) - F.unix_seconds("_at")) / 3600))
+    rows = rows.withColumns({"_entries": entries, "_age": hours}).withColumn("_bad", F.size(F.filter("_entries", lambda e: ~is_object(e))))
+    skip = lambda reason, when, n=F.lit(1): F.when(when, F.struct(F.lit(reason).alias("reason"), n.cast("long").alias("count")))
+    unread = F.col("_s").isNull()
+    skips = F.array_compact(F.array(
+        skip("provider_snapshot_malformed", unread), skip("provider_snapshot_timestamp_absent", ~unread & F.col("_at").isNull()),
+        skip("provider_snapshot_stale", F.col("_age") > stale_after), skip("provider_entry_malformed", F.col("_bad") > 0, F.col("_bad")),
+    ))
+    freshness = F.when(F.col("_age").isNull(), "unknown").when(F.col("_age") > stale_after, "stale").otherwise("fresh")
+    status = F.when(unread, "absent").when(F.size("skips") > 0, "partial").otherwise("ok")
+    rows = rows.withColumn("skips", skips).select(*keys, F.col("_at").alias("generated_at"), rounded("_age", 1).alias("age_hours"), freshness.alias("freshness"), whole(F.col("_s")["window_days"]).alias("window_days"), status.alias("status"), "skips", F.explode_outer(F.filter("_entries", is_object)).alias("_e"))
+    rows = rows.withColumn("_p", obj(F.col("_e"))).withColumns({f"_{c}": obj(F.col("_p")[c]) for c in ("usage", "remaining", "quota")})
+    first = lambda e: F.when(e["key"] == "primary", 0).when(e["key"] == "secondary", 1).otherwise(2)
+    windows = F.filter(F.map_entries("_quota"), lambda e: is_object(e["value"]) & e["key"].rlike(SAFE_NAME))
+    placed = F.array_sort(F.transform(windows, lambda e: F.struct(first(e).alias("place"), e["key"].alias("window"), F.from_json(e["value"], "map<string, string>")["remaining_percent"].alias("a"), F.from_json(e["value"], "map<string, string>")["used_percent"].alias("b"), F.from_json(e["value"], "map<string, string>")["window_minutes"].alias("c"), F.from_json(e["value"], "map<string, string>")["resets_at"].alias("d"))))
+    shown = F.transform(placed, lambda w: F.struct(w["window"].alias("window"), number(w["a"]).alias("remaining_percent"), number(w["b"]).alias("used_percent"), whole(w["c"]).alias("window_minutes"), parse_utc(w["d"]).alias("resets_at")))
+    of = lambda c, f, how: how(F.col(f"_{c}")[f])
+    name = lambda c: F.coalesce(safe_identifier(c), F.lit("unknown"))
+    own = [("usage_status", "usage", "status", name), *[(f, "usage", f, whole) for f in ("total_tokens", "input_tokens", "output_tokens", "sessions", "requests")], ("remaining_status", "remaining", "status", name), ("remaining_percent", "remaining", "percent", number), ("quota_status", "quota", "status", name)]
+    there = F.col("_e").isNotNull()
+    head = [*keys, "generated_at", "age_hours", "freshness", "window_days", "status", "skips"]
+    return rows.select(*head, F.when(there, name(F.col("_p")["provider"])).alias("provider"), *[F.when(there, of(c, f, how)).alias(out) for out, c, f, how in own], F.when(there, F.coalesce(shown, F.array().cast("array<struct<window: string, remaining_percent: double, used_percent: double, window_minutes: long, resets_at: timestamp>>"))).alias("quota_windows"))
+
+
 def explode_cached_utilization(df: DataFrame, json_col: str, now: int, max_age: int, keys: list[str]) -> DataFrame:
     """Both windows of a cached observation, or neither if one is invalid, it lies over 300 s ahead, or is too old."""
     s = F.from_json(json_col, "observed_ms long, five_hour double, seven_day double")

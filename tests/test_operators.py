@@ -1,5 +1,6 @@
 """Hand-computed cases, boundaries and conservation laws."""
 
+import datetime
 import json
 
 from pyspark.sql import Row
@@ -250,3 +251,22 @@ def test_overlaps_against_all_pairs(spark):
     rows = [(i, rng.randrange(3), s := rng.randrange(400), s + rng.choice([0, 1, 3, 90])) for i in range(120)]
     got = {r.i: r.overlaps for r in I.flag_overlaps(spark.createDataFrame(rows, "i int, lane int, s long, e long"), "lane", "s", "e", "i", bin=25).collect()}
     assert got == {i: any(j != i and k == lane and s < e2 and e > s2 and e2 > s2 for j, k, s2, e2 in rows) and e > s for i, lane, s, e in rows}
+
+
+def test_provider_snapshots_of_wrong_kinds(spark):
+    texts = ["", None, "{}", '{"generated_at":"2024-01-01T00:00:00Z","providers":{}}', '{"generated_at":"2024-01-01T05:00:00Z","providers":[{"provider":"p","usage":[1],"quota":{"b":{"used_percent":true},"secondary":{"resets_at":"2024-01-02T00:00:00Z"},"primary":{},"x y":{}}},null,3]}']
+    rows = readers.provider_snapshots(spark.createDataFrame(list(enumerate(texts)), "i int, j string"), "j", 1704067200 + 3600, ["i"]).orderBy("i").collect()
+    assert [(r.status, r.freshness, r.age_hours, r.provider) for r in rows] == [("absent", "unknown", None, None)] * 2 + [("partial", "unknown", None, None), ("ok", "fresh", 1.0, None), ("partial", "fresh", 0.0, "p")]
+    last = rows[-1]
+    assert [w.window for w in last.quota_windows] == ["primary", "secondary", "b"] and last.total_tokens == 0 and last.remaining_percent is None
+    assert [tuple(s) for s in last.skips] == [("provider_entry_malformed", 2)] and last.quota_windows[1].resets_at.day == 2
+
+
+def test_folded_observations_of_nulls(spark):
+    schema = "day date, at long, sources array<struct<name: string, status: string, skips: map<string, bigint>>>, vendors array<struct<name: string, quota: string, remaining: string, capture: string>>, publish string, doctor string, cadence string, missed long, clock string"
+    d = datetime.date(2024, 1, 1)
+    rows = [(d, 1, None, None, None, None, "gap", None, None), (d, 2, [("s", None, {"r": 2}), ("t", "ok", None)], [("v", None, None, None)], "ok", "fail", None, 0, "clock_skew"), (None, 3, None, None, "x", None, None, None, None)]
+    r = one(G.fold_observations(spark.createDataFrame(rows, schema), "day", ["at"]))
+    assert r.observations == 2 and r.status_counts == {"s:unknown": 1, "t:ok": 1} and r.skip_counts == {"s:r": 2} and r.publish_counts == {"never": 1, "ok": 1} and r.doctor_counts == {"unknown": 1, "fail": 1}
+    assert r.quota_counts == {"v:quota:unavailable": 1, "v:remaining:unavailable": 1, "v:capture:not_applicable": 1} and r.latest.gaps == ["clock_skew", "doctor_failure", "quota_v_unavailable", "source_s_unknown"]
+    assert G.fold_observations(spark.createDataFrame([], schema), "day", ["at"]).count() == 0

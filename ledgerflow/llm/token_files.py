@@ -8,6 +8,7 @@ segments are encoded and decoded by as many tasks as there are.
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ SEGMENT_TOKENS = 1 << 21
 COLUMNS = "part int, segment int, first long, doc_ids array<{key}>, sizes array<long>, n long, symbols binary, freqs binary, blocks int, rows int, states binary, places binary, words binary, crcs array<long>"
 
 
-def _row(part: int, segment: int, first: int, ids: list, held: list[np.ndarray], key: pa.DataType, names: list[str]) -> pa.RecordBatch:
+def _row(part: int, segment: int, first: int, ids: list, sizes: list[int], held: list[np.ndarray], key: pa.DataType, names: list[str]) -> pa.RecordBatch:
     s = rans.encode(np.concatenate(held))
     one = lambda v, t: pa.array([v], t)
     return pa.RecordBatch.from_arrays(
         [
-            one(part, pa.int32()), one(segment, pa.int32()), one(first, pa.int64()), one(ids, pa.list_(key)), one([len(h) for h in held], pa.list_(pa.int64())), one(s.n, pa.int64()),
+            one(part, pa.int32()), one(segment, pa.int32()), one(first, pa.int64()), one(ids, pa.list_(key)), one(sizes, pa.list_(pa.int64())), one(s.n, pa.int64()),
             one(s.symbols, pa.binary()), one(s.freqs, pa.binary()), one(s.blocks, pa.int32()), one(s.rows, pa.int32()), one(s.states, pa.binary()), one(s.places, pa.binary()), one(s.words, pa.binary()),
             one(s.crcs, pa.list_(pa.int64())),
         ],
@@ -57,18 +58,19 @@ def encode_documents(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
 
     def run(batches):
         e, part = encoder(name), TaskContext.get().partitionId()
-        ids, held, total, first, segment = [], [], 0, 0, 0
+        ids, sizes, held, total, first, segment = [], [], [], 0, 0, 0
         for b in batches:
-            kind = b.schema.field("doc_id").type
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids.append(doc)
-                held.append(np.append(e.encode(text), np.uint16(END)))
+            kind, keys = b.schema.field("doc_id").type, iter(b["doc_id"].to_pylist())
+            for tokens, lengths in e.encode_column(b["text"]):
+                ids.extend(islice(keys, len(lengths)))
+                sizes.extend((lengths + 1).tolist())
+                held.append(np.insert(tokens, np.cumsum(lengths), END))
                 total += len(held[-1])
                 if total >= SEGMENT_TOKENS:
-                    yield _row(part, segment, first, ids, held, kind, names)
-                    first, segment, ids, held, total = first + total, segment + 1, [], [], 0
+                    yield _row(part, segment, first, ids, sizes, held, kind, names)
+                    first, segment, ids, sizes, held, total = first + total, segment + 1, [], [], [], 0
         if held:
-            yield _row(part, segment, first, ids, held, kind, names)
+            yield _row(part, segment, first, ids, sizes, held, kind, names)
 
     return rows.mapInArrow(run, schema)
 

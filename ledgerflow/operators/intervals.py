@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,62 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str
     return left.join(right, [*keys, "_bin"]).filter(touch & (F.col("_bin") == F.greatest(F.floor(a0 / bin), F.floor(b0 / bin)))).drop("_bin")
 
 
+def least_touching(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], of: list[str], order: list[str], k: int = 1, margin: int = 0, bin: int = DAY) -> DataFrame:
+    """For each ``of`` of the rows of ``a`` the first ``k`` distinct ``order`` of the rows of ``b`` with equal keys that touch it: of, least (an array of structs).
+
+    Spans are closed whole numbers, the second widened by a margin; who touches
+    none has no row.  No pairs are made: both sides are dealt by the bins that
+    their spans touch, and in a bin the spans of ``b`` that begin by the end of one
+    of ``a`` are an opening stretch of them, so at most one block of each power of
+    two.  In each block, ordered by end, the least of those from an end on are
+    known beforehand.  Time is n log n squared and memory n for the rows of a bin,
+    which must fit in a task.  ``order`` must not be null.
+    """
+    a0, a1, b0, b1 = F.col(a_span[0]), F.col(a_span[1]), F.col(b_span[0]) - margin, F.col(b_span[1]) + margin
+    dealt = lambda df, names, s, e: df.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], *[F.col(c).alias(c) for c in names], s.cast("long").alias("_s"), e.cast("long").alias("_e")).filter("_s is not null and _e is not null").withColumn("_bin", F.explode(F.sequence(F.floor(F.least("_s", "_e") / bin), F.floor(F.greatest("_s", "_e") / bin))))
+    left, right = dealt(a, of, a0, a1), dealt(b, order, b0, b1)
+
+    def answer(asks, gives):
+        taken = lambda df, c, at: pd.Series(x := df[c].to_numpy()[at], dtype=x.dtype)
+        if not len(asks) or not len(gives):
+            return pd.DataFrame({c: taken(df, c, np.zeros(0, int)) for df, names in ((asks, of), (gives, order)) for c in names})
+        none = np.iinfo(np.int64).max
+        names = gives[order].drop_duplicates().sort_values(order, ignore_index=True)
+        rank = gives.groupby(order).ngroup().to_numpy().astype(np.int64)
+        begin, end = gives["_s"].to_numpy(), gives["_e"].to_numpy()
+        by = np.argsort(begin, kind="stable")
+        begin, end, rank = begin[by], end[by], rank[by]
+        upto = np.searchsorted(begin, asks["_e"].to_numpy(), "right")
+        ends, place = np.unique(end, return_inverse=True)
+        need = np.searchsorted(ends, asks["_s"].to_numpy())
+        least = np.full((len(asks), k), none)
+        for level in range(len(begin).bit_length()):
+            some = np.flatnonzero(upto >> level & 1)
+            blocks, block = len(begin) >> level, (upto[some] >> level) - 1
+            inside = np.arange(blocks << level)
+            key = (inside >> level) * (len(ends) + 1) + place[inside]
+            by = np.argsort(key, kind="stable")
+            found = np.searchsorted(key[by], block * (len(ends) + 1) + need[some])
+            hit = found < block + 1 << level
+            some, found, got = some[hit], found[hit], [least[some[hit]]]
+            x = rank[by].reshape(blocks, 1 << level)[:, ::-1]
+            for _ in range(k):
+                low = np.minimum.accumulate(x, axis=1)
+                got.append(low[:, ::-1].ravel()[found, None])
+                before = np.concatenate([np.full((blocks, 1), none), low[:, :-1]], axis=1)
+                x = np.where(x == before, none, np.maximum(x, before))
+            all_ = np.sort(np.concatenate(got, axis=1), axis=1)
+            all_[:, 1:][all_[:, 1:] == all_[:, :-1]] = none
+            least[some] = np.sort(all_, axis=1)[:, :k]
+        row, at = np.nonzero(least < none)
+        return pd.DataFrame({c: taken(asks, c, row) for c in of} | {c: taken(names, c, least[row, at]) for c in order})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for df, names in ((a, of), (b, order)) for c in names)
+    place = [*(f"_key{i}" for i in range(len(keys))), "_bin"]
+    some = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(answer, kinds)
+    return some.groupBy(*of).agg(F.slice(F.array_sort(F.collect_set(F.struct(*order))), 1, k).alias("least"))
+
+
 def flag_overlaps(df: DataFrame, lane: str, start: str, end: str, id: str, bin: int = HOUR) -> DataFrame:
     """Adds ``overlaps``: whether another interval of the lane shares time with it (half-open).
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected
-from .intervals import overlap_pairs
+from .graph import Kept, connected
+from .intervals import DAY, least_touching, overlap_pairs
 
 
 def resolve_by_prefix(df: DataFrame, rules: DataFrame, path: str, default: str) -> DataFrame:
@@ -93,57 +95,113 @@ FLAGS = {
 }
 
 
-def assign_once_strict(rounds: DataFrame, sessions: DataFrame, overlaps: DataFrame, builders: DataFrame, vendors: list[str], reserved: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Overlaps:
+    """Which sessions a round may take by time, told by spans, so that the pairs need not be made.
+
+    ``rounds`` has round_id, started and ended, ``sessions`` session_id, first and
+    last, both the keys; those overlap whose keys are equal and whose spans touch
+    within the margin.
+    """
+
+    rounds: DataFrame
+    sessions: DataFrame
+    keys: list[str]
+    margin: int
+    bin: int = DAY
+
+    def among(self, pairs: DataFrame) -> DataFrame:
+        """The (round_id, session_id) of ``pairs`` that overlap."""
+        r, s = self.rounds.select("round_id", *self.keys, "started", "ended"), self.sessions.select("session_id", *self.keys, "first", "last")
+        near = (F.col("started") <= F.col("last") + self.margin) & (F.col("ended") >= F.col("first") - self.margin)
+        return pairs.select("round_id", "session_id").join(r, "round_id").join(s, ["session_id", *self.keys]).filter(near).select("round_id", "session_id").distinct()
+
+    def first(self, takers: DataFrame, barred: DataFrame) -> DataFrame:
+        """(round_id, vendor, session_id): the first of the takers (round_id, vendor, ended) that overlaps a session which isn't barred (vendor, session_id)."""
+        turn = takers.select("round_id", "vendor", F.col("ended").isNotNull().cast("int").alias("_closed"), F.coalesce(F.col("ended").cast("long"), F.lit(0)).alias("_turn"))
+        r = self.rounds.select("round_id", *self.keys, "started", "ended").join(turn, "round_id")
+        s = self.sessions.select("session_id", *self.keys, "first", "last").join(r.select(*dict.fromkeys([*self.keys, "vendor"])).distinct(), self.keys).join(barred, ["vendor", "session_id"], "left_anti")
+        got = least_touching(s, r, list(dict.fromkeys([*self.keys, "vendor"])), ("first", "last"), ("started", "ended"), ["vendor", "session_id"], ["_closed", "_turn", "round_id"], 1, self.margin, self.bin)
+        return got.select(F.get("least", F.lit(0))["round_id"].alias("round_id"), "vendor", "session_id")
+
+
+def assign_once_strict(rounds: DataFrame, sessions: DataFrame, overlaps: DataFrame | Overlaps, builders: DataFrame, vendors: list[str], reserved: DataFrame | None = None) -> DataFrame:
     """Sessions to rounds in the order of the rounds' ends, each session once: round_id, tier, sessions, flags, expected, found.
 
     ``rounds`` has round_id, vendor, ended, expected and ``own``, the session ids
     that its surfaces report (null counts as none, repeats are flagged);
-    ``sessions`` (vendor, session_id) those that are known, ``overlaps``
-    (round_id, session_id) those that a round may take by time, ``builders``
-    (vendor, session_id) those that built and never judge.  A round takes its own
-    sessions, tier exact, if they are as many as expected, all known, no builder's
-    and all free.  Else it takes, tier correlated, all free sessions that it
-    overlaps, but no builder's and none that another round reports (or that
+    ``sessions`` (vendor, session_id) those that are known, ``overlaps`` those that
+    a round may take by time, as pairs (round_id, session_id) or as spans,
+    ``builders`` (vendor, session_id) those that built and never judge.  A round
+    takes its own sessions, tier exact, if they are as many as expected, all known,
+    no builder's and all free.  Else it takes, tier correlated, all free sessions
+    that it overlaps, but no builder's and none that another round reports (or that
     ``reserved`` (vendor, session_id) names) unless it reports it too.  Else it is
     unattributed.  Rounds without an end come first, equal ends go by round_id.
 
-    Rounds only depend on those that compete for the same sessions: the components
-    of rounds and sessions are found by joins, and each is worked off by itself.
+    A reported session is only ever taken by rounds that report it.  So the rounds
+    that take their own are found among reports alone: the components of rounds
+    and reported sessions by joins, each then read through in order, with no more
+    in memory than what it has taken.  Any other session goes to the first round,
+    of those that don't take their own, that it overlaps.
     """
+    keep, pair = Kept(rounds.sparkSession), ["vendor", "session_id"]
     known = rounds.filter(F.col("vendor").isin(*vendors)).withColumn("own", F.filter(F.coalesce("own", F.array().cast(rounds.schema["own"].dataType)), lambda x: x.isNotNull()))
-    flag = lambda df, name: df.select("vendor", "session_id").distinct().withColumn(name, F.lit(True))
+    known = keep.save(known.select("round_id", "vendor", "ended", "expected", "own"), "known")
+    flag = lambda df, name: df.select(*pair).distinct().withColumn(name, F.lit(True))
     own = known.select("round_id", "vendor", F.posexplode(F.array_distinct("own")).alias("place", "session_id"))
-    own = own.join(flag(sessions, "is_known"), ["vendor", "session_id"], "left").join(flag(builders, "builds"), ["vendor", "session_id"], "left")
+    own = keep.save(own.join(flag(sessions, "is_known"), pair, "left").join(flag(builders, "builds"), pair, "left"), "own")
     told = own.groupBy("round_id").agg(F.count(F.lit(1)).alias("n_ids"), F.count("is_known").alias("n_known"), F.count("builds").alias("n_builders"))
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     facts = known.join(told, "round_id", "left").select("round_id", "vendor", "ended", "expected", F.size("own").alias("n_own"), none("n_ids"), none("n_known"), none("n_builders"))
     facts = facts.withColumn("complete", (F.col("expected") > 0) & (F.col("n_ids") == F.col("expected")) & (F.col("n_known") == F.col("expected")) & (F.col("n_builders") == 0))
-    exact = own.join(facts.filter("complete").select("round_id", "ended"), "round_id").select("round_id", "ended", "vendor", "session_id", "place", F.lit(True).alias("exact"))
-    kept = own.select("vendor", "session_id")
-    kept = flag(kept if reserved is None else kept.unionByName(reserved.select("vendor", "session_id")), "is_reserved")
-    free = overlaps.select("round_id", "session_id").distinct().join(facts.select("round_id", "vendor", "ended"), "round_id").join(builders.select("vendor", "session_id").distinct(), ["vendor", "session_id"], "left_anti")
-    free = free.join(kept, ["vendor", "session_id"], "left").join(own.select("round_id", "session_id", F.lit(True).alias("reports")), ["round_id", "session_id"], "left")
-    free = free.filter(F.col("is_reserved").isNull() | F.col("reports").isNotNull()).select("round_id", "ended", "vendor", "session_id", F.lit(0).alias("place"), F.lit(False).alias("exact"))
-    edges = exact.unionByName(free)
-    of_round, of_session = F.concat(F.lit("r"), F.col("round_id").cast("string")), F.concat_ws(":", F.lit("s"), "vendor", F.col("session_id").cast("string"))
-    parts = connected(edges.select(of_round.alias("a"), of_session.alias("b")))
-    dealt = edges.join(parts.select(F.expr("substring(node, 2)").cast(rounds.schema["round_id"].dataType).alias("round_id"), "component").filter("node like 'r%'"), "round_id")
-
-    def chain(pdf):
-        taken, out = set(), []
-        pdf = pdf.sort_values(["ended", "round_id", "exact", "place", "session_id"], na_position="first")
-        for rid, g in pdf.groupby("round_id", sort=False):
-            ids = list(g.loc[g.exact, "session_id"])
-            tier = "exact" if ids and not taken & {(v, s) for v, s in zip(g.vendor[g.exact], ids)} else "correlated"
-            some = g[g.exact] if tier == "exact" else g[~g.exact]
-            for n, (v, s) in enumerate((v, s) for v, s in zip(some.vendor, some.session_id) if (v, s) not in taken):
-                taken.add((v, s))
-                out.append((rid, s, tier, n))
-        return pd.DataFrame(out, columns=["round_id", "session_id", "tier", "n"])
+    facts = keep.save(facts, "facts")
+    near = overlaps.among(own) if isinstance(overlaps, Overlaps) else overlaps.select("round_id", "session_id").distinct()
+    edges = own.join(near.withColumn("near", F.lit(True)), ["round_id", "session_id"], "left").join(facts.select("round_id", "ended", F.coalesce("complete", F.lit(False)).alias("complete")), "round_id")
+    edges = edges.select("round_id", "ended", *pair, "place", "complete", (F.col("near").isNotNull() & F.col("builds").isNull()).alias("free"))
+    edges = keep.save(edges.filter("complete or free"), "edges")
+    linked = edges.groupBy("round_id", "vendor").agg(F.min("session_id").alias("least"), F.collect_list("session_id").alias("ids")).withColumn("session_id", F.explode("ids")).filter("session_id <> least")
+    parts = connected(linked.select(F.struct("vendor", F.col("least").alias("session_id")).alias("a"), F.struct(*pair).alias("b")))
+    parts = parts.select("node.*", F.col("component.session_id").alias("component"))
+    dealt = edges.join(parts, pair, "left").withColumn("component", F.coalesce("component", "session_id"))
+    place = ["vendor", "component"]
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place, "ended", "round_id", "place").select(*place, "round_id", "session_id", "complete", "free")
+
+    def chain(frames):
+        part, taken, mine = None, set(), []
+
+        def decide():
+            exact = mine[0][3] and not any(s in taken for _, _, s, _, _ in mine)
+            new = [(r, v, s, exact, n) for n, (v, r, s, _, free) in enumerate(mine) if exact or free and s not in taken]
+            taken.update(s for _, _, s, _, _ in new)
+            return new
+
+        for pdf in frames:
+            out = []
+            for v, c, r, s, complete, free in zip(*(pdf[name].tolist() for name in (*place, "round_id", "session_id", "complete", "free"))):
+                if mine and (mine[0][1] != r or part != (v, c)):
+                    out += decide()
+                    mine = []
+                if part != (v, c):
+                    part, taken = (v, c), set()
+                mine.append((v, r, s, complete, free))
+            yield pd.DataFrame(out, columns=["round_id", *pair, "exact", "n"])
+        if mine:
+            yield pd.DataFrame(decide(), columns=["round_id", *pair, "exact", "n"])
 
     kind = {f.name: f.dataType.simpleString() for f in edges.schema}
-    chosen = dealt.groupBy("component").applyInPandas(chain, f"round_id {kind['round_id']}, session_id {kind['session_id']}, tier string, n int")
-    taken = chosen.groupBy("round_id").agg(F.max("tier").alias("tier"), F.array_sort(F.collect_list(F.struct("n", "session_id"))).alias("s"))
+    chosen = keep.save(dealt.mapInPandas(chain, f"round_id {kind['round_id']}, vendor {kind['vendor']}, session_id {kind['session_id']}, exact boolean, n int"), "chosen")
+    takers = facts.select("round_id", "vendor", "ended").join(chosen.filter("exact").select("round_id").distinct(), "round_id", "left_anti")
+    barred = builders.select(*pair).unionByName(own.select(*pair))
+    barred = (barred if reserved is None else barred.unionByName(reserved.select(*pair))).distinct()
+    if isinstance(overlaps, Overlaps):
+        others = overlaps.first(takers, barred)
+    else:
+        order = F.struct(F.col("ended").isNotNull().alias("closed"), "ended", "round_id")
+        others = overlaps.select("round_id", "session_id").join(takers, "round_id").join(barred, pair, "left_anti").groupBy(*pair).agg(F.min_by("round_id", order).alias("round_id"))
+    found = chosen.select("round_id", "session_id", "exact", "n").unionByName(others.select("round_id", "session_id", F.lit(False).alias("exact"), F.lit(0).alias("n")))
+    found = found.withColumn("n", F.when(F.col("exact"), F.col("n")).otherwise(0))
+    taken = found.groupBy("round_id").agg(F.when(F.bool_or("exact"), "exact").otherwise("correlated").alias("tier"), F.array_sort(F.collect_list(F.struct("n", "session_id"))).alias("s"))
     out = facts.join(taken, "round_id", "left").withColumn("tier", F.coalesce("tier", F.lit("unattributed")))
     when = lambda name, c: F.when(c, F.lit(FLAGS[name]))
     flags = F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import merge as M
+from ..operators.intervals import least_touching
 from . import standins as V
 from .standins import ATT, OBS, RND
 
@@ -66,11 +67,14 @@ def j03(spark, d):
 _CORR = "r as (select event_id as round_id, project_id, start_us as started, end_us + 60000000 as ended from att where mode = 'plan'), s as (select event_id as session_id, project_id, start_us as first, end_us as last, mode from att where mode in ('guide', 'review')), pairs as (select round_id, session_id, ended, session_id % 4 = 0 as exact, project_id from r join s using (project_id) where first - 300000000 <= ended and last + 300000000 >= started)"
 
 
-def _pairs(spark, d):
+def _spans(spark, d):
     a = V.att(spark, d)
     r = a.filter("mode = 'plan'").selectExpr("event_id as round_id", "project_id", "start_us as started", "end_us + 60000000 as ended")
-    s = a.filter("mode in ('guide', 'review')").selectExpr("event_id as session_id", "project_id", "start_us as first", "end_us as last")
-    return J.correlate_sessions(r, s, ["project_id"], 300_000_000, bin=3_600_000_000).withColumn("exact", F.col("session_id") % 4 == 0)
+    return r, a.filter("mode in ('guide', 'review')").selectExpr("event_id as session_id", "project_id", "start_us as first", "end_us as last")
+
+
+def _pairs(spark, d):
+    return J.correlate_sessions(*_spans(spark, d), ["project_id"], 300_000_000, bin=3_600_000_000).withColumn("exact", F.col("session_id") % 4 == 0)
 
 
 @query("j04_correlate_sessions", f"with {ATT}, {_CORR} select round_id, session_id from pairs")
@@ -88,11 +92,12 @@ def j05(spark, d):
 def j05b(spark, d):
     a = V.att(spark, d).withColumn("vendor", F.when(F.col("project_id") % 19 == 0, "future").when(F.col("project_id") % 2 == 0, "vendor_a").otherwise("vendor_b"))
     sessions = a.filter("mode in ('guide', 'review')").selectExpr("vendor", "event_id as session_id")
-    pairs = _pairs(spark, d)
-    own = pairs.filter("session_id % 4 = 0").groupBy("round_id").agg(F.slice(F.array_sort(F.collect_set("session_id")), F.lit(1), F.lit(2)).alias("own"))
+    overlaps = J.Overlaps(*_spans(spark, d), ["project_id"], 300_000_000)
+    some = overlaps.sessions.filter("session_id % 4 = 0")
+    own = least_touching(overlaps.rounds, some, ["project_id"], ("started", "ended"), ("first", "last"), ["round_id"], ["session_id"], 2, 300_000_000).select("round_id", F.transform("least", lambda x: x["session_id"]).alias("own"))
     rounds = a.filter("mode = 'plan'").select(F.col("event_id").alias("round_id"), "vendor", F.col("end_us").alias("ended")).join(own, "round_id", "left")
     rounds = rounds.withColumn("expected", F.when(F.col("round_id") % 9 == 0, 3).otherwise(F.size(F.coalesce("own", F.array().cast("array<long>")))))
-    return J.assign_once_strict(rounds, sessions, pairs, sessions.filter("session_id % 17 = 0"), ["vendor_a", "vendor_b"])
+    return J.assign_once_strict(rounds, sessions, overlaps, sessions.filter("session_id % 17 = 0"), ["vendor_a", "vendor_b"])
 
 
 @query("j06_day_project", f"with {OBS} select day_utc, c_name, sum(input_tokens)::bigint as input_tokens from obs join customer on project_id = c_custkey group by all")

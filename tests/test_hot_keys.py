@@ -160,6 +160,47 @@ def test_strict_assignment_by_brute_force(spark, seed):
     assert {t for t, *_ in got.values()} == {"exact", "correlated", "unattributed"}
 
 
+@pytest.mark.parametrize("bin", [7, 1000])
+def test_first_that_touch_by_brute_force(spark, bin):
+    rng = random.Random(bin)
+    a = [(k, rng.choice(["p", "q"]), t, t + rng.choice([0, 2, 30])) for k in range(60) for t in [rng.randrange(60)]] + [(60, "p", None, 5), (61, "gone", 1, 2)]
+    b = [(rng.randrange(25), rng.choice(["x", "y"]), rng.choice(["p", "q"]), t, t + rng.choice([0, 1, 40])) for _ in range(70) for t in [rng.randrange(60)]] + [(0, "x", "p", None, None)]
+    left, right = spark.createDataFrame(a, "id long, key string, s long, e long"), spark.createDataFrame(b, "turn long, name string, key string, s long, e long")
+    for k in (1, 2, 3):
+        want = {}
+        for i, key, s, e in a:
+            hits = sorted({(t, n) for t, n, other, s2, e2 in b if other == key and None not in (s, s2) and s <= e2 + 3 and e >= s2 - 3})[:k]
+            want |= {i: hits} if hits else {}
+        got = intervals.least_touching(left, right, ["key"], ("s", "e"), ("s", "e"), ["id"], ["turn", "name"], k, 3, bin)
+        assert {r.id: [tuple(x) for x in r.least] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("bin", [4, 1000])
+def test_strict_assignment_by_spans_in_a_crowd(spark, bin):
+    """A hundred rounds and sessions at a time, told by spans: no pairs are needed."""
+    rng = random.Random(bin)
+    vendors = ["one", "two"]
+    span = lambda: (lambda t: (t, t + rng.choice([0, 3, 9])))(rng.randrange(20))
+    at = {s: ("two" if s % 3 else "one", *span()) for s in range(300)}
+    lives = {r: ("two" if r % 3 else "one", *span()) for r in range(200)}
+    overlaps = {(r, s) for r, (key, a, b) in lives.items() for s, (other, c, d) in at.items() if key == other and a <= d + 1 and b >= c - 1}
+    sessions, builders = {(v, s) for s, (v, _, _) in at.items()}, {(v, s) for s, (v, _, _) in at.items() if s % 17 == 0}
+    rounds = []
+    for r, (v, _, end) in lives.items():
+        near = sorted(s for q, s in overlaps if q == r and s % 4 == 0)
+        own = rng.choice([near[:2], near[:1], rng.sample(near, min(2, len(near))), [], None])
+        rounds.append((r, v, rng.choice([None, end, end, end, end]), rng.choice([len(own or []), 3]), own))
+    spans = joins.Overlaps(
+        spark.createDataFrame([(r, v, a, b) for r, (v, a, b) in lives.items()], "round_id long, project string, started long, ended long"),
+        spark.createDataFrame([(s, v, a, b) for s, (v, a, b) in at.items()], "session_id long, project string, first long, last long"), ["project"], 1, bin,
+    )
+    of = lambda rows: spark.createDataFrame(sorted(rows), "vendor string, session_id long")
+    df = joins.assign_once_strict(spark.createDataFrame(rounds, "round_id long, vendor string, ended long, expected int, own array<long>"), of(sessions), spans, of(builders), vendors)
+    got = {r.round_id: (r.tier, r.sessions, r.flags, r.expected, r.found) for r in df.collect()}
+    assert got == strict(rounds, sessions, overlaps, builders, vendors)
+    assert {t for t, *_ in got.values()} == {"exact", "correlated", "unattributed"}
+
+
 def test_strict_assignment_refuses_repeated_and_builder_sessions(spark):
     rounds = spark.createDataFrame([(1, "two", 1, 2, ["s", "s"]), (2, "two", 2, 1, ["b"])], "round_id long, vendor string, ended long, expected int, own array<string>")
     sessions = spark.createDataFrame([("two", "s"), ("two", "b")], "vendor string, session_id string")

@@ -13,10 +13,10 @@ words; everything is counted by language.  The steps:
    below ``least`` is out; what is left is a bitmap of fixed size.
 4. Phrases that pass the bitmaps are the candidates: none that is frequent is lost.
 5. Candidates are dealt by their first word to tries of at most MOST phrases.
-   Each trie is a double array over the values of its words, built with numpy and
-   broadcast; in each task the states of all positions advance together, one word
-   at a time, and accepting states are counted by ``bincount``.  Spark sums the
-   counts of all tasks.  These counts are exact.
+   Each trie is a double array over halves of word codes, built with numpy in time
+   about linear in its phrases, and broadcast; in each task the states of all
+   positions advance together, one word at a time, and what they reach is counted.
+   Spark sums the counts of all tasks.  These counts are exact.
 6. Scores are whole numbers, computed in 38-digit decimals.
 
 Nothing grows in memory but by the batch: bitmaps have a fixed size, tries a
@@ -205,107 +205,145 @@ def candidates(texts: DataFrame, filters: list[np.ndarray], longest: int) -> Dat
 
 @dataclass
 class DoubleArray:
-    """A trie: from state s, word code c leads to t = base[s] + c if check[t] is s.  ``row`` is the phrase of a state, -1 without."""
+    """A trie: from state s, symbol c leads to t = base[s] + c if check[t] is s.  ``row`` is the phrase of a state, -1 without.
+
+    A word is two symbols, the halves of its code; so a state has at most as many
+    children as half a code can tell, close together, and the arrays stay about as
+    long as there are states.  Common words have the low codes.
+    """
 
     alphabet: np.ndarray
+    code: np.ndarray
     base: np.ndarray
     check: np.ndarray
     row: np.ndarray
+    start: np.ndarray
     depth: int
+    bits: int
 
     def codes(self, v: np.ndarray) -> np.ndarray:
+        """From 1; 0 for a word in no phrase."""
         at = np.minimum(np.searchsorted(self.alphabet, v), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == v, at + 1, 0)
+        return np.where(self.alphabet[at] == v, self.code[at], np.int32(0))
 
-    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none."""
-        t = self.base[state] + code
-        t = np.where((code > 0) & (t < len(self.check)), t, 0)
-        return np.where((t > 0) & (self.check[t] == state), t, -1)
+        t = self.base[state] + symbol
+        return np.where(self.check[t] == state, t, np.int32(-1))
 
-    def counts(self, v: np.ndarray) -> np.ndarray:
-        """How often each state is reached, from all positions at once, level by level."""
+    def reached(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states of two words and more that are reached and how often, from all positions at once, level by level."""
         code = self.codes(v)
-        at, total = np.flatnonzero(code), np.zeros(len(self.check), np.int64)
-        state = np.zeros(len(at), np.int64)
-        for k in range(self.depth):
+        high, low = _symbols(code, self.bits)
+        state = self.start[code]
+        at = np.flatnonzero(state >= 0)
+        state, seen = state[at], []
+        for k in range(1, self.depth):
             inside = at + k < len(v)
             at, state = at[inside], state[inside]
-            state = self.step(state, code[at + k])
-            live = state >= 0
-            at, state = at[live], state[live]
+            for half in (high, low):
+                state = self.step(state, half[at + k])
+                live = state >= 0
+                at, state = at[live], state[live]
             if not len(at):
                 break
-            total += np.bincount(state, minlength=len(total))
+            seen.append(state)
+        return np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def counts(self, v: np.ndarray) -> np.ndarray:
+        """How often each state is reached."""
+        total = np.zeros(len(self.check), np.int64)
+        state, n = self.reached(v)
+        total[state] = n
         return total
 
 
+def _symbols(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of word codes, from 1; the second half of code 0, which no phrase has, leads nowhere."""
+    return (code >> bits) + 1, (code & ((1 << bits) - 1)) + 1
+
+
 def double_array(phrases: list[np.ndarray]) -> DoubleArray:
-    """The trie of phrases (arrays of words by length 2, 3, ...); beginnings of phrases need not be phrases."""
+    """The trie of phrases (arrays of words by length 2, 3, ...); beginnings of phrases need not be phrases.
+
+    States get their places level by level.  Of a level's sets of children the
+    large ones come first; each is laid where its first child takes a free place
+    and all others find one, the search going on where the last set of about that
+    size was laid.  Only children fill the gaps.
+    """
     whole = [p for p in phrases if len(p)]
     alphabet = np.unique(np.concatenate([p.ravel() for p in whole]))
-    coded = [np.searchsorted(alphabet, p) + 1 for p in whole]
-    depth, top = max(p.shape[1] for p in coded), len(alphabet)
-    size = 2 * top + 2
-    base, check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+    at = [np.searchsorted(alphabet, p) for p in whole]
+    often = np.bincount(np.concatenate([p[:, 1:].ravel() for p in at]), minlength=len(alphabet))
+    code = np.empty(len(alphabet), np.int64)
+    code[np.argsort(-often, kind="stable")] = np.arange(1, len(alphabet) + 1)
+    bits = -(-len(alphabet).bit_length() // 2)
+    width = 1 << bits
+    halves = [_symbols(code[p], bits) for p in at]
+    depth = max(p.shape[1] for p in at)
+    base, check = np.zeros(4 * width, np.int64), np.full(4 * width, -1, np.int64)
     check[0] = -2
-    trie = DoubleArray(alphabet, base, check, np.zeros(0), depth)
-
-    def free(need: int, low: int) -> np.ndarray:
-        """At least ``need`` free places from ``low`` on; the arrays grow."""
-        while True:
-            found = np.flatnonzero(trie.check[low:] == -1) + low
-            if len(found) >= need:
-                return found
-            more = len(trie.check) + need
-            trie.base, trie.check = np.concatenate([trie.base, np.zeros(more, np.int64)]), np.concatenate([trie.check, np.full(more, -1, np.int64)])
-
-    for k in range(1, depth + 1):
-        heads = np.unique(np.concatenate([p[:, :k] for p in coded if p.shape[1] >= k]), axis=0)
-        parent = np.zeros(len(heads), np.int64)
-        for j in range(k - 1):
-            parent = trie.step(parent, heads[:, j])
-        child = heads[:, -1]
-        order = np.lexsort((child, parent))
-        parent, child = parent[order], child[order]
+
+    def room(more: int) -> None:
+        nonlocal base, check
+        base, check = np.concatenate([base, np.zeros(more, np.int64)]), np.concatenate([check, np.full(more, -1, np.int64)])
+
+    def lay(parent: np.ndarray, child: np.ndarray) -> None:
         starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
         sizes = np.diff(np.append(starts, len(parent)))
-        low = top + 1 if k > 1 else 1
-        for g in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())]:
-            c, s = child[starts[g] : starts[g] + sizes[g]], parent[starts[g]]
-            spots = free(1, low)
-            at = 0
+        spots, at, large = np.zeros(0, np.int64), 0, None
+        for g in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
+            s, c = parent[starts[g]], child[starts[g] : starts[g] + sizes[g]]
+            if large is None or 4 * sizes[g] <= 3 * large:
+                spots, at, large = np.flatnonzero(check[: len(check) - width] == -1), 0, sizes[g]
+            more = c - c[0]
+            tried = 16
             while True:
-                if at >= len(spots):
-                    spots = free(len(spots) + top, low)
-                some = spots[at : at + 512]
-                b = some - c[0]
-                inside = b + c[-1] < len(trie.check)
-                fits = inside & (trie.check[np.where(inside[:, None], b[:, None] + c, 0)] == -1).all(1) & (b >= 0)
+                some = spots[at : at + tried]
+                fits = (check[some[:, None] + more] == -1).all(1) & (some >= c[0])
                 if fits.any():
-                    trie.base[s] = int(b[np.argmax(fits)])
-                    trie.check[trie.base[s] + c] = s
+                    n = int(np.argmax(fits))
+                    base[s] = some[n] - c[0]
+                    check[some[n] + more] = s
+                    at += n
                     break
-                if not inside.all():
-                    free(len(spots) + top + int(c[-1] - c[0]) + 1, low)
-                    spots = np.flatnonzero(trie.check[low:] == -1) + low
-                    if inside.any():
-                        at += int(inside.sum())
-                    continue
-                at += 512
+                at += len(some)
+                tried = min(2 * tried, 1024)
+                if at >= len(spots):
+                    end = len(check) - width
+                    room(len(check) // 4)
+                    spots, at = np.flatnonzero(check[end : len(check) - width] == -1) + end, 0
         one = np.flatnonzero(sizes == 1)
         if len(one):
-            spots = free(len(one), top + 1)[: len(one)]
-            c, s = child[starts[one]], parent[starts[one]]
-            trie.base[s], trie.check[spots] = spots - c, s
-    trie.row = np.full(len(trie.check), -1, np.int64)
-    n = 0
-    for p in coded:
-        state = np.zeros(len(p), np.int64)
-        for j in range(p.shape[1]):
-            state = trie.step(state, p[:, j])
-        trie.row[state] = n + np.arange(len(p))
-        n += len(p)
+            s, c = parent[starts[one]], child[starts[one]]
+            spots = np.flatnonzero(check[width + 1 :] == -1) + width + 1
+            if len(spots) < len(one):
+                end = len(check)
+                room(len(one) - len(spots))
+                spots = np.concatenate([spots, np.arange(end, len(check))])
+            spots = spots[: len(one)]
+            base[s], check[spots] = spots - c, s
+
+    def reached(states: list[np.ndarray], symbols: list[np.ndarray]) -> list[np.ndarray]:
+        key = np.unique(np.concatenate([s * (width + 1) + c for s, c in zip(states, symbols)]))
+        lay(key // (width + 1), key % (width + 1))
+        return [base[s] + c for s, c in zip(states, symbols)]
+
+    states: list[np.ndarray] = [np.zeros(len(p), np.int64) for p in at]
+    for k in range(depth):
+        longer = [n for n, p in enumerate(at) if p.shape[1] > k]
+        for half in (0, 1):
+            for n, s in zip(longer, reached([states[n] for n in longer], [halves[n][half][:, k] for n in longer])):
+                states[n] = s
+    room(width + 1)
+    row = np.full(len(check), -1, np.int32)
+    ends = np.concatenate(states)
+    row[ends] = np.arange(len(ends))
+    trie = DoubleArray(alphabet, code.astype(np.int32), base.astype(np.int32), check.astype(np.int32), row, np.zeros(0), depth, bits)
+    high, low = _symbols(np.arange(len(alphabet) + 1, dtype=np.int32), bits)
+    start = trie.step(np.zeros(len(high), np.int32), high)
+    trie.start = np.where(start >= 0, trie.step(np.maximum(start, 0), low), np.int32(-1))
+    trie.start[0] = -1
     return trie
 
 
@@ -339,7 +377,8 @@ def phrase_counts(texts: DataFrame, chosen: DataFrame, n_words: int, scratch: Sc
             trie, names = shared.value
             total = np.zeros(len(trie.check), np.int64)
             for batch in batches:
-                total += trie.counts(_flat(batch))
+                state, n = trie.reached(_flat(batch))
+                total[state] += n
             state = np.flatnonzero((total > 0) & (trie.row >= 0))
             yield pa.RecordBatch.from_arrays([names.take(pa.array(trie.row[state])), pa.array(total[state])], ["words", "a"])
 
